@@ -100,13 +100,14 @@ def compose(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the views it uses, directly or through other views, in dependency order."""
     known = {**VIEWS, **(extra or {})}
     ordered: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
+            if name not in ordered and name not in open_names and re.search(rf"\b{name}\b", text):
+                open_names.add(name)
                 visit(known[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     visit(body)
     recursive = "RECURSIVE " if any("_rec_" in n for n in ordered) else ""
