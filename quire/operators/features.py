@@ -45,8 +45,9 @@ def folios(pages: DataFrame, text: str = "raw_text") -> DataFrame:
         pages.withColumn("_ls", lines)
         .withColumn("_all", printed_numbers(F.col("_ls")))
         .withColumn("edge_folios", F.array_distinct(printed_numbers(edge)))
-        .withColumn("folio", F.try_element_at("_all", F.lit(-1)))
-        .drop("_ls", "_all")
+        .withColumnRenamed("_all", "folio_list")
+        .withColumn("folio", F.try_element_at("folio_list", F.lit(-1)))
+        .drop("_ls")
     )
 
 

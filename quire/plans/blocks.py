@@ -125,3 +125,18 @@ def with_nearest(
     if next_out:
         out = out.withColumn(next_out, F.coalesce("_q", "_carry_next")).drop("_q")
     return out.drop("_blk", "_hit", "_carry_prev", "_carry_next")
+
+
+def with_extremes(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, k: int = 2, largest: bool = False, block: int = BLOCK
+) -> DataFrame:
+    """Per key the ``k`` smallest (or largest) distinct values as an array; values are cut down per block first."""
+    keys = list(keys)
+
+    def cut(values: Column) -> Column:
+        return F.slice(F.sort_array(values, asc=not largest), 1, k)
+
+    per_block = (
+        df.withColumn("_blk", _block_of(value, block)).groupBy(*keys, "_blk").agg(cut(F.collect_set(value)).alias("_v"))
+    )
+    return per_block.groupBy(*keys).agg(cut(F.flatten(F.collect_list("_v"))).alias(out))

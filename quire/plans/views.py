@@ -250,3 +250,24 @@ def dumps(spark: SparkSession, sf_dir: str, pages_per_file: int = 500) -> DataFr
     return format_dump(pages, ["issue_id", "file_no"], "page_no", "label", "raw_text").withColumnRenamed(
         "dump", "text"
     )
+
+
+def toc_texts(titles: DataFrame) -> DataFrame:
+    """Contents pages: page numbers with remainder 2 by 25 list the titles of the eight pages after them."""
+    toc_page = F.col("page_no") - (F.col("page_no") - 2) % 25
+    at = (F.col("page_no") - 2) % 25
+    entry = F.when(
+        at % 2 == 0, F.concat(F.lit("Story ........ "), F.col("page_no").cast("string"))
+    ).otherwise(F.concat(F.lit("* "), F.coalesce("title", F.lit("untitled")), F.lit(" *")))
+    return (
+        titles.filter((F.col("page_no") >= 2) & at.between(1, 8))
+        .groupBy("issue_id", toc_page.alias("page_no"))
+        .agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), entry.alias("entry")))).alias("_e"))
+        .select(
+            "issue_id",
+            "page_no",
+            F.concat(
+                F.lit("Table of Contents\n"), F.array_join(F.transform("_e", lambda e: e["entry"]), "\n")
+            ).alias("raw_text"),
+        )
+    )
