@@ -118,7 +118,9 @@ def gibberish_token(token: Column) -> Column:
         )
 
     edges = r"^[^\p{L}0-9]+|[^\p{L}0-9]+$"
-    return let(F.regexp_replace(token, F.lit(edges), F.lit("")), judged)
+    # an ordinary word, at most the first letter capital and with a vowel, fails every rule
+    ordinary = matches(token, r"^(?=\p{L}*[aeiouyAEIOUY])\p{L}\p{Ll}{2,}[.,;:!?]?$")
+    return ~ordinary & let(F.regexp_replace(token, F.lit(edges), F.lit("")), judged)
 
 
 def gibberish_line(c: Column) -> Column:

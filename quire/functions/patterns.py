@@ -204,6 +204,12 @@ JUNK_PHRASES = [
     r"(?:continued\s+on\s+page|continued\s+from\s+page|see\s+page)\s+\d{1,4}\b",
     r"(?:NAME|ADDRESS|CITY|STATE|ZIP|PHONE|EMAIL)\s*_{2,}",
 ]
+# First words of the phrases above; a text without any of them cannot match.
+JUNK_OPENERS = (
+    r"circle\s|send\s|mail\s|postage\s|write\s|call\s|order\s|get\s|satisfaction\s|money[\s-]|dealer\s|distributor\s|"
+    r"california\s|new\s|massachusetts\s|illinois\s|allow\s|dept|p\.?o\.?\s*box|continued\s|see\s|"
+    r"(?:name|address|city|state|zip|phone|email)\s*__"
+).split("|")
 JUNK_LINES = [
     r"(?i)\b(?:copyright|©|\(c\))\s+(?:\d{4}|19\d\d|20\d\d)",
     r"(?i)\ball\s+rights\s+reserved\b",
@@ -218,7 +224,7 @@ JUNK_LINES = [
 DINGBATS = r"[■-◿☀-⛿✀-➿]"
 SYMBOL_RUN = r"^[|+\-=_~#*•·—–^\\/]{2,}$"
 DOT_LEADERS = r"[.·•_]{3,}"
-EMPTY_BRACKETS = r"\[\s*[xX*•\-_\s]?\s*\]|\(\s*[xX*•\-_\s]?\s*\)|\{\s*[xX*•\-_\s]?\s*\}|<\s*[xX*•\-_\s]?\s*>"
+EMPTY_BRACKET = r"\s*[xX*•\-_\s]?\s*"
 EDGE_NOISE = r"[|~#*•·^/\\=_+`§°©®™%\[\]{}<>]"
 
 # --- containers and blocks of HTML (fixed values) ---
