@@ -296,7 +296,7 @@ def boilerplate(c: Column) -> Column:
     for rule in rules:
         t = sub(t, f"(?i){_ASCII_START}{rule}", "")
     # most texts hold none of the opening words; they skip the chain
-    touched = matches(c, f"(?i){_ASCII_START}(?:{'|'.join(P.JUNK_OPENERS)})")
+    touched = matches(c, f"(?i){_ASCII_START}(?:{P.JUNK_OPENERS})")
     return sub(F.when(touched, t).otherwise(c), "_{2,}", " ")
 
 

@@ -209,7 +209,7 @@ JUNK_OPENERS = (
     r"circle\s|send\s|mail\s|postage\s|write\s|call\s|order\s|get\s|satisfaction\s|money[\s-]|dealer\s|distributor\s|"
     r"california\s|new\s|massachusetts\s|illinois\s|allow\s|dept|p\.?o\.?\s*box|continued\s|see\s|"
     r"(?:name|address|city|state|zip|phone|email)\s*__"
-).split("|")
+)
 JUNK_LINES = [
     r"(?i)\b(?:copyright|©|\(c\))\s+(?:\d{4}|19\d\d|20\d\d)",
     r"(?i)\ball\s+rights\s+reserved\b",

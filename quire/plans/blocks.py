@@ -140,3 +140,34 @@ def with_extremes(
         df.withColumn("_blk", _block_of(value, block)).groupBy(*keys, "_blk").agg(cut(F.collect_set(value)).alias("_v"))
     )
     return per_block.groupBy(*keys).agg(cut(F.flatten(F.collect_list("_v"))).alias(out))
+
+
+def with_sorted_seq(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, total: str) -> DataFrame:
+    """Dense position and row count per key for an order that is not a number.
+
+    Rows are range-partitioned by key and order, so a long key spans many partitions. The placed rows are written once:
+    the bounds of a range partitioning come from a sample and must not change between the two passes over them.
+    """
+    from quire.session import materialize
+
+    keys, order = list(keys), list(order)
+    placed = materialize(
+        df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("_part", F.spark_partition_id()),
+        "sorted",
+    )
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_part")
+    starts = (
+        counts.withColumn(
+            "_start", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        )
+        .withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)).cast("int"))
+        .drop("_n")
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return (
+        placed.withColumn("_rn", F.row_number().over(inside))
+        .join(starts, [*keys, "_part"])
+        .withColumn(out, (F.col("_start") + F.col("_rn")).cast("int"))
+        .drop("_rn", "_start", "_part")
+    )
