@@ -33,11 +33,15 @@ def greedy_starts(weights: Column, limit: int) -> Column:
 
 def slices(items: Column, starts: Column, sep: str) -> Column:
     """Joined items between consecutive start positions."""
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(items)))
-    return F.transform(
-        F.arrays_zip(starts.alias("a"), ends.alias("b")),
-        lambda e: F.array_join(F.slice(items, e["a"] + 1, e["b"] - e["a"]), sep),
-    )
+
+    def cut(s: Column) -> Column:
+        ends = F.concat(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.size(items)))
+        return F.transform(
+            F.arrays_zip(s.alias("a"), ends.alias("b")),
+            lambda e: F.array_join(F.slice(items, e["a"] + 1, e["b"] - e["a"]), sep),
+        )
+
+    return let(starts, cut)
 
 
 def _titled(parts: Column, title: Column, word: str) -> Column:
@@ -51,36 +55,36 @@ def _titled(parts: Column, title: Column, word: str) -> Column:
 
 def page_array(text: Column, title: Column, target_words: int = WORDS_PER_PAGE) -> Column:
     """Pages of one text as ``array<struct<title,text>>``; the first rule that applies decides."""
-
-    def single(t: Column) -> Column:
-        return F.array(F.struct(title.alias("title"), strip(t).alias("text")))
-
-    def filled(t: Column, ps: Column) -> Column:
-        counts = F.transform(ps, lambda p: F.size(F.split(p, r"\s+")))
-        pages = let(counts, lambda c: slices(ps, greedy_starts(c, target_words), "\n\n"))
-        return F.when(F.size(ps) == 0, single(t)).otherwise(_titled(pages, title, "Page"))
-
-    def by_paragraphs(t: Column) -> Column:
-        return let(
-            paragraphs(t),
-            lambda ps: F.when((F.size(ps) <= 4) & (F.length(t) < 2500), single(t)).otherwise(filled(t, ps)),
+    none = F.array().cast("array<string>")
+
+    def parts(t: Column, pattern: str, present: Column) -> Column:
+        return F.when(present, non_empty(F.transform(F.split(t, pattern, -1), strip))).otherwise(none)
+
+    def titled(items: Column, name: Column, word: str) -> Column:
+        return _titled(items, name, word).cast(_PAGE)
+
+    def build(s: Column) -> Column:
+        t, name, feed, marked, paras = s["t"], s["title"], s["feed"], s["marked"], s["paras"]
+        few = (F.size(paras) == 0) | ((F.size(paras) <= 4) & (F.length(t) < 2500))
+        counts = F.transform(paras, lambda p: F.size(F.split(p, r"\s+")))
+        return (
+            F.when(F.size(feed) > 1, titled(feed, name, "Part"))
+            .when(F.size(marked) > 0, titled(marked, name, "Page"))
+            .when(few, F.array(F.struct(name.alias("title"), strip(t).alias("text"))).cast(_PAGE))
+            .otherwise(titled(slices(paras, greedy_starts(counts, target_words), "\n\n"), name, "Page"))
         )
 
-    def by_marker(t: Column) -> Column:
-        parts = non_empty(F.transform(F.split(t, PAGE_MARKER, -1), strip))
-        marked = let(parts, lambda ps: F.when(F.size(ps) > 0, _titled(ps, title, "Page")).otherwise(by_paragraphs(t)))
-        return F.when(F.regexp_like(t, F.lit(PAGE_MARKER)), marked).otherwise(by_paragraphs(t))
-
-    def by_feed(t: Column) -> Column:
-        parts = non_empty(F.transform(F.split(t, "\f", -1), strip))
-        cut = let(parts, lambda ps: F.when(F.size(ps) > 1, _titled(ps, title, "Part")).otherwise(by_marker(t)))
-        return F.when(F.contains(t, F.lit("\f")), cut).otherwise(by_marker(t))
+    def split(s: Column) -> Column:
+        t = s["t"]
+        return F.struct(
+            t.alias("t"),
+            s["title"].alias("title"),
+            parts(t, "\f", F.contains(t, F.lit("\f"))).alias("feed"),
+            parts(t, PAGE_MARKER, F.regexp_like(t, F.lit(PAGE_MARKER))).alias("marked"),
+            paragraphs(t).alias("paras"),
+        )
 
-    return let(
-        text,
-        lambda t: F.when(strip(t) == "", F.array(F.struct(title.alias("title"), F.lit("").alias("text"))).cast(_PAGE))
-        .otherwise(by_feed(t).cast(_PAGE)),
-    )
+    return let(let(F.struct(text.alias("t"), title.alias("title")), split), build)
 
 
 def batch_array(text: Column, max_chars: int = 2000) -> Column:

@@ -181,7 +181,10 @@ def word_score(word: Column) -> Column:
         digits = count_of(w, r"\p{Nd}")
         plain = count_of(w, r"[ .,:;!?\-_/()\[\]'\"]")
         other = F.length(w) - letters - digits - plain
-        return F.when(w == "", F.lit(float("-inf"))).otherwise(
+        # a plain word with at most one closing mark and no triple letter draws no penalty
+        plain_word = matches(w, r"^(?!.*(.)\1{2})\p{L}+[.,;:!?]?$")
+        closing = F.when(matches(w, r"[.,;:!?]$"), 0.7).otherwise(0.0)
+        return F.when(w == "", F.lit(float("-inf"))).when(plain_word, F.length(w) * 1.5 - closing).otherwise(
             letters * 1.5
             + digits * 0.4
             + plain * 0.8

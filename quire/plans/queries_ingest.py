@@ -25,7 +25,7 @@ BOX = ("left", "top", "width", "height")
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with paragraph breaks after every second line; some carry form feeds or page markers."""
-    text = F.regexp_replace("text", r"([^\n]*\n[^\n]*)\n", "$1\n\n")
+    text = F.regexp_replace("text", r"(?m)^([^\n]*\n[^\n]*)\n", "$1\n\n")
     marked = (
         F.when(F.col("doc_id") % 17 == 3, F.replace(text, F.lit("\n\n"), F.lit("\f")))
         .when(F.col("doc_id") % 17 == 5, F.concat(F.lit("=== Page 1 ===\n"), text, F.lit("\n--- page II ---\nend")))
@@ -274,7 +274,7 @@ def _paged_sql(views: dict[str, str], source: str, key: str) -> str:
 
 
 _DOCS = {
-    "v_docs0": r"""SELECT doc_id, regexp_replace(text, '([^\n]*\n[^\n]*)\n', '\1' || chr(10) || chr(10), 'g') AS x
+    "v_docs0": r"""SELECT doc_id, regexp_replace(text, '(?m)^([^\n]*\n[^\n]*)\n', '\1' || chr(10) || chr(10), 'g') AS x
                    FROM documents""",
     "v_docs": """
         SELECT doc_id, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 17 = 3 THEN replace(x, chr(10) || chr(10), chr(12))
@@ -386,9 +386,9 @@ _HTML = {
 }
 
 _SCORE = f"""
-    (1.5 * {cnt('w', chr(92) + 'p{L}')} + 0.4 * {cnt('w', chr(92) + 'p{Nd}')}
-     + 0.8 * len(regexp_extract_all(w, '[ .,:;!?\\-_/()\\[\\]''"]'))
-     - 2.0 * (length(w) - {cnt('w', chr(92) + 'p{L}')} - {cnt('w', chr(92) + 'p{Nd}')}
+    (1.5::DOUBLE * {cnt('w', chr(92) + 'p{L}')} + 0.4::DOUBLE * {cnt('w', chr(92) + 'p{Nd}')}
+     + 0.8::DOUBLE * len(regexp_extract_all(w, '[ .,:;!?\\-_/()\\[\\]''"]'))
+     - 2.0::DOUBLE * (length(w) - {cnt('w', chr(92) + 'p{L}')} - {cnt('w', chr(92) + 'p{Nd}')}
               - len(regexp_extract_all(w, '[ .,:;!?\\-_/()\\[\\]''"]')))
      - CASE WHEN run3 THEN 4.0 ELSE 0 END
      - CASE WHEN regexp_matches(w, '[0-9][A-Za-z]|[A-Za-z][0-9]') THEN 2.0 ELSE 0 END
@@ -428,34 +428,34 @@ _SIDES = {
     },
     "v_pair": f"""
         SELECT coalesce(a.issue_id, b.issue_id) AS issue_id, coalesce(a.page_no, b.page_no) AS page_no,
-               coalesce(a.line_no, b.line_no) AS line_no, a.text AS at, b.text AS bt, a.orig AS ao, b.orig AS bo,
+               coalesce(a.line_no, b.line_no) AS line_no, a.text AS ta, b.text AS tb, a.orig AS ao, b.orig AS bo,
                a."left" AS al, a.top AS a_top, a.width AS aw, a.height AS ah,
                b."left" AS bl, b.top AS b_top, b.width AS bw, b.height AS bh, a.score AS asc0, b.score AS bsc0
         FROM v_side_a a FULL JOIN v_side_b b USING (issue_id, page_no, line_no)""",
     "v_pair_kind": """
-        SELECT *, CASE WHEN bt IS NULL THEN 'a' WHEN at IS NULL THEN 'b'
+        SELECT *, CASE WHEN tb IS NULL THEN 'a' WHEN ta IS NULL THEN 'b'
             WHEN abs(a_top - b_top) <= 2.0 * greatest(ah, bh) THEN 'm' WHEN asc0 >= bsc0 THEN 'a' ELSE 'b' END AS how
         FROM v_pair""",
     "v_pair_words": f"""
-        SELECT p.issue_id, p.page_no, p.line_no, i, x.w AS aw0, y.w AS bw0,
+        SELECT p.issue_id, p.page_no, p.line_no, p.i, x.w AS aw0, y.w AS bw0,
                CASE WHEN x.w IS NULL THEN y.w WHEN y.w IS NULL OR x.w = y.w THEN x.w
                     WHEN abs(x.score - y.score) < 1.0 THEN CASE WHEN length(x.w) >= length(y.w) THEN x.w ELSE y.w END
                     WHEN x.score >= y.score THEN x.w ELSE y.w END AS w
         FROM (SELECT *, unnest(generate_series(1, greatest(
-                 len(regexp_split_to_array({strip('at')}, '\\s+')), len(regexp_split_to_array({strip('bt')}, '\\s+'))))) AS i
+                 len(regexp_split_to_array({strip('ta')}, '\\s+')), len(regexp_split_to_array({strip('tb')}, '\\s+'))))) AS i
               FROM v_pair_kind WHERE how = 'm') p
         LEFT JOIN v_qa_words x ON x.issue_id = p.issue_id AND x.page_no = p.page_no AND x.line_no = p.ao AND x.i = p.i
         LEFT JOIN v_qb_words y ON y.issue_id = p.issue_id AND y.page_no = p.page_no AND y.line_no = p.bo AND y.i = p.i""",
     "v_pair_text": f"""
         SELECT {PAGE}, line_no, string_agg(w, ' ' ORDER BY i) AS mt FROM v_pair_words GROUP BY {PAGE}, line_no""",
     "v_merged_lines": f"""
-        SELECT {PAGE}, line_no, CASE how WHEN 'a' THEN at WHEN 'b' THEN bt ELSE mt END AS text,
+        SELECT {PAGE}, line_no, CASE how WHEN 'a' THEN ta WHEN 'b' THEN tb ELSE mt END AS text,
                CASE how WHEN 'a' THEN al WHEN 'b' THEN bl ELSE least(al, bl) END AS "left",
                CASE how WHEN 'a' THEN a_top WHEN 'b' THEN b_top ELSE least(a_top, b_top) END AS top,
                CASE how WHEN 'a' THEN aw WHEN 'b' THEN bw ELSE greatest(al + aw, bl + bw) - least(al, bl) END AS width,
                CASE how WHEN 'a' THEN ah WHEN 'b' THEN bh ELSE greatest(a_top + ah, b_top + bh) - least(a_top, b_top) END
                  AS height,
-               CASE WHEN bt IS NULL THEN 'PDF' WHEN at IS NULL THEN 'OCR' ELSE 'PDF+OCR' END AS source_kind
+               CASE WHEN tb IS NULL THEN 'PDF' WHEN ta IS NULL THEN 'OCR' ELSE 'PDF+OCR' END AS source_kind
         FROM v_pair_kind LEFT JOIN v_pair_text USING ({PAGE}, line_no)""",
     **_quality("v_merged_lines", "v_qm"),
 }

@@ -14,10 +14,28 @@ from quire.functions.text import let, matches, non_empty, paragraphs, replace_ma
 PAGE_TOP, PAGE_SPACE, PARA_GAP = 145, 890, 12
 
 
-def _exploded(docs: DataFrame, keys: Sequence[str], pages: Column) -> DataFrame:
-    """``keys, page_no, title, text`` from an array of pages."""
-    return docs.select(*keys, F.posexplode(pages).alias("_pos", "_page")).select(
-        *keys, (F.col("_pos") + 1).alias("page_no"), "_page.title", "_page.text"
+_SECTIONS = "array<struct<title:string,text:string,cut:boolean>>"
+
+
+def _whole(text: Column, title: Column) -> Column:
+    """A document as one section that is still to be paginated."""
+    return F.array(F.struct(title.alias("title"), text.alias("text"), F.lit(True).alias("cut"))).cast(_SECTIONS)
+
+
+def _exploded(docs: DataFrame, keys: Sequence[str], sections: Column, target_words: int = 380) -> DataFrame:
+    """``keys, page_no, title, text`` from sections; every format shares this one pagination."""
+    pages = F.flatten(
+        F.transform(
+            "_sections",
+            lambda s: F.when(s["cut"], page_array(s["text"], s["title"], target_words)).otherwise(
+                F.array(F.struct(s["title"].alias("title"), s["text"].alias("text")))
+            ),
+        )
+    )
+    return (
+        docs.withColumn("_sections", sections)
+        .select(*keys, F.posexplode(pages).alias("_pos", "_page"))
+        .select(*keys, (F.col("_pos") + 1).alias("page_no"), "_page.title", "_page.text")
     )
 
 
@@ -25,7 +43,7 @@ def paginate(
     docs: DataFrame, keys: Sequence[str], text: str = "text", title: str = "title", target_words: int = 380
 ) -> DataFrame:
     """Readable pages of raw text."""
-    return _exploded(docs, keys, page_array(F.col(text), F.col(title), target_words))
+    return _exploded(docs, keys, _whole(F.col(text), F.col(title)), target_words)
 
 
 def layout_paragraphs(pages: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -67,31 +85,44 @@ def plain_markdown(md: Column) -> Column:
     return strip(sub(sub(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
-def markdown_pages(text: Column, title: Column) -> Column:
+def markdown_sections(text: Column, title: Column) -> Column:
     """One page per ``#``/``##`` section; a document of one section is paginated."""
-    first = F.regexp_extract(text, r"(?md)^#\s+(.+)$", 1)
-    doc_title = F.when(first == "", title).otherwise(strip(first))
-
-    def build(t: Column) -> Column:
-        def section(s: Column, i: Column) -> Column:
-            head = F.regexp_extract(strip(s), r"(?md)^#{1,2}\s+(.+)$", 1)
-            name = F.when(head == "", F.concat(doc_title, F.lit(" · Section "), (i + 1).cast("string"))).otherwise(
-                strip(head)
-            )
-            return F.when(strip(s) != "", F.struct(name.alias("title"), plain_markdown(strip(s)).alias("text")))
 
-        def parts(ss: Column) -> Column:
-            return F.when(F.size(ss) > 1, F.array_compact(F.transform(ss, section))).otherwise(
-                page_array(plain_markdown(t), doc_title)
+    def named(t: Column) -> Column:
+        first = F.nullif(F.regexp_extract(t, r"(?md)^#\s+(.+)$", 1), F.lit(""))
+        return F.struct(
+            F.coalesce(strip(first), title).alias("title"),
+            F.filter(
+                F.transform(
+                    F.split(t, r"(?md)(?=^#{1,2}\s+)", -1),
+                    lambda s, i: F.struct(strip(s).alias("s"), (i + 1).alias("i"), (i > 0).alias("more")),
+                ),
+                lambda e: e["more"] | (e["s"] != ""),
+            ).alias("parts"),
+            t.alias("t"),
+        )
+
+    def build(d: Column) -> Column:
+        def section(e: Column) -> Column:
+            head = F.nullif(F.regexp_extract(e["s"], r"(?md)^#{1,2}\s+(.+)$", 1), F.lit(""))
+            numbered = F.concat(d["title"], F.lit(" · Section "), e["i"].cast("string"))
+            return F.struct(
+                F.coalesce(strip(head), numbered).alias("title"),
+                plain_markdown(e["s"]).alias("text"),
+                F.lit(False).alias("cut"),
             )
 
-        return let(F.split(t, r"(?md)(?=^#{1,2}\s+)", -1), parts)
+        many = F.exists(d["parts"], lambda e: e["more"])
+        filled = F.filter(d["parts"], lambda e: e["s"] != "")
+        return F.when(many, F.transform(filled, section).cast(_SECTIONS)).otherwise(
+            _whole(plain_markdown(d["t"]), d["title"])
+        )
 
-    return let(text, build)
+    return let(let(text, named), build)
 
 
 def ingest_markdown(docs: DataFrame, keys: Sequence[str], text: str = "text", title: str = "title") -> DataFrame:
-    return _exploded(docs, keys, markdown_pages(F.col(text), F.col(title)))
+    return _exploded(docs, keys, markdown_sections(F.col(text), F.col(title)))
 
 
 # --- HTML (A05) ----------------------------------------------------------------------------------------------------------
@@ -108,13 +139,20 @@ _BLOCK_CLOSE = rf"(?i)</(?:{'|'.join(P.HTML_BLOCKS)})\s*>"
 
 def visible_text(fragment: Column) -> Column:
     """Text of a fragment without tags, entities decoded, ends trimmed."""
-    t = sub(fragment, r"<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = replace_matches(
-        t, r"&#\d{1,6};", lambda m: F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(m, r"(\d+)", 1).cast("long")), 8, "0")), "UTF-32")
-    )
-    return strip(F.replace(t, F.lit("&amp;"), F.lit("&")))
+
+    def decoded(t: Column) -> Column:
+        named = t
+        for name, char in ENTITIES.items():
+            named = F.replace(named, F.lit(name), F.lit(char))
+
+        def numeric(m: Column) -> Column:
+            code = F.lpad(F.hex(F.regexp_extract(m, r"(\d+)", 1).cast("long")), 8, "0")
+            return F.decode(F.unhex(code), "UTF-32")
+
+        plain = let(named, lambda x: replace_matches(x, r"&#\d{1,6};", numeric))
+        return F.when(F.contains(t, F.lit("&")), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+
+    return strip(let(sub(fragment, r"<[^>]*>", ""), decoded))
 
 
 def without_containers(html: Column) -> Column:
@@ -125,57 +163,60 @@ def without_containers(html: Column) -> Column:
     return t
 
 
-def html_pages(html: Column) -> Column:
+def html_sections(html: Column) -> Column:
     """Sections at ``h1``/``h2``; blocks are cut at tag boundaries, so unclosed tags do no harm."""
-    raw_title = visible_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1))
-    heading = visible_text(F.regexp_extract(html, r"(?is)<h1(?=[\s>/])[^>]*>(.*?)</h1", 1))
-    title = F.when(raw_title != "", raw_title).when(heading != "", heading).otherwise("Web Document")
+    blank = F.lit("")
 
     def blocks(section: Column) -> Column:
         pieces = F.split(section, _BLOCK_OPEN, -1)
-        inside = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-        return non_empty(F.transform(inside, lambda p: visible_text(F.split(p, _BLOCK_CLOSE, 2)[0])))
+        return non_empty(
+            F.transform(F.slice(pieces, 2, 1_000_000), lambda p: visible_text(F.split(p, _BLOCK_CLOSE, 2)[0]))
+        )
 
-    def build(t: Column) -> Column:
-        clean = without_containers(t)
+    def cleaned(t: Column) -> Column:
+        doc = without_containers(t)
         # a heading without text opens no section
         for tag in ("h1", "h2"):
-            clean = sub(clean, rf"(?is)<{tag}(?=[\s>/])[^>]*>\s*(?:<[^>]*>\s*)*?</{tag}\s*>", "")
-
-        def sections(doc: Column) -> Column:
-            parts = F.transform(
-                F.split(doc, r"(?i)(?=<h[12][\s>/])", -1),
-                lambda s, i: F.struct(blocks(s).alias("b"), matches(s, r"(?i)^<h[12][\s>/]").alias("head")),
-            )
-            used = F.filter(parts, lambda s: F.size(s["b"]) > 0)
-            body = F.regexp_replace(doc, r"(?is)^.*<body[^>]*>|<head.*?</head>", "")
-
-            def pages(ss: Column) -> Column:
-                made = F.flatten(
-                    F.transform(
-                        ss,
-                        lambda s: let(
-                            F.struct(
-                                F.when(s["head"], s["b"][0]).otherwise(title).alias("title"),
-                                F.array_join(s["b"], "\n\n").alias("text"),
-                            ),
-                            lambda p: F.when(F.length(p["text"]) > 3500, page_array(p["text"], p["title"])).otherwise(
-                                F.array(p)
-                            ),
-                        ),
-                    )
-                )
-                return F.when(F.size(ss) > 0, made).otherwise(page_array(visible_text(body), title))
+            doc = sub(doc, rf"(?is)<{tag}(?=[\s>/])[^>]*>\s*(?:<[^>]*>\s*)*?</{tag}\s*>", "")
+        raw_title = F.regexp_extract(t, r"(?is)<title[^>]*>(.*?)</title", 1)
+        heading = F.regexp_extract(t, r"(?is)<h1(?=[\s>/])[^>]*>(.*?)</h1", 1)
+        name = F.coalesce(
+            F.nullif(visible_text(raw_title), blank), F.nullif(visible_text(heading), blank), F.lit("Web Document")
+        )
+        return F.struct(name.alias("title"), doc.alias("doc"))
 
-            return let(used, pages)
+    def sections(d: Column) -> Column:
+        parts = F.transform(
+            F.split(d["doc"], r"(?i)(?=<h[12][\s>/])", -1),
+            lambda s: F.struct(blocks(s).alias("b"), matches(s, r"(?i)^<h[12][\s>/]").alias("head")),
+        )
 
-        return let(clean, sections)
+        def made(ss: Column) -> Column:
+            texts = F.transform(
+                ss,
+                lambda s: F.struct(
+                    F.when(s["head"], s["b"][0]).otherwise(d["title"]).alias("title"),
+                    F.array_join(s["b"], "\n\n").alias("text"),
+                ),
+            )
+            return F.transform(
+                texts,
+                lambda p: F.struct(
+                    p["title"].alias("title"), p["text"].alias("text"), (F.length(p["text"]) > 3500).alias("cut")
+                ),
+            ).cast(_SECTIONS)
+
+        body = F.regexp_replace(d["doc"], r"(?is)^.*<body[^>]*>|<head.*?</head>", "")
+        return let(
+            F.filter(parts, lambda s: F.size(s["b"]) > 0),
+            lambda ss: F.when(F.size(ss) > 0, made(ss)).otherwise(_whole(visible_text(body), d["title"])),
+        )
 
-    return let(html, build)
+    return let(let(html, cleaned), sections)
 
 
 def ingest_html(docs: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
-    return _exploded(docs, keys, html_pages(F.col(html)))
+    return _exploded(docs, keys, html_sections(F.col(html)))
 
 
 # --- subtitles (A06) ------------------------------------------------------------------------------------------------------
@@ -220,7 +261,7 @@ def subtitle_text(text: Column) -> Column:
 
 
 def ingest_subtitles(docs: DataFrame, keys: Sequence[str], text: str = "text", title: str = "title") -> DataFrame:
-    return _exploded(docs, keys, page_array(subtitle_text(F.col(text)), F.col(title)))
+    return _exploded(docs, keys, _whole(subtitle_text(F.col(text)), F.col(title)))
 
 
 # --- JSON transcripts (A07) --------------------------------------------------------------------------------------------
@@ -261,8 +302,7 @@ def transcript_text(json: Column) -> Column:
 
 
 def ingest_json(docs: DataFrame, keys: Sequence[str], json: str = "json", title: str = "title") -> DataFrame:
-    extracted = docs.withColumn("_t", transcript_text(F.col(json)))
-    return _exploded(extracted, keys, page_array(F.col("_t"), F.col(title)))
+    return _exploded(docs, keys, _whole(transcript_text(F.col(json)), F.col(title)))
 
 
 # --- delimited rows (A08) ------------------------------------------------------------------------------------------------
@@ -303,7 +343,7 @@ def delimited_text(text: Column, sep: Column) -> Column:
 def ingest_delimited(
     docs: DataFrame, keys: Sequence[str], sep: str = ",", text: str = "text", title: str = "title"
 ) -> DataFrame:
-    return _exploded(docs, keys, page_array(delimited_text(F.col(text), F.lit(sep)), F.col(title)))
+    return _exploded(docs, keys, _whole(delimited_text(F.col(text), F.lit(sep)), F.col(title)))
 
 
 # --- routing (A01) -----------------------------------------------------------------------------------------------------
@@ -318,30 +358,30 @@ def file_title(path: Column) -> Column:
 def route_documents(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Pages of files by extension, ``path, page_no, title, text``. One pass, no shuffle, no union.
 
-    A result without pages becomes one page with the whole text.
+    A document without pages becomes one page with the whole text.
     """
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     t = F.col(content)
     docs = files.withColumn("_ext", ext).withColumn("_title", file_title(F.col(path)))
     title = F.col("_title")
-    pages = (
-        F.when(F.col("_ext").isin("md", "markdown"), markdown_pages(t, title))
-        .when(F.col("_ext").isin("html", "htm"), html_pages(t))
-        .when(F.col("_ext").isin("srt", "vtt"), page_array(subtitle_text(t), title))
-        .when(F.col("_ext") == "json", page_array(transcript_text(t), title))
-        .when(
-            F.col("_ext").isin("csv", "tsv"),
-            page_array(delimited_text(t, F.when(F.col("_ext") == "tsv", "\t").otherwise(",")), title),
-        )
-        .otherwise(page_array(t, title))
+    plain = (
+        F.when(F.col("_ext").isin("srt", "vtt"), subtitle_text(t))
+        .when(F.col("_ext") == "json", transcript_text(t))
+        .when(F.col("_ext") == "csv", delimited_text(t, F.lit(",")))
+        .when(F.col("_ext") == "tsv", delimited_text(t, F.lit("\t")))
+        .otherwise(t)
     )
-    whole = F.array(
-        F.struct(title.alias("title"), F.when(strip(t) == "", "Empty document").otherwise(strip(t)).alias("text"))
+    sections = (
+        F.when(F.col("_ext").isin("md", "markdown"), markdown_sections(t, title))
+        .when(F.col("_ext").isin("html", "htm"), html_sections(t))
+        .otherwise(_whole(plain, title))
     )
-    docs = docs.withColumn("_pages", pages).withColumn(
-        "_pages", F.when(F.size("_pages") == 0, whole).otherwise(F.col("_pages"))
+    whole = F.when(strip(t) == "", "Empty document").otherwise(strip(t))
+    return _exploded(
+        docs,
+        [path],
+        let(sections, lambda s: F.when(F.size(s) == 0, _whole(whole, title)).otherwise(s)),
     )
-    return _exploded(docs, [path], F.col("_pages"))
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
