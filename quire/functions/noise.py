@@ -8,23 +8,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.functions.text import count_of, let, matches, strip
+from quire.functions.text import chars_of, count_of, let, matches, non_empty, strip
+
+
+def _has_digit(c: Column) -> Column:
+    return matches(c, "[0-9]")
+
+
+def artifact(c: Column) -> Column:
+    return (_has_digit(c) | matches(c, "(?i)canvas")) & matches(c, P.BROWSER_ARTIFACT)
 
 
 def url_or_artifact(c: Column) -> Column:
-    return matches(c, P.FILE_OR_URL) | matches(c, P.BROWSER_ARTIFACT)
+    """The cheap first test names characters every alternative of the long pattern needs."""
+    possible = matches(c, r"(?i)[:/\\]|www\.|\.(?:pdf|htm|doc|txt|epub)")
+    return (possible & matches(c, P.FILE_OR_URL)) | artifact(c)
 
 
 def date_or_time(c: Column) -> Column:
-    return matches(c, P.DATE_OR_TIME) | matches(c, P.ISSUE_VOL) | (matches(c, P.YEAR) & (F.length(c) <= 40))
+    """Every date, issue and year pattern holds a digit."""
+    return _has_digit(c) & (
+        matches(c, P.DATE_OR_TIME) | matches(c, P.ISSUE_VOL) | ((F.length(c) <= 40) & matches(c, P.YEAR))
+    )
 
 
 def page_number(c: Column) -> Column:
     return (
-        matches(c, P.PAGE_NUMBER)
+        (_has_digit(c) & (matches(c, P.PAGE_NUMBER) | matches(c, P.PAGE_OF)))
         | matches(c, P.ROMAN_NUMBER)
-        | matches(c, P.BROWSER_ARTIFACT)
-        | matches(c, P.PAGE_OF)
+        | artifact(c)
     )
 
 
@@ -48,7 +60,7 @@ def table_line(c: Column) -> Column:
     """Table divider, border rule or symbol grid; blank text counts as one."""
 
     def judged(t: Column) -> Column:
-        symbols = count_of(t, P.TABLE_SYMBOLS)
+        symbols = chars_of(t, P.TABLE_SYMBOLS)
         patterns = reduce(lambda a, b: a | b, [matches(t, p) for p in P.TABLE_LINES])
         no_alnum = ~matches(t, r"[\p{L}0-9]")
         return (
@@ -60,22 +72,30 @@ def table_line(c: Column) -> Column:
     return let(strip(c), judged)
 
 
+def _whole_tokens(t: Column, pattern: str) -> Column:
+    """Number of tokens that match; the pattern may match the empty string between tokens, which does not count."""
+    return F.size(non_empty(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
+
+
 def garbage(c: Column, profile: str = "page") -> Column:
     """Scan noise rather than words. The page profile needs two of three signals; the web profile also drops tables."""
 
-    def judged(t: Column) -> Column:
-        tokens = F.split(t, r"\s+")
+    word = r"\p{L}\p{N}_" if profile == "page" else "A-Za-z0-9_"
+    inner = rf"[^{word}\s]*"
+    # tokens of at most two word characters, whatever stands around and between them
+    tiny = rf"(?<!\S){inner}(?:[{word}]{inner}){{0,2}}(?!\S)"
+    if profile == "page":
+        known = rf"(?i)(?<!\S)[.,;:!?\"'()]*(?:{'|'.join(P.COMMON_SHORT)})[.,;:!?\"'()]*(?!\S)"
+    else:
+        spelled = "|".join(inner.join(w) for w in P.COMMON_SHORT)
+        known = rf"(?i)(?<!\S){inner}(?:{spelled}){inner}(?!\S)"
 
-        def tiny(w: Column) -> Column:
-            core = F.regexp_replace(w, F.lit(r"[^\p{L}\p{N}_]" if profile == "page" else r"[^A-Za-z0-9_]"), F.lit(""))
-            known = F.trim(F.lower(w), F.lit(".,;:!?\"'()")) if profile == "page" else F.lower(core)
-            return (F.length(core) <= 2) & ~known.isin(P.COMMON_SHORT)
-
-        word = r"[\p{L}\p{N}_]" if profile == "page" else r"[A-Za-z0-9_]"
+    def judged(t: Column) -> Column:
+        n_tiny = _whole_tokens(t, tiny) - _whole_tokens(t, known)
         signals = (
-            (F.size(F.filter(tokens, tiny)) / F.size(tokens) > 0.45).cast("int")
-            + (count_of(t, word + r"[\"'(),;:](?!\s|$)") >= 3).cast("int")
-            + (count_of(t, r"\p{L}") / F.length(t) < 0.35).cast("int")
+            (n_tiny / F.greatest(F.lit(1), count_of(t, r"\S+")) > 0.45).cast("int")
+            + (count_of(t, rf"[{word}][\"'(),;:](?!\s|$)") >= 3).cast("int")
+            + (chars_of(t, r"\p{L}") / F.length(t) < 0.35).cast("int")
         )
         noisy = matches(t, P.LONG_DASHES) | (signals >= 2)
         if profile == "page":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.functions.text import count_of, let, matches, strip, text_lines
+from quire.functions.text import chars_of, count_of, let, matches, strip, text_lines
 
 _LATIN_WORD = rf"[{P.LATIN}]{{2,}}"
 _LETTER_WORD = r"\p{L}{2,}"
@@ -23,7 +23,7 @@ def prose_parts(text: str) -> dict[str, Column]:
     return {
         "alpha_words": count_of(c, _LATIN_WORD),
         "alpha_chars": F.length(c) - F.length(F.regexp_replace(c, F.lit(_LATIN_WORD), F.lit(""))),
-        "sentence_ends": count_of(c, r"[.!?…]"),
+        "sentence_ends": chars_of(c, r"[.!?…]"),
         "caps3": count_of(c, rf"(?<![{P.LATIN}])[{P.LATIN_UPPER}]{{3,}}(?![{P.LATIN}])"),
         "caps2": count_of(c, rf"(?<![{P.LATIN}])[{P.LATIN_UPPER}]{{2,}}(?![{P.LATIN}])"),
     }
@@ -59,7 +59,7 @@ def with_text_features(pages: DataFrame, text: str = "raw_text") -> DataFrame:
         .withColumn("caps_words", count_of(c, r"(?<!\S)(?=\S*\p{Lu})(?!\S*\p{Ll})\S{3,}"))
         .withColumn("cue_hits", count_of(c, ad_cue_pattern()))
         .withColumn("cue_hits_web", count_of(c, ad_cue_pattern("web")))
-        .withColumn("bangs", count_of(c, "!"))
+        .withColumn("bangs", chars_of(c, "!"))
         .withColumn("bang_run", F.contains(c, F.lit("!!!")))
         .withColumn("shout", matches(c, P.SHOUT))
         .withColumn("shout_web", matches(c, P.SHOUT_WEB))
@@ -177,9 +177,9 @@ def word_score(word: Column) -> Column:
     """Readability score of one token: letters weigh most, marker glyphs and mixed tokens cost."""
 
     def scored(w: Column) -> Column:
-        letters = count_of(w, r"\p{L}")
-        digits = count_of(w, r"\p{Nd}")
-        plain = count_of(w, r"[ .,:;!?\-_/()\[\]'\"]")
+        letters = chars_of(w, r"\p{L}")
+        digits = chars_of(w, r"\p{Nd}")
+        plain = chars_of(w, r"[ .,:;!?\-_/()\[\]'\"]")
         other = F.length(w) - letters - digits - plain
         # a plain word with at most one closing mark and no triple letter draws no penalty
         plain_word = matches(w, r"^(?!.*(.)\1{2})\p{L}+[.,;:!?]?$")
@@ -203,8 +203,8 @@ def junk_text(text: Column) -> Column:
 
     def judged(t: Column) -> Column:
         tokens = F.split(t, r"\s+")
-        letters = count_of(t, r"\p{L}")
-        solid = count_of(t, r"\S")
+        letters = chars_of(t, r"\p{L}")
+        solid = chars_of(t, r"\S")
         bad = F.size(F.filter(tokens, lambda w: word_score(w) < 0))
         return (
             (t == "")

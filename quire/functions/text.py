@@ -32,6 +32,11 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def chars_of(c: Column, cls: str) -> Column:
+    """Number of characters of a class, by the length that is left without them; no array of matches is built."""
+    return F.length(c) - F.length(F.regexp_replace(c, F.lit(f"{cls}+"), F.lit("")))
+
+
 def matches(c: Column, pattern: str) -> Column:
     return F.regexp_like(c, F.lit(pattern))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions import scores as S
 from quire.functions.noise import date_or_time, url_or_artifact
-from quire.functions.text import count_of, let, matches, non_empty, strip, text_lines
+from quire.functions.text import chars_of, let, matches, non_empty, strip, text_lines
 
 
 def cues(pages: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -57,10 +57,10 @@ def title_of(lines: Column, profile: str = "page") -> Column:
     def scored(s: Column, i: Column) -> Column:
         n = F.length(s)
         if profile == "web":
-            letters, upper = count_of(s, r"\p{L}"), count_of(s, r"\p{Lu}")
+            letters, upper = chars_of(s, r"\p{L}"), chars_of(s, r"\p{Lu}")
             heading = matches(s, r"^[A-Z]")
         else:
-            letters, upper = count_of(s, rf"[{P.LATIN}]"), count_of(s, rf"[{P.LATIN_UPPER}]")
+            letters, upper = chars_of(s, rf"[{P.LATIN}]"), chars_of(s, rf"[{P.LATIN_UPPER}]")
             heading = matches(s, r"^\p{Lu}")
         keep = ~matches(s, P.CONT_NOISE) & ~matches(s, r"^\d{1,4}$") & (n >= 3)
         if profile == "web":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.checks.sql_layout import PAGE, q, rule_sql
+from quire.checks.sql_layout import LAYOUT_VIEWS, PAGE, q, rule_sql
 from quire.operators import layout as B
 from quire.plans import views as V
 
@@ -35,6 +35,18 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
     return B.reading_order(V.layout_lines(spark, sf)).select(*KEY, "line_no", "read_no", "half", "is_title", "block")
 
 
+def reading_order_extent(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns measured by their outer edges; box rules split the columns of some pages."""
+    return B.reading_order(V.layout_lines(spark, sf), narrow="extent").select(
+        *KEY, "line_no", "read_no", "half", "is_title", "block", F.col("col_x").isNotNull().alias("in_column")
+    )
+
+
+def chunks_web(spark: SparkSession, sf: str) -> DataFrame:
+    ordered = B.reading_order(V.layout_lines(spark, sf), narrow="extent")
+    return B.chunk_breaks(ordered, max_chars=450, profile="web").select(*KEY, "line_no", "read_no", "chunk_no")
+
+
 def chunk_breaks(spark: SparkSession, sf: str) -> DataFrame:
     ordered = B.reading_order(V.layout_lines(spark, sf))
     return B.chunk_breaks(ordered).select(*KEY, "line_no", "read_no", "chunk_no")
@@ -72,6 +84,8 @@ QUERIES = {
     "page_split": page_split,
     "column_clusters": column_clusters,
     "reading_order": reading_order,
+    "reading_order_extent": reading_order_extent,
+    "chunks_web": chunks_web,
     "chunk_breaks": chunk_breaks,
     "chunks": chunks,
     "caps_runs": caps_runs,
@@ -81,7 +95,30 @@ QUERIES = {
 _BOX = '"left", top, width, height'
 _MONTH_NAME = "monthname(make_date(2000, CAST(page_no % 14 AS INT), 1))"
 
+_EXTENT = {"v_opens": LAYOUT_VIEWS["v_opens"].replace("c.hi - c.lo <", "any_value(c.ext) <")}
+_HEAD = r"^(?i)(\d+[.)]|[•\-*]|MODEL|KIT|SPECIAL|TABLE|FIGURE|PAGE|SECTION|THE MOST|COMPLETE|NEW|JUMBO)"
+_WEB = {
+    **_EXTENT,
+    "v_chunk_flags": f"""
+        SELECT *, p_left IS NULL OR ov < 0.2 * greatest(1, least(width, p_width)) OR gap > avg_h * 1.4
+               OR (p_left = "left" AND p_top = top AND p_width = width AND p_height = height)
+               OR (((length(text) < 55 AND text = upper(text) AND regexp_matches(text, '[A-Z]'))
+                    OR regexp_matches(trim(text), '{_HEAD}'))
+                   AND (regexp_matches(trim(p_text), '(?i)(\\$\\d+(\\.\\d{{2}})?|\\b(ea|each|kit|only|total)\\b|[.!?…:])$')
+                        OR gap > avg_h * 0.4)) AS hard
+        FROM (SELECT *, least(p_left + p_width, "left" + width) - greatest(p_left, "left") AS ov,
+                     top - (p_top + p_height) AS gap, greatest(1.0, (p_height + height) / 2.0) AS avg_h
+              FROM (SELECT *, lag("left") OVER w AS p_left, lag(top) OVER w AS p_top, lag(width) OVER w AS p_width,
+                           lag(height) OVER w AS p_height, lag(text) OVER w AS p_text
+                    FROM v_order WINDOW w AS (PARTITION BY {PAGE} ORDER BY read_no)))""",
+    "v_rec_chunks": LAYOUT_VIEWS["v_rec_chunks"].replace("> 400", "> 450"),
+}
+
 SQL = {
+    "reading_order_extent": q(
+        f"SELECT {PAGE}, line_no, read_no, half, is_title, block, col_x IS NOT NULL AS in_column FROM v_order", _EXTENT
+    ),
+    "chunks_web": q(f"SELECT {PAGE}, line_no, read_no, chunk_no FROM v_chunk_lines", _WEB),
     "page_metrics": q(f"""
         SELECT {PAGE}, n, med_h, min_left, max_right, max_right - min_left AS text_width, page_top,
                greatest(4, CAST(floor(med_h * 0.6) AS INT)) AS band FROM v_metrics"""),

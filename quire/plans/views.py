@@ -27,7 +27,12 @@ FORM_PHRASES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """One driver table. A scan with fewer splits than cores (a small file) is spread first, since the text jobs behind it
+    are heavy on the processor; a large scan is left as it is, without a shuffle.
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
