@@ -44,34 +44,35 @@ def prose_score() -> Column:
 def with_text_features(pages: DataFrame, text: str = "raw_text") -> DataFrame:
     """Add the counters, cue lists and scores every classifier below reads. One projection, no shuffle."""
     c = F.col(text)
-    base = pages
-    for name, column in prose_parts(text).items():
-        base = base.withColumn(name, column)
-    trimmed_lines = F.filter(
-        F.transform(text_lines(c), strip), lambda s: s != F.lit("")
+    trimmed_lines = F.filter(F.transform(text_lines(c), strip), lambda s: s != F.lit(""))
+    counted = pages.withColumns(
+        {
+            **prose_parts(text),
+            "continued_on": cue_numbers(text, P.CONTINUED_ON),
+            "continued_from": cue_numbers(text, P.CONTINUED_FROM),
+            "chars": F.length(strip(c)),
+            "text_len": F.length(c),
+            "words": count_of(c, r"\S+"),
+            "caps_words": count_of(c, r"(?<!\S)(?=\S*\p{Lu})(?!\S*\p{Ll})\S{3,}"),
+            "cue_hits": count_of(c, ad_cue_pattern()),
+            "cue_hits_web": count_of(c, ad_cue_pattern("web")),
+            "bangs": chars_of(c, "!"),
+            "bang_run": F.contains(c, F.lit("!!!")),
+            "shout": matches(c, P.SHOUT),
+            "shout_web": matches(c, P.SHOUT_WEB),
+            "underscores": count_of(c, "_{2,}"),
+            "form_phrase": matches(c, P.FORM_AD),
+            "n_text_lines": F.size(trimmed_lines),
+        }
     )
-    return (
-        base.withColumn("continued_on", cue_numbers(text, P.CONTINUED_ON))
-        .withColumn("continued_from", cue_numbers(text, P.CONTINUED_FROM))
-        .withColumn("chars", F.length(strip(c)))
-        .withColumn("text_len", F.length(c))
-        .withColumn("words", count_of(c, r"\S+"))
-        .withColumn("caps_words", count_of(c, r"(?<!\S)(?=\S*\p{Lu})(?!\S*\p{Ll})\S{3,}"))
-        .withColumn("cue_hits", count_of(c, ad_cue_pattern()))
-        .withColumn("cue_hits_web", count_of(c, ad_cue_pattern("web")))
-        .withColumn("bangs", chars_of(c, "!"))
-        .withColumn("bang_run", F.contains(c, F.lit("!!!")))
-        .withColumn("shout", matches(c, P.SHOUT))
-        .withColumn("shout_web", matches(c, P.SHOUT_WEB))
-        .withColumn("underscores", count_of(c, "_{2,}"))
-        .withColumn("form_phrase", matches(c, P.FORM_AD))
-        .withColumn("n_text_lines", F.size(trimmed_lines))
-        .withColumn("prose", prose_score())
-        .withColumn("density", F.when(F.col("words") == 0, 0.0).otherwise(F.col("cue_hits") / F.col("words")))
-        .withColumn(
-            "density_web", F.when(F.col("words") == 0, 0.0).otherwise(F.col("cue_hits_web") / F.col("words"))
-        )
-        .withColumn("caps_ratio", F.col("caps2") / F.greatest(F.lit(1), F.col("alpha_words")))
+    per_word = lambda hits: F.when(F.col("words") == 0, 0.0).otherwise(F.col(hits) / F.col("words"))
+    return counted.withColumns(
+        {
+            "prose": prose_score(),
+            "density": per_word("cue_hits"),
+            "density_web": per_word("cue_hits_web"),
+            "caps_ratio": F.col("caps2") / F.greatest(F.lit(1), F.col("alpha_words")),
+        }
     )
 
 

@@ -43,6 +43,4 @@ def join_attributes(
         )
         .join(cold, [*keys, "_salt"], "left")
     )
-    for c in values:
-        joined = joined.withColumn(c, F.coalesce(f"_h_{c}", f"_c_{c}"))
-    return joined.select(*rows.columns, *values)
+    return joined.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in values])
