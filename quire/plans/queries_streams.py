@@ -26,10 +26,17 @@ def _arrivals(pages: DataFrame) -> DataFrame:
     return pages.withColumn("arrived_at", F.timestamp_seconds(seconds))
 
 
-def replay(spark: SparkSession, df: DataFrame, order: str, name: str, files: int = FILES) -> DataFrame:
-    """Write ``df`` as files in arrival order and read them back as a stream, two files per micro-batch."""
+def replay(
+    spark: SparkSession, df: DataFrame, order: str, name: str, files: int = FILES, closing: DataFrame | None = None
+) -> DataFrame:
+    """Write ``df`` as files and read them back as a stream, two files per micro-batch.
+
+    Files of one write may be read in any order. ``closing`` is written after all of them, so it is read last.
+    """
     path = fresh_path(spark, name)
     df.repartitionByRange(files, order).write.parquet(path)
+    if closing is not None:
+        closing.write.mode("append").parquet(path)
     return S.stream_pages(spark, path, df.schema, files_per_batch=2)
 
 
@@ -45,6 +52,7 @@ def stream_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_goto(spark: SparkSession, sf: str) -> DataFrame:
+    """The watermark delay covers the whole replay, so the order of the files does not matter."""
     numbered = _arrivals(V.issue_pages(spark, sf).select(*KEY, F.col("page_no").alias("number")))
     asked = V.requests(spark, sf)
     end_page = spark.range(1).select(
@@ -55,10 +63,11 @@ def stream_goto(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(-1).cast("long").alias("request_id"), F.lit("").alias("issue_id"), F.lit(-1).alias("number"),
         F.lit(CLOSING).cast(asked.schema["ts"].dataType).alias("ts"),
     )
-    requests = asked.unionByName(end_request).withColumn("ts", F.col("ts").cast("timestamp"))
-    pages = numbered.unionByName(end_page)
+    seconds = lambda d: d.withColumn("ts", F.col("ts").cast("timestamp"))
     out = S.stream_resolve(
-        replay(spark, requests, "ts", "requests"), replay(spark, pages, "arrived_at", "numbers")
+        replay(spark, seconds(asked), "ts", "requests", closing=seconds(end_request)),
+        replay(spark, numbered, "arrived_at", "numbers", closing=end_page),
+        delay="90 days",
     )
     return S.collect_stream(out, "goto", out.schema).filter("request_id >= 0")
 
