@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import balance, mixing
+from quire.llm import balance, mixing, suffix
 from quire.session import table_path
 
 
@@ -22,12 +22,39 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without bytes of 100-byte strings that also start earlier."""
+    out = suffix.remove_repeats(_documents(spark, sf_dir), width=100)
+    return out.select(
+        "row.doc_id",
+        F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     mixed = mixing.pareto_mix(_documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP6_SQL = r"""
+WITH body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 200)) AS k FROM (SELECT *, unnest(range(n - 99)) AS i FROM body)),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+marked AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS opens FROM later),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked)
+  GROUP BY doc_id, g),
+gaps AS (SELECT spans.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS gap,
+  CASE WHEN lead(a) OVER w IS NULL THEN substr(h, 2 * b + 1) ELSE '' END AS rest
+  FROM spans JOIN body USING (doc_id) WINDOW w AS (PARTITION BY spans.doc_id ORDER BY a)),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(gap || rest, '' ORDER BY a) AS kept FROM gaps GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM body LEFT JOIN cut USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -54,6 +81,7 @@ SELECT doc_id, size, source_size, target,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_mixing": op8_mixing,
 }
-SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
