@@ -219,11 +219,12 @@ class Induced:
         kind = np.int32 if n < 1 << 31 else np.int64
         self.position = np.dtype(kind).str
         # distance to the end mark, at least 1 inside a string
-        self.room = (np.repeat(ends, lengths + 1) - np.arange(n)).astype(kind)
-        step = np.sign(self.text[1:].astype(np.int32) - self.text[:-1])
-        after = np.append(step, 0).astype(np.int8)
-        places = np.where(after != 0, np.arange(n), n)
-        nxt = np.minimum.accumulate(places[::-1])[::-1]
+        self.room = np.repeat(ends.astype(kind), lengths + 1)
+        self.room -= np.arange(n, dtype=kind)
+        after = np.zeros(n, dtype=np.int8)
+        np.sign(self.text[1:] - self.text[:-1], out=after[:-1], casting="unsafe")
+        nxt = np.where(after != 0, np.arange(n, dtype=kind), np.array(n, dtype=kind))
+        nxt = np.minimum.accumulate(nxt[::-1], out=nxt[::-1])[::-1]
         self.smaller = np.zeros(n, dtype=bool)  # S-type: smaller than the suffix that follows
         known = nxt < n
         self.smaller[known] = after[nxt[known]] > 0
