@@ -373,11 +373,11 @@ class Induced:
 
 def later_windows(
     data: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int, limit: int = 16_000_000
-) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of each window of ``width`` bytes that also starts earlier, by (doc, start + offset)."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the bytes in windows of ``width`` bytes that also start earlier, by (doc, start + offset)."""
+    found = [(np.zeros(0, dtype=np.int64),) * 3]
     if not len(data):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+        return found[0]
     with tempfile.TemporaryDirectory() as folder:
         sorter = Induced(data, at, width, folder, limit)
         tail_at = np.zeros(0, dtype=np.int64)
@@ -404,9 +404,9 @@ def later_windows(
             head[1:] = group[1:] != group[:-1]
             lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
             later = (d != d[lead]) | (where != where[lead])
-            found.append((string[later], (at_all - sorter.firsts[string])[later]))
+            found.append(merged(d[later], where[later], where[later] + width))
             tail_at = at_all[lead[-1] : lead[-1] + 1]  # the first of the last group stands for it
-    return np.concatenate([s for s, _ in found]), np.concatenate([o for _, o in found])
+    return merged(*(np.concatenate([f[i] for f in found]) for i in range(3)))
 
 
 def _sort_shard(width: int):  # type: ignore[no-untyped-def]
@@ -420,8 +420,7 @@ def _sort_shard(width: int):  # type: ignore[no-untyped-def]
         data = np.concatenate([p[0] for p in parts])
         at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
         del table, parts
-        string, offset = later_windows(data, at, doc, start, width)
-        d, s, e = merged(doc[string], start[string] + offset, start[string] + offset + width)
+        d, s, e = later_windows(data, at, doc, start, width)
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e - s)], names=["doc_id", "start", "n"])
 
     return run
