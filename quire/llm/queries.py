@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import balance, minhash, mixing, suffix
+from quire.llm import balance, debruijn, minhash, mixing, suffix
 from quire.session import table_path
 
 
@@ -46,6 +46,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without words of 13-word windows that also start in a smaller document."""
+    out = debruijn.remove_repeats(_documents(spark, sf_dir), width=13)
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP6_SQL = r"""
 WITH body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 windows AS (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 200)) AS k FROM (SELECT *, unnest(range(n - 99)) AS i FROM body)),
@@ -77,6 +83,20 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(other) AS component_i
 FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id, n
 """
 
+OP9_SQL = r"""
+WITH listed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM listed),
+windows AS (SELECT doc_id, j, w[j] AS word,
+  CASE WHEN j + 12 <= len(w) THEN md5_number(array_to_string(w[j:j + 12], ' ')) END AS k FROM words),
+marked AS (SELECT doc_id, j, word, (k IS NOT NULL AND min(doc_id) OVER (PARTITION BY k) < doc_id)::INT AS gone FROM windows),
+cut AS (SELECT doc_id, j, word, max(gone) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM marked),
+kept AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS kept
+  FROM cut GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -105,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_mixing": op8_mixing,
+    "op9_debruijn": op9_debruijn,
     "op10_minhash": op10_minhash,
 }
-SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_minhash": OP10_SQL}
+SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_debruijn": OP9_SQL, "op10_minhash": OP10_SQL}
