@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import balance, debruijn, minhash, mixing, suffix
+from quire.llm import balance, bpe, debruijn, minhash, mixing, suffix
 from quire.session import table_path
 
 
@@ -15,6 +16,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to, as digests."""
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards with counts at most one apart; equal texts together as far as there is room."""
     return balance.balanced_shards(_documents(spark, sf_dir), shards=8).select(
@@ -122,6 +128,7 @@ SELECT doc_id, size, source_size, target,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op5_sharding": op5_sharding,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_mixing": op8_mixing,
