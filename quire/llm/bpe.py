@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from quire.llm import textops
 
 CACHE = 300_000
+TEXT = 1 << 19
 BLOCK = 128
 
 # White space of the pattern, and letters and numbers of Unicode 16 that older tables don't have.
@@ -306,7 +307,7 @@ def round_trip(documents: DataFrame, vocabulary: str, text: str = "text") -> Dat
         width = np.array([len(d) for d in decimals], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(width)[:-1]])
         digits = np.frombuffer(b"".join(decimals), dtype=np.uint8)
-        for rows, data, at in textops.chunks(batches, "text", limit=textops.CHUNK // 2):
+        for rows, data, at in textops.chunks(batches, "text", limit=TEXT):
             ids, _, counts = own.encode(data, at)
             last = np.concatenate([[0], np.cumsum(counts)])
             listed = memoryview(digits[textops.ranges(begin[ids], width[ids])])

@@ -32,7 +32,7 @@ from quire.llm import textops
 from quire.session import materialize
 
 ANCHOR = 5
-GATHER = 400_000
+GATHER = 150_000
 #: a piece: h, c, document, at = start << 16 | windows << 8 | place of the minimizer; a copy: c windows at ``at``, source (f, t)
 _PIECE = "h long, c long, doc_id long, at long, f long, t long"
 _RUN = "doc_id long, s long, n long, f long, t long"
@@ -275,16 +275,15 @@ def repeated_paths(documents: DataFrame, width: int = 13, text: str = "text") ->
 
 
 def remove_repeats(documents: DataFrame, width: int = 13, text: str = "text") -> DataFrame:
-    """row (struct of all columns of ``documents``), kept (binary: remaining words joined by one space), n_words, n_removed."""
+    """row (struct of all columns, the text being null), kept (binary: remaining words joined by one space), n_words, n_removed."""
     paths = repeated_paths(documents, width, text)
     own = F.when(F.col("f") == F.col("doc_id"), F.col("t")).otherwise(F.lit(-1)).alias("t")
     runs = paths.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n", own)).alias("r"))
-    kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType
-    slim = F.struct(*[F.lit(None).cast(c.dataType).alias(c.name) if c.name == text else F.col(c.name) for c in documents.schema])
+    slim, kind = textops.without(documents, text)
     rows = documents.select(slim.alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(textops.pack, f"row {kind.simpleString()}, _doc long, packed binary")
+    rows = rows.mapInArrow(textops.pack, f"row {kind}, _doc long, packed binary")
     none = F.array().cast("array<struct<s:bigint,n:bigint,t:bigint>>")
     joined = rows.join(runs, F.col("_doc") == F.col("doc_id"), "left")
     return joined.select("row", "_doc", "packed", F.coalesce("r", none).alias("r")).mapInArrow(
-        _cut(width), f"row {kind.simpleString()}, kept binary, n_words long, n_removed long"
+        _cut(width), f"row {kind}, kept binary, n_words long, n_removed long"
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import balance, balltree, bpe, debruijn, minhash, mixing, suffix, vptree
+from quire.llm import balance, balltree, bpe, debruijn, minhash, mixing, quality, suffix, vptree
 from quire.session import table_path
 
 
@@ -21,6 +21,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text; a fifth of the labels never teaches."""
+    documents = _documents(spark, sf_dir)
+    trees = quality.fit(documents, spark.read.parquet(table_path(sf_dir, "labels")))
+    scored = quality.classify(documents.select("doc_id", "text"), trees, threshold=0.3)
+    return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products found for every twentieth vector; measured recall is above 0.99 at this factor."""
     embeddings = spark.read.parquet(table_path(sf_dir, "embeddings"))
@@ -45,7 +53,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(_documents(spark, sf_dir), width=100)
     return out.select(
         "row.doc_id",
-        F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_bytes",
         "n_removed",
         "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"),
@@ -150,6 +158,7 @@ SELECT doc_id, size, source_size, target,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op4_vptree": op4_vptree,
     "op5_sharding": op5_sharding,
     "op6_suffix_dedup": op6_suffix_dedup,

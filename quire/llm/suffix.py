@@ -31,7 +31,7 @@ from quire.llm import textops
 from quire.session import materialize
 
 ANCHOR = 32
-GATHER = 400_000
+GATHER = 150_000
 BATCH = 1 << 20
 _PIECE = "h long, c long, doc_id long, start long, n int, off int"
 _SCHEMA = pa.schema(
@@ -409,6 +409,34 @@ def later_windows(
     return merged(*(np.concatenate([f[i] for f in found]) for i in range(3)))
 
 
+def _slice(width: int):  # type: ignore[no-untyped-def]
+    """Bytes of the wanted pieces of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2)
+            offsets = wanted.offsets.to_numpy()
+            h, start, n = (wanted.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo in range(0, batch.num_rows, 256):
+                texts = textops.unpack(batch.column(1).slice(lo, 256))
+                hi = lo + len(texts)
+                inner = slice(offsets[lo], offsets[hi])
+                owner = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+                cuts = zip(owner.tolist(), start[inner].tolist(), (start[inner] + n[inner] + width - 1).tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(docs[lo:hi][owner]),
+                        pa.array(start[inner]),
+                        pa.array([texts[i][a:b] for i, a, b in cuts], pa.binary()),
+                        pa.array(h[inner]),
+                    ],
+                    names=["doc_id", "start", "piece", "h"],
+                )
+
+    return run
+
+
 def _sort_shard(width: int):  # type: ignore[no-untyped-def]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [b for b in batches if b.num_rows]
@@ -432,63 +460,50 @@ def repeated_ranges(documents: DataFrame, width: int = 100, text: str = "text")
     found = docs.where(F.octet_length("text") >= width).mapInArrow(_find(width), _PIECE)
     ordered = found.repartition("h").sortWithinPartitions("h", "c", "n", "off", "doc_id", "start")
     matched = materialize(ordered.mapInArrow(_match(width), _PIECE).drop("c"), "suffix-pieces")
-    reps = (
-        matched.where("off >= 0").groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("_p"))
-    )
-    body = F.col("text").cast("binary")
-    cut = F.transform(
-        "_p",
-        lambda p: F.struct(
-            p["h"].alias("h"),
-            p["start"].alias("start"),
-            F.substring(body, (p["start"] + 1).cast("int"), (p["n"] + (width - 1)).cast("int")).alias("piece"),
-        ),
-    )
-    shards = (
-        docs.join(reps, "doc_id")
-        .select("doc_id", F.explode(cut).alias("p"))
-        .select("doc_id", "p.start", "p.piece", "p.h")
-        .repartition("h")
-        .drop("h")
-    )
-    sorted_out = shards.mapInArrow(_sort_shard(width), "doc_id long, start long, n long")
+    reps = matched.where("off >= 0").groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("p"))
+    packed = docs.mapInArrow(textops.pack, "doc_id long, packed binary")
+    shards = packed.join(reps, "doc_id").mapInArrow(_slice(width), "doc_id long, start long, piece binary, h long")
+    sorted_out = shards.repartition("h").drop("h").mapInArrow(_sort_shard(width), "doc_id long, start long, n long")
     return matched.where("off < 0").select("doc_id", "start", F.col("n").cast("long")).unionByName(sorted_out)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, text, ranges = (batch.column(i) for i in range(3))
-        data, at = textops.flat(text)
+        row, packed, ranges = (batch.column(i) for i in range(3))
         begin = ranges.offsets.to_numpy()
         fields = ranges.values
         starts = fields.field(0).to_numpy(zero_copy_only=False)
         ends = starts + fields.field(1).to_numpy(zero_copy_only=False)
-        kept, removed, spans = [], [], []
+        kept, sizes, removed, spans = [], [], [], []
         for i in range(batch.num_rows):
-            body = data[at[i] : at[i + 1]]
+            text = textops.unpack(packed.slice(i, 1))[0]
             lo, hi = begin[i], begin[i + 1]
+            sizes.append(len(text))
             if lo == hi:
-                kept.append(body.tobytes())
+                kept.append(text)
                 removed.append(0)
                 spans.append(0)
                 continue
-            gone = textops.covered(np.minimum(starts[lo:hi], len(body)), np.minimum(ends[lo:hi], len(body)), len(body))
-            kept.append(body[~gone].tobytes())
+            gone = textops.covered(np.minimum(starts[lo:hi], len(text)), np.minimum(ends[lo:hi], len(text)), len(text))
+            kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes())
             removed.append(int(gone.sum()))
             spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
         yield pa.RecordBatch.from_arrays(
-            [row, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-            names=["row", "kept", "n_removed", "n_spans"],
+            [row, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))],
+            names=["row", "kept", "n_bytes", "n_removed", "n_spans"],
         )
 
 
 def remove_repeats(documents: DataFrame, width: int = 100, text: str = "text") -> DataFrame:
-    """row (struct of all columns of ``documents``), kept (binary: remaining bytes), n_removed, n_spans (maximal removed runs)."""
+    """row (struct of all columns, the text being null), kept (binary: remaining bytes), n_bytes (before), n_removed, n_spans
+    (maximal removed runs).
+    """
     ranges = repeated_ranges(documents, width, text).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("r"))
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"))
+    slim, kind = textops.without(documents, text)
+    rows = documents.select(slim.alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(textops.pack, f"row {kind}, _doc long, packed binary")
     joined = rows.join(ranges, F.col("_doc") == F.col("doc_id"), "left")
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
-    kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return joined.select("row", "text", F.coalesce("r", none).alias("r")).mapInArrow(
-        _cut, f"row {kind}, kept binary, n_removed long, n_spans long"
+    return joined.select("row", "packed", F.coalesce("r", none).alias("r")).mapInArrow(
+        _cut, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long"
     )

@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 
 
@@ -208,3 +210,9 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     ends = np.cumsum(n)
     return np.repeat(start - (ends - n), n) + np.arange(ends[-1])
+
+
+def without(frame: DataFrame, text: str) -> tuple[Column, str]:
+    """Struct of all columns with a null in place of the text, and its type; the text itself travels packed beside it."""
+    slim = F.struct(*[F.lit(None).cast(c.dataType).alias(c.name) if c.name == text else F.col(c.name) for c in frame.schema])
+    return slim, frame.select(slim.alias("row")).schema["row"].dataType.simpleString()
