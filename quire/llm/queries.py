@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import balance, balltree, bpe, debruijn, minhash, mixing, quality, suffix, vptree
+from quire.llm import balance, balltree, bpe, debruijn, html, minhash, mixing, quality, suffix, vptree
 from quire.session import table_path
 
 
@@ -29,6 +29,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(table_path(sf_dir, "pages")).select("page_id", "url", "html")
+    return html.extract(pages, html.train()).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products found for every twentieth vector; measured recall is above 0.99 at this factor."""
     embeddings = spark.read.parquet(table_path(sf_dir, "embeddings"))
@@ -159,6 +165,7 @@ SELECT doc_id, size, source_size, target,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_html": op3_html,
     "op4_vptree": op4_vptree,
     "op5_sharding": op5_sharding,
     "op6_suffix_dedup": op6_suffix_dedup,
