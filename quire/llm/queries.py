@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quire.llm import balance, balltree, bpe, debruijn, html, minhash, mixing, quality, suffix, vptree
 from quire.session import table_path
 
@@ -173,5 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_debruijn": op9_debruijn,
     "op10_minhash": op10_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op7_balltree": OP7_SQL, "op8_mixing": OP8_SQL, "op9_debruijn": OP9_SQL, "op10_minhash": OP10_SQL}
