@@ -10,8 +10,8 @@ LINK_VIEWS = {
     **FEATURE_VIEWS,
     "v_off": """
         SELECT issue_id, coalesce(arg_min(pdf_no - folio, page_no)
-                 FILTER (WHERE page_no <= 40 AND abs(pdf_no - folio) <= 10), 0) AS off,
-               min(page_no) FILTER (WHERE page_no <= 40 AND abs(pdf_no - folio) <= 10) AS evidence
+                 FILTER (WHERE abs(pdf_no - folio) <= 10), 0) AS off,
+               min(page_no) FILTER (WHERE abs(pdf_no - folio) <= 10) AS evidence
         FROM v_feat GROUP BY issue_id""",
     "v_fo": "SELECT f.*, off, pdf_no - off AS printed FROM v_feat f JOIN v_off USING (issue_id)",
     "v_cue_req": """

@@ -82,7 +82,8 @@ VIEWS: dict[str, str] = {
     "v_proof_first": """
         SELECT issue_id, page_no, CASE WHEN page_no % 6 = 0 THEN upper(label) ELSE label END AS label,
                CASE WHEN page_no % 9 = 0 THEN '[[SKIP_AS_AD]]' || chr(10) ELSE '' END
-               || substring(raw_text, 1, 100) || chr(10) || chr(10) || substring(raw_text, 101, 100) AS body,
+               || substring(raw_text, 1, length(raw_text) // 2) || chr(10) || chr(10)
+               || substring(raw_text, length(raw_text) // 2 + 1) AS body,
                1 AS version
         FROM v_issue_pages WHERE page_no % 3 = 0""",
     "v_proofs": """

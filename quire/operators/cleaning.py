@@ -168,19 +168,11 @@ def clean_audit(df: DataFrame, col: str, jobs: dict[str, Callable[[DataFrame, st
     return out.agg(*sums).select(F.inline(entries))
 
 
-def apply_corrections(
-    df: DataFrame, corrections: DataFrame, col: str = "text", spread_by: Sequence[str] = ()
-) -> DataFrame:
-    """Ordered literal replacements of each issue.
-
-    Rows of an issue without corrections pass unchanged. An issue with very many rows gets its pairs by broadcast.
-    """
+def apply_corrections(df: DataFrame, corrections: DataFrame, col: str = "text") -> DataFrame:
+    """Ordered literal replacements of each issue. Rows of an issue without corrections pass unchanged."""
     pairs = corrections.groupBy("issue_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "wrong", "right"))).alias("_pairs")
     )
-    rows = df.groupBy("issue_id").agg(F.count(F.lit(1)).alias("_w"))
-    joined = join_attributes(
-        df, pairs.join(rows, "issue_id"), ["issue_id"], "_w", spread_by=list(spread_by) or [col]
-    )
+    joined = join_attributes(df, pairs, ["issue_id"])
     fixed = F.aggregate("_pairs", F.col(col), lambda t, p: F.replace(t, p["wrong"], p["right"]))
     return joined.withColumn(col, F.when(F.col("_pairs").isNull(), F.col(col)).otherwise(fixed)).drop("_pairs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ PAGE = ["issue_id", "page_no"]
 # --- offset between physical and printed numbers ---------------------------------------------------------------------
 
 
-def offset_first(features: DataFrame, bound: int | None = None, cap: int = 40, profile: str = "page") -> DataFrame:
+def offset_first(features: DataFrame, bound: int | None = None, profile: str = "page") -> DataFrame:
     """Offset of the first page with a readable number; 0 where none is found.
 
     The page profile takes the last candidate of a page, the web profile the first one inside the bound.
@@ -33,7 +34,7 @@ def offset_first(features: DataFrame, bound: int | None = None, cap: int = 40, p
         offset = F.try_element_at(F.filter(offsets, lambda o: o.between(-bound, bound)), F.lit(1))
     else:
         offset = F.when((F.col("pdf_no") - F.col("folio")).between(-bound, bound), F.col("pdf_no") - F.col("folio"))
-    hit = F.when(offset.isNotNull() & (F.col("page_no") <= cap), F.struct("page_no", offset.alias("o")))
+    hit = F.when(offset.isNotNull(), F.struct("page_no", offset.alias("o")))
     return (
         features.groupBy("issue_id")
         .agg(F.min(hit).alias("_first"), F.count(F.lit(1)).alias("n_pages"))
@@ -73,8 +74,7 @@ def with_offset(pages: DataFrame, offsets: DataFrame | None) -> DataFrame:
     """Attach ``page_offset`` to page rows; None means 0 everywhere."""
     if offsets is None:
         return pages.withColumn("page_offset", F.lit(0))
-    attrs = offsets.select("issue_id", "page_offset", "n_pages")
-    joined = join_attributes(pages, attrs, ["issue_id"], "n_pages", spread_by=["page_no"])
+    joined = join_attributes(pages, offsets.select("issue_id", "page_offset"), ["issue_id"])
     return joined.withColumn("page_offset", F.coalesce("page_offset", F.lit(0)))
 
 
@@ -106,7 +106,7 @@ def page_directory(features: DataFrame) -> DataFrame:
 def _resolve(requests: DataFrame, keys: list[str], tiers: list[tuple[str, Column]], directory: DataFrame) -> DataFrame:
     """First page in tier order for each request; null when no tier finds one.
 
-    Lookups are made distinct before they meet the directory, and the answers go back by ``join_attributes``.
+    The directory has one row per (issue, kind, number), which ``join_attributes`` attaches to the lookups.
     """
     wanted = F.array(
         *[
@@ -115,15 +115,7 @@ def _resolve(requests: DataFrame, keys: list[str], tiers: list[tuple[str, Column
         ]
     )
     lookups = requests.select(*keys, F.inline(wanted)).filter("number IS NOT NULL")
-    answers = (
-        lookups.groupBy("issue_id", "kind", "number")
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .join(directory, ["issue_id", "kind", "number"])
-    )
-    spread = [k for k in keys if k != "issue_id"]
-    found = join_attributes(lookups, answers, ["issue_id", "kind", "number"], "_w", spread_by=spread).filter(
-        "found IS NOT NULL"
-    )
+    found = join_attributes(lookups, directory, ["issue_id", "kind", "number"]).filter("found IS NOT NULL")
     best = found.groupBy(*keys).agg(F.min(F.struct("tier", "found")).alias("_best"))
     return requests.join(best, keys, "left").select(
         *requests.columns, F.col("_best.tier").alias("tier"), F.col("_best.found").alias("dst_page")
@@ -198,14 +190,12 @@ def resolve_goto(requests: DataFrame, features: DataFrame, offsets: DataFrame |
     """
     number = F.trim(F.col("number").cast("string")).try_cast("int")
     valid = requests.withColumn("_n", number)
-    counts = features.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    issue_attrs = counts
     if offsets is not None:
-        issue_attrs = counts.join(offsets.select("issue_id", "page_offset"), "issue_id", "left")
+        issue_attrs = offsets.select("issue_id", "page_offset")
     else:
-        issue_attrs = counts.withColumn("page_offset", F.lit(0))
-    distinct = valid.filter("_n >= 1").groupBy("issue_id", "_n").agg(F.count(F.lit(1)).alias("_w"))
-    asked = join_attributes(distinct, issue_attrs, ["issue_id"], "n_pages", spread_by=["_n"]).withColumn(
+        issue_attrs = features.select("issue_id").distinct().withColumn("page_offset", F.lit(0))
+    distinct = valid.filter("_n >= 1").select("issue_id", "_n").distinct()
+    asked = join_attributes(distinct, issue_attrs, ["issue_id"]).withColumn(
         "page_offset", F.coalesce("page_offset", F.lit(0))
     )
     directory = page_directory(features).unionByName(
@@ -218,11 +208,8 @@ def resolve_goto(requests: DataFrame, features: DataFrame, offsets: DataFrame |
         ("edge", F.col("_n")),
         ("index", F.when(F.col("page_offset") == 0, F.col("_n"))),
     ]
-    answers = _resolve(asked.select("issue_id", "_n", "_w", "page_offset"), ["issue_id", "_n"], tiers, directory)
-    out = join_attributes(
-        valid, answers.select("issue_id", "_n", "_w", "tier", "dst_page"), ["issue_id", "_n"], "_w",
-        spread_by=[c for c in requests.columns if c not in ("issue_id", "number")] or ["number"],
-    )
+    answers = _resolve(asked.select("issue_id", "_n", "page_offset"), ["issue_id", "_n"], tiers, directory)
+    out = join_attributes(valid, answers.select("issue_id", "_n", "tier", "dst_page"), ["issue_id", "_n"])
     status = (
         F.when(F.col("_n").isNull(), "not a number")
         .when(F.col("_n") < 1, "must be at least 1")
@@ -255,11 +242,12 @@ def page_edges(features: DataFrame, skipped: DataFrame | None = None, offsets: D
     ``skipped(issue_id, page_no)`` are ad inserts the reader does not see.
     """
     cols = ["issue_id", "page_no", "pdf_no", "continued_on", "continued_from", "is_ad"]
-    pages = with_offset(features.select(*cols), offsets)
+    # positions among all loaded pages: page numbers may have gaps, and skipped pages keep their place
+    pages = with_seq(with_offset(features.select(*cols), offsets), ["issue_id"], "page_no", "place")
     if skipped is not None:
         pages = pages.join(skipped.select(*PAGE).distinct(), PAGE, "left_anti")
     pages = pages.withColumn("printed", F.col("pdf_no") - F.col("page_offset")).drop("page_offset")
-    payload = ["page_no", "pdf_no", "printed", "continued_from", "is_ad"]
+    payload = ["page_no", "place", "pdf_no", "printed", "continued_from", "is_ad"]
     ordered = with_leads(with_seq(pages, ["issue_id"], "page_no", "_seq"), ["issue_id"], "_seq", payload, 1)
     nxt = F.col("next1")
     linked = (
@@ -267,7 +255,7 @@ def page_edges(features: DataFrame, skipped: DataFrame | None = None, offsets: D
         | F.coalesce(F.array_contains(nxt["continued_from"], F.col("printed")), F.lit(False))
         | ((F.size(nxt["continued_from"]) > 0) & (F.size("continued_on") > 0))
     )
-    near = (nxt["page_no"] - F.col("page_no") <= 2) | F.coalesce(
+    near = (nxt["place"] - F.col("place") <= 2) | F.coalesce(
         F.abs(nxt["pdf_no"] - F.col("pdf_no")).between(1, 2), F.lit(False)
     )
     neighbours = ordered.filter(nxt.isNotNull() & ~F.col("is_ad") & ~nxt["is_ad"] & (near | linked)).select(
@@ -309,7 +297,7 @@ def article_pages(features: DataFrame, edges: DataFrame, starts: DataFrame, skip
     )
 
 
-def first_target_walk(features: DataFrame, starts: DataFrame, max_steps: int = 1000) -> DataFrame:
+def first_target_walk(features: DataFrame, starts: DataFrame) -> DataFrame:
     """Follow the first "continued on" target to the first unvisited page that has any from-cue or whose label
     contains the number; ends where a page has no cue or nothing is left to visit.
 
@@ -354,15 +342,14 @@ def first_target_walk(features: DataFrame, starts: DataFrame, max_steps: int = 1
     def candidates(asked: DataFrame, ranked: DataFrame, keys: list[str], depth: int) -> DataFrame:
         """Pairs of each walk with the first ``depth`` pages of its key."""
         heads = ranked.filter(F.col("rank") <= depth).groupBy(*keys).agg(F.collect_list("page_no").alias("_pages"))
-        weights = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
-        joined = join_attributes(asked, heads.join(weights, keys), keys, "_w", spread_by=["start_page"])
+        joined = join_attributes(asked, heads, keys)
         return joined.select("issue_id", "start_page", "visited", F.explode("_pages").alias("page_no"))
 
     state = starts.select(
         "issue_id", "start_page", F.col("start_page").alias("cur"), F.array("start_page").alias("visited")
     )
     parts = [state.select("issue_id", "start_page", F.lit(0).alias("ord"), F.col("cur").alias("page_no"))]
-    for step in range(1, max_steps + 1):
+    for step in count(1):
         asked = state.join(on, ["issue_id", "cur"]).withColumn("piece", F.col("target").cast("string"))
         by_cue = candidates(asked, landing, ["issue_id"], step + 1)
         by_name = candidates(asked, named, ["issue_id", "piece"], step + 1)

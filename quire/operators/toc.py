@@ -15,7 +15,7 @@ from quire.plans.blocks import with_extremes
 from quire.plans.skew import join_attributes
 
 GRAM = 7
-_LEADER = r"(?i)(?:\b(?:page|p\.?)\s+|\.{3,}\s*)(\d{1,9})\b"
+_LEADER = r"(?i)(?:\b(?:page|p\.?)\s+|\.{3,}\s*)(\d+)\b"
 
 
 def _grams(text: Column) -> Column:
@@ -43,17 +43,15 @@ def toc_index(toc_pages: DataFrame, titles: DataFrame) -> DataFrame:
     )
     grams = contents.select("issue_id", "toc_page", F.explode(_grams(F.col("_text"))).alias("_gram"))
     pages = _linkable(titles.filter("NOT skip_flag"))
-    distinct = pages.groupBy("issue_id", "_low", "_gram").agg(F.count(F.lit(1)).alias("_w"))
+    distinct = pages.select("issue_id", "_low", "_gram").distinct()
     found = (
         distinct.join(grams, ["issue_id", "_gram"])
         .join(contents, ["issue_id", "toc_page"])
         .filter(F.contains("_text", F.col("_low")))
     )
     # the page itself may be a contents page, so the two last contents pages are kept
-    listed = with_extremes(found, ["issue_id", "_low"], "toc_page", "_tocs", k=2, largest=True).join(
-        distinct.select("issue_id", "_low", "_w"), ["issue_id", "_low"]
-    )
-    joined = join_attributes(pages, listed, ["issue_id", "_low"], "_w", spread_by=["page_no"])
+    listed = with_extremes(found, ["issue_id", "_low"], "toc_page", "_tocs", k=2, largest=True)
+    joined = join_attributes(pages, listed, ["issue_id", "_low"])
     others = F.filter("_tocs", lambda t: t != F.col("page_no"))
     return joined.select("issue_id", "page_no", F.try_element_at(others, F.lit(1)).alias("toc_page"), "title").filter(
         "toc_page IS NOT NULL"
@@ -73,14 +71,16 @@ def toc_links(chunks: DataFrame, titles: DataFrame) -> DataFrame:
     )
     # copies of one title: its first two pages suffice, one of them may be the contents page itself
     first_pages = with_extremes(_linkable(titles), ["issue_id", "_low", "_gram"], "page_no", "_pages", k=2)
-    grams = usable.select(*key, "_text", F.explode(_grams(F.col("_text"))).alias("_gram"))
+    # the text joins the pairs afterwards, so that it isn't copied for each of its parts
+    grams = usable.select(*key, F.explode(_grams(F.col("_text"))).alias("_gram"))
     by_title = (
         grams.join(first_pages, ["issue_id", "_gram"])
+        .join(usable.select(*key, "_text"), key)
         .filter(F.contains("_text", F.col("_low")))
         .select(*key, F.explode("_pages").alias("page_no"), F.lit(1).alias("tier"))
         .filter("page_no <> toc_page")
     )
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(_LEADER), F.lit(1)), lambda s: s.cast("int"))
+    numbers = F.transform(F.regexp_extract_all("text", F.lit(_LEADER), F.lit(1)), lambda s: F.when(s == s.try_cast("int").cast("string"), s.try_cast("int")))
     by_number = (
         usable.filter(~F.contains("_text", F.lit("continued on")))
         .select(*key, F.explode(F.array_distinct(numbers)).alias("page_no"))

@@ -60,7 +60,7 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 def corrections(spark: SparkSession, sf: str) -> DataFrame:
     pages = V.issue_pages(spark, sf).select("issue_id", "page_no", F.col("raw_text").alias("text"))
-    return C.apply_corrections(pages, V.corrections(spark, sf), spread_by=["page_no"])
+    return C.apply_corrections(pages, V.corrections(spark, sf))
 
 
 def clean_audit(spark: SparkSession, sf: str) -> DataFrame:

@@ -96,7 +96,7 @@ def transcript_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _delimited(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id").cast("string")
-    first = F.regexp_replace(F.substring("text", 1, 60), "[\n,\"']", " ")
+    first = F.regexp_replace("text", "[\n,\"']", " ")
     return V.table(spark, sf, "documents").select(
         "doc_id",
         F.concat(F.lit("id,,\"lang\"\n"), d, F.lit(","), first, F.lit(",'"), F.col("lang"), F.lit("'\n\n,x,y,"), d).alias("text"),
@@ -335,16 +335,16 @@ _SUBS = {
 
 _TALK = {
     "v_talk": """
-        SELECT conv_id, 'talk' AS title, CASE WHEN conv_id % 7 = 0 THEN '{broken ' || turns[1].text
+        SELECT conv_id, 'talk' AS title, CASE WHEN conv_id % 7 = 0 THEN '{broken ' || array_to_string(list_transform(turns, lambda x: x.text), chr(10))
             WHEN conv_id % 5 = 0 THEN """
-    + strip("turns[1].text")
+    + strip("array_to_string(list_transform(turns, lambda x: x.text), chr(10))")
     + """ ELSE array_to_string(list_transform(turns, lambda x: x.text), chr(10) || chr(10)) END AS t FROM v_turns""",
 }
 
 _DELIM = {
     "v_delim": """
         SELECT doc_id, 'table' AS title, 'id: ' || doc_id || ' · Col 2: ' ||
-               trim(regexp_replace(text[1:60], '[\\n,"'']', ' ', 'g')) || ' · lang: ' || lang || chr(10) || chr(10) ||
+               trim(regexp_replace(text, '[\\n,"'']', ' ', 'g')) || ' · lang: ' || lang || chr(10) || chr(10) ||
                'id:  · Col 2: x · lang: y · Col 4: ' || doc_id AS t FROM documents""",
 }
 

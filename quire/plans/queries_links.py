@@ -59,7 +59,7 @@ def offset_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def offset_first_web(spark: SparkSession, sf: str) -> DataFrame:
-    return L.offset_first(Corpus(spark, sf).features, profile="web", cap=1_000_000).select(
+    return L.offset_first(Corpus(spark, sf).features, profile="web").select(
         "issue_id", "page_offset", "evidence_page"
     )
 

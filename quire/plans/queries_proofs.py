@@ -40,7 +40,7 @@ def proof_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def _session(spark: SparkSession, sf: str) -> DataFrame:
     return V.issue_pages(spark, sf).filter("page_no % 2 = 0").select(
-        "issue_id", "label", F.substring("raw_text", 1, 20).alias("body"), (F.col("page_no") % 4 == 0).alias("proofed")
+        "issue_id", "label", F.col("raw_text").alias("body"), (F.col("page_no") % 4 == 0).alias("proofed")
     )
 
 
@@ -90,7 +90,7 @@ QUERIES = {
 
 _STORED = {
     "v_stored": "SELECT issue_id, label, arg_max(body, version) AS body FROM v_proofs GROUP BY issue_id, label",
-    "v_session": """SELECT issue_id, label, raw_text[1:20] AS body, page_no % 4 = 0 AS proofed FROM v_issue_pages
+    "v_session": """SELECT issue_id, label, raw_text AS body, page_no % 4 = 0 AS proofed FROM v_issue_pages
                     WHERE page_no % 2 = 0""",
     "v_labelled": """SELECT issue_id, page_no, CASE WHEN page_no % 5 = 0 THEN label || ' · scan' ELSE label END AS label
                      FROM v_issue_pages""",

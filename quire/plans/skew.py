@@ -5,42 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A key with at least this many rows is hot. At most rows / HOT_ROWS keys can be hot, so the hot side of the
-# join below stays small whatever the data: ten thousand rows for ten billion.
-HOT_ROWS = 1_000_000
-SPREAD = 8192
 
-
-def join_attributes(
-    rows: DataFrame,
-    attributes: DataFrame,
-    keys: Sequence[str],
-    weight: str,
-    spread_by: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def join_attributes(rows: DataFrame, attributes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of many ``rows`` to one ``attributes`` row per key.
 
-    ``weight`` is a column of ``attributes`` with the number of rows of that key. Hot keys are joined by broadcast (their
-    number is bounded, see ``HOT_ROWS``); their rows are then spread over many partitions of the shuffle join that serves
-    all other keys.
+    One join, each side read once. ``rows`` is the outer side, so adaptive execution may cut the rows of a hot key into several
+    tasks and read the single attribute row for each of them; small attribute tables are broadcast by Spark's own size check.
     """
     keys = list(keys)
-    values = [c for c in attributes.columns if c not in (*keys, weight)]
-    hot = attributes.filter(F.col(weight) >= hot_rows).select(
-        *keys, *[F.col(c).alias(f"_h_{c}") for c in values], F.lit(True).alias("_hot")
-    )
-    cold = attributes.filter(F.col(weight) < hot_rows).select(
-        *keys, *[F.col(c).alias(f"_c_{c}") for c in values], F.lit(0).alias("_salt")
-    )
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.hash(*spread_by), F.lit(SPREAD)) + 1).otherwise(F.lit(0)),
-        )
-        .join(cold, [*keys, "_salt"], "left")
-    )
-    return joined.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in values])
+    values = [c for c in attributes.columns if c not in keys]
+    return rows.join(attributes, keys, "left").select(*rows.columns, *values)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.blocks import with_seq
+from quire.plans.skew import join_attributes
 from quire.session import table_path
 
 PAGE_WIDTH = 800
@@ -46,7 +47,7 @@ def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).cast("int").alias("n"))
     )
     numbered = with_seq(docs, ["issue_id"], "doc_id", "page_no")
-    return _attach_counts(numbered, counts).select(
+    return join_attributes(numbered, counts, ["issue_id"]).select(
         "issue_id",
         "page_no",
         "n",
@@ -57,14 +58,6 @@ def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _attach_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    from quire.plans.skew import join_attributes
-
-    return join_attributes(
-        pages, counts.withColumn("_w", F.col("n")), ["issue_id"], "_w", spread_by=["page_no"]
-    )
-
-
 def cue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue pages with continuation cues, promotion lines and printed page numbers written into the text."""
     pages = issue_pages(spark, sf_dir)
@@ -193,8 +186,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored proof results of every third page; some flagged as ads, some with a second version."""
     pages = issue_pages(spark, sf_dir).filter(F.col("page_no") % 3 == 0)
+    middle = F.floor(F.length("raw_text") / 2).cast("int")
     half = F.concat(
-        F.substring("raw_text", 1, 100), F.lit("\n\n"), F.substring("raw_text", 101, 100)
+        F.substr("raw_text", F.lit(1), middle), F.lit("\n\n"), F.substr("raw_text", middle + 1, F.length("raw_text"))
     )
     body = F.concat(F.when(F.col("page_no") % 9 == 0, F.lit("[[SKIP_AS_AD]]\n")).otherwise(F.lit("")), half)
     label = F.when(F.col("page_no") % 6 == 0, F.upper("label")).otherwise(F.col("label"))
@@ -223,8 +217,9 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
     as_array = F.to_json(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    as_object = F.to_json(F.struct(F.col("turns")[0]["text"].alias("text")))
-    broken = F.concat(F.lit("{broken "), F.col("turns")[0]["text"])
+    spoken = F.array_join(F.transform("turns", lambda t: t["text"]), "\n")
+    as_object = F.to_json(F.struct(spoken.alias("text")))
+    broken = F.concat(F.lit("{broken "), spoken)
     return turns.select(
         "conv_id",
         F.when(F.col("conv_id") % 7 == 0, broken)

@@ -38,11 +38,13 @@ def local_session(cores: str = "8", memory: str = "16g", app: str = "quire") ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local run) a temporary folder is made and set.
+    Only a local run may leave it unset; a temporary folder is then made and set. On a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="quire-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

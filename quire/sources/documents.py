@@ -170,7 +170,7 @@ def html_sections(html: Column) -> Column:
     def blocks(section: Column) -> Column:
         pieces = F.split(section, _BLOCK_OPEN, -1)
         return non_empty(
-            F.transform(F.slice(pieces, 2, 1_000_000), lambda p: visible_text(F.split(p, _BLOCK_CLOSE, 2)[0]))
+            F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: visible_text(F.split(p, _BLOCK_CLOSE, 2)[0]))
         )
 
     def cleaned(t: Column) -> Column:
