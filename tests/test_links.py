@@ -149,3 +149,21 @@ def test_contents_page(spark):
 def test_file_names(texts):
     df = texts('A/B: "Story"  one', "", "x" * 90)
     assert column(df.withColumn("text", L.safe_stem(F.col("text")))) == ["AB Story one", "untitled", "x" * 79 + "…"]
+
+
+def test_partial_issue_has_its_offset_and_gaps_keep_neighbours(spark):
+    """An issue loaded from page 124 on has an offset; neighbours are positions, not page numbers."""
+    rows = [("a", p, p, p - 4, [p - 4], [p - 4], [], [], False) for p in (124, 125, 126)]
+    rows += [("b", p, None, None, [], [], [], [], False) for p in (1, 8, 14, 123)]
+    f = spark.createDataFrame(
+        rows,
+        "issue_id string, page_no int, pdf_no int, folio int, folio_list array<int>, edge_folios array<int>, "
+        "continued_on array<int>, continued_from array<int>, is_ad boolean",
+    )
+    got = {r["issue_id"]: (r["page_offset"], r["evidence_page"]) for r in L.offset_first(f).collect()}
+    assert got == {"a": (4, 124), "b": (0, None)}
+    edges = {(r["issue_id"], r["src"], r["dst"]) for r in L.page_edges(f).collect()}
+    assert edges == {("a", 124, 125), ("a", 125, 126), ("b", 1, 8), ("b", 8, 14), ("b", 14, 123)}
+    skipped = spark.createDataFrame([("b", 8), ("b", 14)], "issue_id string, page_no int")
+    edges = {(r["issue_id"], r["src"], r["dst"]) for r in L.page_edges(f, skipped).collect()}
+    assert edges == {("a", 124, 125), ("a", 125, 126)}
