@@ -146,10 +146,17 @@ def visible_text(fragment: Column) -> Column:
             named = F.replace(named, F.lit(name), F.lit(char))
 
         def numeric(m: Column) -> Column:
-            code = F.lpad(F.hex(F.regexp_extract(m, r"(\d+)", 1).cast("long")), 8, "0")
+            digits = F.regexp_extract(m, r"(?i)&#x?0*([0-9a-f]*);", 1)
+            base16 = F.contains(F.lower(m), F.lit("x"))
+            number = F.when(
+                F.length(digits) <= 8, F.when(base16, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+            )
+            # what is no code point becomes the replacement character
+            known = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+            code = F.lpad(F.hex(F.when(known, number).otherwise(F.lit(0xFFFD))), 8, "0")
             return F.decode(F.unhex(code), "UTF-32")
 
-        plain = let(named, lambda x: replace_matches(x, r"&#\d{1,6};", numeric))
+        plain = let(named, lambda x: replace_matches(x, r"&#(?:\d+|[xX][0-9A-Fa-f]+);", numeric))
         return F.when(F.contains(t, F.lit("&")), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(t)
 
     return strip(let(sub(fragment, r"<[^>]*>", ""), decoded))
