@@ -33,6 +33,8 @@ from quire.session import materialize
 ANCHOR = 32
 GATHER = 150_000
 BATCH = 1 << 20
+#: usual size of a shard, and how many there are at most (beyond that shards grow, and their queues go to files)
+SHARD_BYTES, MOST_SHARDS = 3 << 20, 20_000
 _PIECE = "h long, c long, doc_id long, start long, n int, off int"
 _SCHEMA = pa.schema(
     [("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("off", pa.int32())]
@@ -263,7 +265,11 @@ class Induced:
         last = np.append(mark[1:] != mark[:-1], True)
         end = np.where(last, stop, np.append(lms[1:], 0)) + 1
         codes = textops.mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-        named = textops.Rolling(codes[self.text], 0).slices(lms, end) + (end - lms).astype(np.uint64)
+        named = (end - lms).astype(np.uint64)
+        for lo in range(0, len(lms), BATCH // 16):
+            part = slice(lo, lo + BATCH // 16)
+            a, b = lms[part], end[part]
+            named[part] += textops.Rolling(codes[self.text[a[0] : b[-1]]], 0).slices(a - a[0], b - a[0])
         _, first, name = np.unique(named, return_index=True, return_inverse=True)
         wide = self.text.astype(">u2")
         keys = [wide[a:b].tobytes() + b"\xff\xff" for a, b in zip(lms[first].tolist(), end[first].tolist(), strict=True)]
@@ -463,7 +469,9 @@ def repeated_ranges(documents: DataFrame, width: int = 100, text: str = "text")
     reps = matched.where("off >= 0").groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("p"))
     packed = docs.mapInArrow(textops.pack, "doc_id long, packed binary")
     shards = packed.join(reps, "doc_id").mapInArrow(_slice(width), "doc_id long, start long, piece binary, h long")
-    sorted_out = shards.repartition("h").drop("h").mapInArrow(_sort_shard(width), "doc_id long, start long, n long")
+    total = matched.where("off >= 0").agg(F.sum(F.col("n") + (width - 1))).first()[0] or 0
+    parts = min(MOST_SHARDS, max(1, -(-total // SHARD_BYTES)))
+    sorted_out = shards.repartition(parts, "h").drop("h").mapInArrow(_sort_shard(width), "doc_id long, start long, n long")
     return matched.where("off < 0").select("doc_id", "start", F.col("n").cast("long")).unionByName(sorted_out)
 
 
