@@ -552,3 +552,24 @@ SQL["span_blocks"] = layout_q(
             FROM v_blk_fix WHERE text <> '' GROUP BY {PAGE}, block_num""",
     },
 )
+
+
+def _as_files(name: str, key: str, ext: str, title: str | None) -> str:
+    """A format's twin as pages of files; files are titled by their name instead of ``title``."""
+    body = SQL[name]
+    if title is not None:
+        assert title in body, (name, title)
+        body = body.replace(title, f"'file ' || {key} AS title")
+    return f"SELECT '/in/{ext}/file_' || {key} || '.{ext}' AS path, page_no, title, text FROM ({body})"
+
+
+SQL["ingest_all"] = " UNION ALL ".join(
+    [
+        _as_files("markdown_sections", "doc_id", "md", "'note ' || doc_id AS title"),
+        _as_files("delimited_rows", "doc_id", "csv", "'table' AS title"),
+        _as_files("paginate_words", "doc_id", "txt", "'Doc ' || doc_id AS title"),
+        _as_files("subtitle_pages", "conv_id", "srt", "'talk' AS title"),
+        _as_files("transcript_pages", "conv_id", "json", "'talk' AS title"),
+        _as_files("html_sections", "page_id", "html", None),
+    ]
+)
