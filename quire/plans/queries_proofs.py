@@ -199,3 +199,60 @@ SQL = {
             FROM v_tri1 GROUP BY issue_id, page_no""",
     }),
 }
+
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z0-9äöåà-ÿ]{{3,}}$')))"
+_TAGLESS = strip("regexp_replace(b, '^" + chr(92) + "s*" + chr(92) + "[" + chr(92) + "[SKIP_AS_AD" + chr(92) + "]" + chr(92) + "]', '')")
+_ANCHOR = {
+    "v_anc_body": f"""
+        SELECT issue_id, page_no, {Q.repair_core(_TAGLESS)} AS body
+        FROM (SELECT issue_id, page_no, {strip('arg_max(body, version)')} AS b FROM v_proofs GROUP BY issue_id, page_no)""",
+    "v_anc_parts": f"""
+        SELECT issue_id, page_no, CASE WHEN len(ps) > 0 THEN ps ELSE [body] END AS ps FROM (
+            SELECT *, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda p: {strip('p')}),
+                                  lambda p: p <> '') AS ps FROM v_anc_body)""",
+    "v_anc_text": f"""
+        SELECT issue_id, page_no, para_no, {Q.dehyphenate('p')} AS text
+        FROM (SELECT issue_id, page_no, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS para_no FROM v_anc_parts)""",
+    "v_anc_para": f"SELECT *, {_TOKENS.format('text')} AS ts FROM v_anc_text",
+    "v_anc_line": f"""
+        SELECT issue_id, page_no, row_number() OVER (PARTITION BY issue_id, page_no ORDER BY line_no) - 1 AS pos, "left" AS x,
+               top AS y, width AS w, height AS h, {_TOKENS.format('text')} AS ts
+        FROM v_lines WHERE width > 0 AND height > 0""",
+    "v_anc_page": """
+        SELECT issue_id, page_no, count(*) AS n, list({'x': x, 'y': y, 'w': w, 'h': h} ORDER BY pos) AS boxes
+        FROM v_anc_line GROUP BY issue_id, page_no""",
+    "v_anc_hit": """
+        SELECT p.issue_id, p.page_no, p.para_no, p.token, l.pos, x, y, w, h
+        FROM (SELECT issue_id, page_no, para_no, unnest(ts) AS token FROM v_anc_para) p
+        JOIN (SELECT issue_id, page_no, pos, x, y, w, h, unnest(ts) AS token FROM v_anc_line) l USING (issue_id, page_no, token)""",
+    "v_anc_span": """
+        SELECT issue_id, page_no, para_no, begin, count(DISTINCT token) AS shared, max(pos) AS last, min(x) AS x0, min(y) AS y0,
+               max(x + w) AS x1, max(y + h) AS y1
+        FROM (SELECT *, unnest(generate_series(greatest(pos - 7, 0), pos)) AS begin FROM v_anc_hit)
+        GROUP BY issue_id, page_no, para_no, begin HAVING count(DISTINCT token) >= 2""",
+    "v_anc_spans": """
+        SELECT issue_id, page_no, para_no, list({'k': -shared, 'b': begin, 'last': last, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) AS ss
+        FROM v_anc_span GROUP BY issue_id, page_no, para_no""",
+    "v_anc_all": """
+        SELECT p.issue_id, p.page_no, para_no, len(ts) AS words, length(text) AS size, coalesce(ss, []) AS ss,
+               coalesce(n, 0) AS n, boxes
+        FROM v_anc_para p LEFT JOIN v_anc_spans USING (issue_id, page_no, para_no) LEFT JOIN v_anc_page USING (issue_id, page_no)""",
+    "v_rec_anc": """
+        SELECT issue_id, page_no, -1::BIGINT AS para_no, 0::BIGINT AS cur, NULL::BIGINT AS x, NULL::BIGINT AS y, NULL::BIGINT AS w,
+               NULL::BIGINT AS h FROM v_anc_body
+        UNION ALL
+        SELECT issue_id, page_no, para_no, CASE WHEN b IS NULL THEN cur ELSE least(n - 1, b.last + 1) END,
+               CASE WHEN b IS NOT NULL THEN b.x0 WHEN pw > 0 THEN px WHEN n > 0 THEN g.x ELSE 0 END,
+               CASE WHEN b IS NOT NULL THEN b.y0 WHEN pw > 0 THEN least(py + ph + 8, 1060) WHEN n > 0 THEN g.y ELSE 0 END,
+               CASE WHEN b IS NOT NULL THEN b.x1 - b.x0 WHEN pw > 0 THEN pw WHEN n > 0 THEN g.w ELSE 0 END,
+               CASE WHEN b IS NOT NULL THEN b.y1 - b.y0 WHEN pw > 0 THEN greatest(24, least(120, size // 3)) WHEN n > 0 THEN g.h ELSE 0 END
+        FROM (SELECT a.issue_id, a.page_no, a.para_no, a.n, a.size, r.cur, r.x AS px, r.y AS py, r.w AS pw, r.h AS ph,
+                     a.boxes[least(r.cur, a.n - 1) + 1] AS g,
+                     list_sort(list_filter(a.ss, lambda s: s.b >= r.cur AND s.b < least(a.n, r.cur + greatest(14, a.words // 2))))[1] AS b
+              FROM v_rec_anc r JOIN v_anc_all a ON a.issue_id = r.issue_id AND a.page_no = r.page_no AND a.para_no = r.para_no + 1)""",
+}
+SQL["anchor_proofs"] = compose(
+    """SELECT p.issue_id, p.page_no, p.para_no, p.text, r.x AS "left", r.y AS top, r.w AS width, r.h AS height
+       FROM v_anc_text p JOIN v_rec_anc r USING (issue_id, page_no, para_no)""",
+    _ANCHOR,
+)
