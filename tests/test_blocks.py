@@ -81,13 +81,13 @@ def test_extremes_and_sorted_positions(spark):
         assert {r.n for r in got} == {len(got)}
 
 
-def test_attribute_join_splits_hot_keys(spark):
+def test_attribute_join_keeps_all_rows(spark):
     rows = spark.range(100).select(F.when(F.col("id") < 80, "hot").otherwise("cold").alias("k"), "id")
-    attrs = spark.createDataFrame([("hot", 80, "H"), ("cold", 20, "C")], "k string, w int, v string")
-    got = join_attributes(rows, attrs, ["k"], "w", spread_by=["id"], hot_rows=50)
+    attrs = spark.createDataFrame([("hot", "H"), ("cold", "C")], "k string, v string")
+    got = join_attributes(rows, attrs, ["k"])
     assert got.count() == 100
     assert {(r.k, r.v) for r in got.collect()} == {("hot", "H"), ("cold", "C")}
-    lost = join_attributes(rows, attrs.filter("k = 'hot'"), ["k"], "w", spread_by=["id"], hot_rows=50)
+    lost = join_attributes(rows, attrs.filter("k = 'hot'"), ["k"])
     assert lost.filter("v IS NULL").count() == 20
 
 
