@@ -90,5 +90,5 @@ def test_corrections_in_order(spark):
     pairs = spark.createDataFrame(
         [("i", 2, "the", "THE"), ("i", 1, "teh", "the")], "issue_id string, ord int, wrong string, right string"
     )
-    out = {r.issue_id: r.text for r in C.apply_corrections(pages, pairs, spread_by=["page_no"]).collect()}
+    out = {r.issue_id: r.text for r in C.apply_corrections(pages, pairs).collect()}
     assert out == {"i": "THE cat", "j": "teh cat"}
