@@ -1,14 +1,19 @@
-"""Suffix-array dedup of byte strings: external induced sorting per shard of candidate text.
+"""Suffix-array dedup of byte strings: induced sorting of candidate text, in units of bounded size.
 
 1. Every window of ``width`` bytes is assigned to its anchor, the smallest sub-window by hash; runs of windows with one anchor
    are pieces. Equal windows have equal anchors, so all of them meet in one shard (hash of the anchor). Only coordinates and two
    hashes travel. Equal pieces are reduced to the first before the shuffle (per chunk) and after it; later ones are removed whole.
-2. Pieces that share an anchor with a different piece go to a shard with their bytes. There the suffixes are sorted by induced
-   sorting: suffixes that start at a local minimum (LMS) are named and ordered in a reduced string, then left- and right-going
+2. Pieces that share an anchor with a different piece go to a shard with their bytes. Spark sorts a shard by anchor (in files where
+   it must), and it is read in units: whole anchors, of ``SHARD_BYTES`` and at most one anchor more, so a shard may be far larger
+   than memory. An anchor with more than ``ANCHOR_BYTES`` of different pieces (a frequent short line with other text around it) is
+   opened: each of its windows goes by two hashes of its own, equal ones are reduced to the first per task and then in order, and
+   no bytes of it travel. Equal windows have equal anchors, so they are all opened or all in one unit.
+   In a unit the suffixes are sorted by induced sorting: suffixes that start at a local minimum (LMS) are named and ordered in a reduced string, then left- and right-going
    scans induce all others. The scans take batches from a queue per first byte, which is what a priority queue over (first byte,
    order of insertion) gives out; a tuple is (position, common prefix with its predecessor), prefixes being carried along as
-   minima. Queues go to files once they exceed a memory bound, so a shard may exceed memory. The reduced string has too many
-   symbols for batches per symbol; its recursion doubles the compared length instead and ends at ``width`` bytes.
+   minima. Text, types and minima of a unit are in memory; queues would go to files beyond a bound that a unit doesn't reach. The
+   reduced string has too many symbols for batches per symbol; its recursion doubles the compared length instead and ends at
+   ``width`` bytes.
 3. In the sorted order, runs with common prefixes of at least ``width`` bytes are equal windows; all but the first are removed.
 
 Defined results: a null text is empty, and so has nothing to remove; texts below ``width`` bytes stay whole; a document with a
@@ -33,8 +38,12 @@ from quire.session import materialize
 ANCHOR = 32
 GATHER = 150_000
 BATCH = 1 << 20
-#: usual size of a shard, and how many there are at most (beyond that shards grow, and their queues go to files)
+#: usual size of a shard and of a unit, and how many shards there are at most (beyond that shards grow, and have more units)
 SHARD_BYTES, MOST_SHARDS = 3 << 20, 20_000
+#: bytes of different pieces of one anchor that are sorted together; beyond that its windows are opened
+ANCHOR_BYTES = SHARD_BYTES // 4
+#: marks in ``off`` of a removed range and of an anchor to be opened
+GONE, HEAVY = -1, -2
 _PIECE = "h long, c long, doc_id long, start long, n int, off int"
 _SCHEMA = pa.schema(
     [("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("off", pa.int32())]
@@ -99,14 +108,15 @@ def _find(width: int):  # type: ignore[no-untyped-def]
     return run
 
 
-def _match(width: int):  # type: ignore[no-untyped-def]
+def _match(width: int, heavy: int):  # type: ignore[no-untyped-def]
     """Rows in the order of (h, c, n, off, doc_id, start): later copies become removed ranges; the first ones go on if their
-    anchor has several different pieces. What passes from batch to batch is one row: the last first one, and whether it is out.
+    anchor has several different pieces. An anchor whose first ones have more than ``heavy`` bytes is given once with off = HEAVY.
+    What passes from batch to batch is one row: the last first one, whether it is out, and the bytes of its anchor so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] | None = None
-        out = False
+        out, weight = False, 0
         for batch in batches:
             cols = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(_NAMES)}
             ranges = cols["off"] < 0
@@ -125,6 +135,16 @@ def _match(width: int):  # type: ignore[no-untyped-def]
                 new[1:] |= cols[k][1:] != cols[k][:-1]
             firsts = np.flatnonzero(new)
             h = cols["h"][firsts]
+            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = cols["n"][firsts].astype(np.int64) + width - 1
+            before = np.zeros(len(heads), dtype=np.int64)
+            if lead:
+                size[0], before[0] = 0, weight
+            after = before + np.add.reduceat(size, heads)
+            weight = int(after[-1])
+            full = h[heads[(before <= heavy) & (after > heavy)]]
+            if len(full):
+                yield _batch({k: np.zeros(len(full), dtype=np.int64) for k in _NAMES} | {"h": full, "off": np.full(len(full), HEAVY)})
             shared = np.zeros(len(firsts), dtype=bool)
             shared[1:] = h[1:] == h[:-1]
             shared[:-1] |= h[1:] == h[:-1]
@@ -415,64 +435,171 @@ def later_windows(
     return merged(*(np.concatenate([f[i] for f in found]) for i in range(3)))
 
 
+_SENT = "k long, c long, doc_id long, start long, n long, piece binary"
+
+
+def _sent(k: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, piece: pa.Array | None = None) -> pa.RecordBatch:
+    piece = pa.nulls(len(k), pa.binary()) if piece is None else piece
+    longs = [pa.array(np.asarray(x, dtype=np.int64)) for x in (k, c, doc, start, n)]
+    return pa.RecordBatch.from_arrays([*longs, piece], names=["k", "c", "doc_id", "start", "n", "piece"])
+
+
+def _windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """The different windows of some pieces by two hashes (n = 0), each where it starts first; the others as removed ranges."""
+    data, at = textops.joined(pieces)
+    if len(data) < width:
+        return
+    owner = np.repeat(np.arange(len(pieces)), np.diff(at))
+    where = np.flatnonzero(owner[: len(data) - width + 1] == owner[width - 1 :])
+    k, c = (textops.Rolling(textops.CODES[i][data], i).windows(width)[where].view(np.int64) for i in (0, 1))
+    owner = owner[where]
+    doc, start = doc[owner], start[owner] + where - at[owner]
+    order = np.lexsort((start, doc, c, k))
+    k, c, doc, start = k[order], c[order], doc[order], start[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    yield _sent(k[new], c[new], doc[new], start[new], np.zeros(int(new.sum())))
+    head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    gone = (doc != doc[head]) | (start != start[head])
+    d, s, e = merged(doc[gone], start[gone], start[gone] + width)
+    if len(d):
+        yield _sent(d * 0x5851F42D4C957F2D, d * 0, d, s, e - s)
+
+
 def _slice(width: int):  # type: ignore[no-untyped-def]
-    """Bytes of the wanted pieces of each document."""
+    """The wanted pieces of each document: with their bytes under their anchor, or opened into windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(2)
             offsets = wanted.offsets.to_numpy()
-            h, start, n = (wanted.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, start, n, heavy = (wanted.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, batch.num_rows, 256):
                 texts = textops.unpack(batch.column(1).slice(lo, 256))
                 hi = lo + len(texts)
                 inner = slice(offsets[lo], offsets[hi])
                 owner = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-                cuts = zip(owner.tolist(), start[inner].tolist(), (start[inner] + n[inner] + width - 1).tolist(), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(docs[lo:hi][owner]),
-                        pa.array(start[inner]),
-                        pa.array([texts[i][a:b] for i, a, b in cuts], pa.binary()),
-                        pa.array(h[inner]),
-                    ],
-                    names=["doc_id", "start", "piece", "h"],
-                )
+                doc, begin, end, opened = docs[lo:hi][owner], start[inner], start[inner] + n[inner] + width - 1, heavy[inner].astype(bool)
+                light = np.flatnonzero(~opened)
+                cuts = zip(owner[light].tolist(), begin[light].tolist(), end[light].tolist(), strict=True)
+                piece = pa.array([texts[i][a:b] for i, a, b in cuts], pa.binary())
+                if len(light):
+                    yield _sent(h[inner][light], light * 0, doc[light], begin[light], light * 0, piece)
+                opened = np.flatnonzero(opened)
+                block = np.cumsum(end[opened] - begin[opened]) // textops.CHUNK
+                for part in np.split(opened, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(opened) else ():
+                    cuts = zip(owner[part].tolist(), begin[part].tolist(), end[part].tolist(), strict=True)
+                    yield from _windows([texts[i][a:b] for i, a, b in cuts], doc[part], begin[part], width)
 
     return run
 
 
-def _sort_shard(width: int):  # type: ignore[no-untyped-def]
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b for b in batches if b.num_rows]
-        if not table:
-            return
-        doc = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in table])
-        start = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in table])
-        parts = [textops.flat(b.column(2)) for b in table]
+class Units:
+    """Pieces in the order of their anchors, gathered to units of whole anchors."""
+
+    def __init__(self, bound: int) -> None:
+        self.bound = bound
+        self.held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.size, self.last = 0, 0
+
+    def add(self, k: np.ndarray, doc: np.ndarray, start: np.ndarray, piece: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        reach = np.cumsum(np.diff(textops.flat(piece)[1]))
+        ahead = np.append(0, reach[:-1])
+        cuts = np.flatnonzero(k != np.append(self.last, k[:-1]))
+        lo = done = 0
+        for cut in cuts.tolist():
+            if self.size + ahead[cut] - done >= self.bound and (self.held or cut):
+                self.held.append((piece.slice(lo, cut - lo), doc[lo:cut], start[lo:cut]))
+                yield self.take()
+                lo, done = cut, int(ahead[cut])
+        self.held.append((piece.slice(lo), doc[lo:], start[lo:]))
+        self.size += int(reach[-1]) - done
+        self.last = k[-1]
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """data, at, doc, start of what is held."""
+        parts = [textops.flat(p) for p, _, _ in self.held]
         data = np.concatenate([p[0] for p in parts])
         at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-        del table, parts
-        d, s, e = later_windows(data, at, doc, start, width)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e - s)], names=["doc_id", "start", "n"])
+        doc, start = (np.concatenate([x[i] for x in self.held]) for i in (1, 2))
+        self.held, self.size = [], 0
+        return data, at, doc, start
+
+
+def _sort_shard(width: int, bound: int):  # type: ignore[no-untyped-def]
+    """A shard in the order of (piece is null, k, c, doc_id, start): units of pieces are sorted; of equal windows the later ones are
+    removed; ranges pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(bound)
+        kept: tuple[np.ndarray, ...] | None = None
+
+        def out(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(n)], names=["doc_id", "start", "n"])
+
+        def ranges(unit: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            d, s, e = later_windows(*unit, width)
+            return out(d, s, e - s)
+
+        for batch in batches:
+            k, c, doc, start, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            piece = batch.column(5)
+            full = piece.is_valid().to_numpy(zero_copy_only=False)
+            if full.any():
+                at = np.flatnonzero(full)
+                for unit in units.add(k[at], doc[at], start[at], piece.filter(pa.array(full))):
+                    yield ranges(unit)
+            if (n > 0).any():
+                yield out(doc[n > 0], start[n > 0], n[n > 0])
+            at = np.flatnonzero(~full & (n == 0))
+            if not len(at):
+                continue
+            cols = tuple(x[at] for x in (k, c, doc, start))
+            if kept is not None:
+                cols = tuple(np.concatenate([a, b]) for a, b in zip(kept, cols, strict=True))
+            k, c, doc, start = cols
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+            gone = (doc != doc[head]) | (start != start[head])
+            d, s, e = merged(doc[gone], start[gone], start[gone] + width)
+            yield out(d, s, e - s)
+            kept = tuple(x[head[-1] : head[-1] + 1] for x in cols)
+        if units.held:
+            yield ranges(units.take())
 
     return run
 
 
-def repeated_ranges(documents: DataFrame, width: int = 100, text: str = "text") -> DataFrame:
-    """doc_id, start, n: byte ranges that hold only windows which also start earlier. Ranges of a document may overlap."""
+def repeated_ranges(
+    documents: DataFrame, width: int = 100, text: str = "text", unit: int = SHARD_BYTES, heavy: int = ANCHOR_BYTES
+) -> DataFrame:
+    """doc_id, start, n: byte ranges that hold only windows which also start earlier. Ranges of a document may overlap.
+
+    ``unit`` and ``heavy`` are the bytes sorted at a time and those of one anchor among them; the result doesn't depend on them.
+    """
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     found = docs.where(F.octet_length("text") >= width).mapInArrow(_find(width), _PIECE)
     ordered = found.repartition("h").sortWithinPartitions("h", "c", "n", "off", "doc_id", "start")
-    matched = materialize(ordered.mapInArrow(_match(width), _PIECE).drop("c"), "suffix-pieces")
-    reps = matched.where("off >= 0").groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("p"))
+    matched = materialize(ordered.mapInArrow(_match(width, heavy), _PIECE).drop("c"), "suffix-pieces")
+    first = matched.where("off >= 0")
+    total, opened = matched.agg(
+        F.sum(F.when(F.col("off") >= 0, F.col("n") + (width - 1))), F.count(F.when(F.col("off") == HEAVY, 1))
+    ).first()
+    first = first.withColumn("heavy", F.lit(False))
+    if opened:
+        marks = matched.where(F.col("off") == HEAVY).select("h", F.lit(True).alias("_heavy"))
+        first = first.join(marks, "h", "left").withColumn("heavy", F.coalesce("_heavy", F.lit(False)))
+    reps = first.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n", "heavy")).alias("p"))
     packed = docs.mapInArrow(textops.pack, "doc_id long, packed binary")
-    shards = packed.join(reps, "doc_id").mapInArrow(_slice(width), "doc_id long, start long, piece binary, h long")
-    total = matched.where("off >= 0").agg(F.sum(F.col("n") + (width - 1))).first()[0] or 0
-    parts = min(MOST_SHARDS, max(1, -(-total // SHARD_BYTES)))
-    sorted_out = shards.repartition(parts, "h").drop("h").mapInArrow(_sort_shard(width), "doc_id long, start long, n long")
-    return matched.where("off < 0").select("doc_id", "start", F.col("n").cast("long")).unionByName(sorted_out)
+    sent = packed.join(reps, "doc_id").mapInArrow(_slice(width), _SENT)
+    parts = min(MOST_SHARDS, max(1, -(-(total or 0) // SHARD_BYTES)))
+    shards = sent.repartition(parts, "k").sortWithinPartitions(F.col("piece").isNull(), "k", "c", "doc_id", "start")
+    sorted_out = shards.mapInArrow(_sort_shard(width, unit), "doc_id long, start long, n long")
+    gone = matched.where(F.col("off") == GONE)
+    return gone.select("doc_id", "start", F.col("n").cast("long")).unionByName(sorted_out)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,11 +629,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(documents: DataFrame, width: int = 100, text: str = "text") -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, width: int = 100, text: str = "text", unit: int = SHARD_BYTES, heavy: int = ANCHOR_BYTES
+) -> DataFrame:
     """row (struct of all columns, the text being null), kept (binary: remaining bytes), n_bytes (before), n_removed, n_spans
     (maximal removed runs).
     """
-    ranges = repeated_ranges(documents, width, text).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("r"))
+    ranges = repeated_ranges(documents, width, text, unit, heavy).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("r"))
     slim, kind = textops.without(documents, text)
     rows = documents.select(slim.alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"))
     rows = rows.mapInArrow(textops.pack, f"row {kind}, _doc long, packed binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import suffix
@@ -71,3 +72,45 @@ def test_nulls_repeats_and_no_rows(spark):
     rows = [(None, long), (1, long), (1, long), (2, long), (None, None)]
     got = suffix.remove_repeats(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["row"]["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, len(long))]
+
+
+def test_frequent_line_among_other_text(spark):
+    """A line shorter than a window in every document: one anchor with a different piece each, opened, in shards of several units."""
+    rng = np.random.default_rng(4)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line, long = noise(60), noise(115)
+    docs = [(i, noise(90) + (line if i % 3 else long) + noise(90) + (line[:50] + "tail" + noise(60)) * (i % 2)) for i in range(240)]
+    docs += [(300 + i, docs[i][1][40:260]) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    want = brute(docs, 100)
+    for unit, heavy in ((3_000, 1_000), (1, 10_000), (5_000, 0), (1 << 20, 1 << 20)):
+        out = suffix.remove_repeats(frame, unit=unit, heavy=heavy)
+        got = {r["row"]["doc_id"]: (bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in out.collect()}
+        assert got == want
+
+
+def test_anchors_beyond_the_bound_are_marked_once():
+    n = 50
+    cols = {"h": np.repeat([3, 7, 9], [n, 2, n]), "c": np.arange(2 * n + 2), "doc_id": np.arange(2 * n + 2)}
+    cols |= {"start": cols["c"] * 0, "n": cols["c"] * 0 + 69, "off": cols["c"] * 0}
+    batch = suffix._batch(cols)
+    for step in (1, 7, 200):
+        parts = [batch.slice(i, step) for i in range(0, batch.num_rows, step)]
+        out = [r for b in suffix._match(100, 20 * 168)(iter(parts)) for r in b.to_pylist()]
+        assert sorted(r["h"] for r in out if r["off"] == suffix.HEAVY) == [3, 9]
+        assert sorted(r["doc_id"] for r in out if r["off"] >= 0) == list(range(2 * n + 2))
+
+
+def test_units_are_bounded_and_hold_whole_anchors():
+    rng = np.random.default_rng(1)
+    k = np.sort(rng.integers(0, 300, 2_000))
+    texts = [bytes(rng.integers(0, 255, 168, dtype=np.uint8)) for _ in k]
+    units, got = suffix.Units(5_000), []
+    for lo in range(0, len(k), 130):
+        part = slice(lo, lo + 130)
+        got += units.add(k[part], np.arange(len(k))[part], k[part] * 0, pa.array(texts[part], pa.binary()))
+    got.append(units.take())
+    assert [d for unit in got for d in unit[2].tolist()] == list(range(len(k)))
+    assert b"".join(unit[0].tobytes() for unit in got) == b"".join(texts)
+    assert max(len(unit[0]) for unit in got) < 5_000 + 168 * np.bincount(k).max()
+    assert all(k[a[2][-1]] != k[b[2][0]] for a, b in zip(got, got[1:], strict=False))
