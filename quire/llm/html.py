@@ -1,7 +1,8 @@
 """Main text of web pages: a recurrent block labeller.
 
 1. A page is cut at tags. Text between two block-level tags is a leaf; it carries the path of open elements with their class and
-   id words, its words and the share of its characters inside links. Scripts, styles and comments are no text.
+   id words, its words and the share of its characters inside links. Scripts, styles, comments, and what text fields and frames
+   hold are no text. Drawings, formulas, objects, selects, templates and noscript are leaves with their name on the path.
 2. Path names and words are hashed into vectors. A bidirectional LSTM (numpy) reads the whole sequence of leaves, so each leaf is
    judged with the page before and after it; pages of similar length run together.
 3. Leaves labelled as main text are joined by line feeds.
@@ -12,7 +13,7 @@ its size and the number of those pages are parameters, so training costs the sam
 Inside a leaf character references are decoded and runs of white space become one space. A ``br`` is white space.
 
 Defined results: null or empty html and pages without main text give an empty text; broken markup is read leniently (an unclosed
-tag ends at the end of its parent, an unfinished tag at the end of the page is dropped); repeated rows are treated alike; extra
+tag ends at the end of its parent, a drawing or formula also where a block of HTML begins; an unfinished tag at the end of the page is dropped); repeated rows are treated alike; extra
 columns keep their names inside the struct ``row``. Memory follows the longest page (about 3 KB per leaf).
 """
 
@@ -41,7 +42,14 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-RAW = frozenset("script style noscript template textarea svg math iframe object select".split())
+RAW = frozenset("script style textarea iframe".split())  # tags in them are no tags
+FOREIGN = frozenset("svg math".split())  # elements in them are no HTML
+EMBEDDED = FOREIGN | frozenset("noscript template object select".split())  # leaves of their own that may stand in a paragraph
+# start tags that end a drawing or formula
+BREAKOUT = frozenset(
+    "article aside b big blockquote body br center code dd div dl dt em embed fieldset figure footer form h1 h2 h3 h4 h5 h6 head header "
+    "hr i img li listing main menu meta nav nobr ol p pre ruby s section small span strong strike sub sup table tt u ul var".split()
+)
 CLOSES = {  # a start tag ends these open elements if they are the innermost block
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
     "th": {"td", "th", "p"}, "option": {"option"},
@@ -70,6 +78,15 @@ def leaves(page: str) -> list[Leaf]:
     linked = 0
     begin = 0
     skip_to = 0
+    endless: set[str] = set()
+
+    def end_tag(name: str, at: int) -> re.Match[str] | None:
+        if name in endless:
+            return None
+        found = re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?>", re.I).search(page, at)
+        if not found:
+            endless.add(name)
+        return found
 
     def close() -> None:
         nonlocal parts, linked
@@ -96,6 +113,16 @@ def leaves(page: str) -> list[Leaf]:
             continue
         name = _NAME.match(raw)[1].lower()
         block = name not in INLINE
+        if stack and stack[-1][0] in FOREIGN and name not in RAW:
+            if raw[1] == "/":
+                if not any(tag == name for tag, _ in stack):
+                    continue
+            elif name in BREAKOUT:
+                close()
+                stack.pop()
+            elif name not in FOREIGN:
+                parts.append(" ")
+                continue
         if raw[1] == "/":
             if block:
                 close()
@@ -107,18 +134,20 @@ def leaves(page: str) -> list[Leaf]:
         if name in RAW:
             if block:
                 close()
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, token.end())
             if not raw.endswith("/>"):
-                begin = skip_to = end.end() if end else len(page)
+                end = end_tag(name, token.end())
+                outer = (end_tag(tag, token.end()) for tag, _ in reversed(stack))
+                parent = None if end else next((e for e in outer if e), None)
+                begin = skip_to = end.end() if end else parent.start() if parent else len(page)
             continue
         if name == "br":
             parts.append(" ")
             continue
         if block:
             close()
-            while stack and stack[-1][0] in INLINE:
+            while stack and stack[-1][0] in INLINE and name not in EMBEDDED:
                 stack.pop()
-            ends = CLOSES.get(name, {"p"})
+            ends = () if name in EMBEDDED else CLOSES.get(name, {"p"})
             while stack and stack[-1][0] in ends:
                 stack.pop()
         if name not in VOID and not raw.endswith("/>"):

@@ -30,6 +30,39 @@ def test_leaves():
     assert [leaf.text for leaf in html.leaves("a < b > c <3")] == ["a < b > c <3"]
 
 
+def test_elements_that_are_no_raw_text():
+    for name in ("object", "svg", "math", "select", "template", "noscript"):
+        page = f"<div><p>a</p><{name}><p>b</p><p>c</div><p>d</p>"
+        got = [(leaf.text, leaf.path) for leaf in html.leaves(page)]
+        assert [t for t, _ in got] == ["a", "b", "c", "d"] and got[3][1] == ("p",), name
+        closed = f'<p class="x">a <a href="/">l<{name}>b<{name}>c</{name}>d</{name}>m</a> e</p>'
+        got = [(leaf.text, leaf.path) for leaf in html.leaves(closed)]
+        assert " ".join(t for t, _ in got) == "a l b c d m e" and got[1][1] == ("p", ".x", name), name
+        assert got[-1] == ("m e", ("p", ".x")), name
+    drawing = "<p>a<svg><title>t</title><g><path d='M0'/><text>u</text></g><style>p{}</style></svg>b<math><mi>x</mi><mo>=</mo><mn>2</mn></math>c</p>"
+    assert [leaf.text for leaf in html.leaves(drawing)] == ["a", "t u", "b", "x = 2", "c"]
+    assert [leaf.text for leaf in html.leaves("<select><option>a<option>b</select><svg/><p>c")] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("name", ["script", "style", "textarea", "iframe"])
+def test_unclosed_raw_text_ends_with_its_parent(name):
+    page = f"<body><div><p>a</p><{name}>var x = 1; <p>no</p></div><p>b</p><{name}><b>no</b></{name} ><p>c</p></body>"
+    assert [leaf.text for leaf in html.leaves(page.replace(f"<{name}><b>no</b></{name} >", ""))] == ["a", "b", "c"]
+    assert [leaf.text for leaf in html.leaves(page.replace(f"<{name}>var x = 1; <p>no</p>", ""))] == ["a", "b", "c"]
+    assert [leaf.text for leaf in html.leaves(f"<p>a</p><{name}>x<p>no")] == ["a"]
+
+
+def test_article_with_unclosed_elements(model):
+    maker = html.Maker(8)
+    body = [maker.words(20, 60).replace("&amp;", "") for _ in range(12)]
+    for name in ("object", "svg", "math", "script", "noscript", "template"):
+        blocks = [f"<p>{b}</p>" for b in body]
+        blocks[3] = f'<div class="figure"><{name} class="f"></div>' + blocks[3]
+        page = html.leaves(f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Title of it</h1>{''.join(blocks)}</article></body></html>")
+        kept = [leaf.text for leaf, m in zip(page, html.label_pages(model, [page])[0], strict=True) if m]
+        assert kept == ["Title of it", *(" ".join(b.split()) for b in body)], name
+
+
 def test_gradients():
     maker = html.Maker(3)
     pages = [maker.page() for _ in range(3)]
