@@ -1,7 +1,7 @@
 """Main text of web pages: a recurrent block labeller.
 
-1. A page is cut at tags. Text between two block-level tags is a leaf; it carries the path of open elements with their class and
-   id words, its words and the share of its characters inside links. Scripts, styles, comments, and what text fields and frames
+1. A page is cut at tags. Text between two block-level tags is a leaf; it carries the path of open elements with all words of their
+   class, id and role, its words and the share of its characters inside links. Scripts, styles, comments, and what text fields and frames
    hold are no text. Drawings, formulas, objects, selects, templates and noscript are leaves with their name on the path.
 2. Path names and words are hashed into vectors. A bidirectional LSTM (numpy) reads the whole sequence of leaves, so each leaf is
    judged with the page before and after it; pages of similar length run together.
@@ -152,7 +152,10 @@ def leaves(page: str) -> list[Leaf]:
                 stack.pop()
         if name not in VOID and not raw.endswith("/>"):
             marks = [w for m in _MARKS.finditer(raw) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())]
-            stack.append((name, (name, *(f".{w}" for w in marks[:8]))))
+            if len(marks) > PATH_BUCKETS:
+                # one word a bucket, the last of it, is the same input to the labeller
+                marks = list({_bucket(f".{w}"): w for w in marks}.values()) + marks[-1:]
+            stack.append((name, (name, *(f".{w}" for w in marks))))
     if begin < len(page):
         rest = page[begin:]
         add(rest[: rest.find("<")] if re.match(r"[^<]*</?[a-zA-Z!?]", rest) else rest)

@@ -44,6 +44,16 @@ def test_elements_that_are_no_raw_text():
     assert [leaf.text for leaf in html.leaves("<select><option>a<option>b</select><svg/><p>c")] == ["a", "b", "c"]
 
 
+def test_all_words_of_class_id_and_role():
+    listed = "flex flex-col items-center mt-4 px-2 sidebar"
+    path = html.leaves(f'<div class="{listed}" id="related_box" role="note">x</div>')[0].path
+    assert path == ("div", ".flex", ".flex", ".col", ".items", ".center", ".mt", ".4", ".px", ".2", ".sidebar", ".related", ".box", ".note")
+    many = [f"w{i}" for i in range(5_000)]
+    leaf = html.leaves(f'<div class="{" ".join(many)}">x</div>')[0]
+    whole = html.Leaf(("div", *(f".{w}" for w in many)), "x", 0.0)
+    assert len(leaf.path) <= html.PATH_BUCKETS + 2 and (html.vectors([leaf]) == html.vectors([whole])).all()
+
+
 @pytest.mark.parametrize("name", ["script", "style", "textarea", "iframe"])
 def test_unclosed_raw_text_ends_with_its_parent(name):
     page = f"<body><div><p>a</p><{name}>var x = 1; <p>no</p></div><p>b</p><{name}><b>no</b></{name} ><p>c</p></body>"
