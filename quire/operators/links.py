@@ -290,7 +290,9 @@ def article_pages(features: DataFrame, edges: DataFrame, starts: DataFrame, skip
     asked = asked.withColumn("page_no", F.col("start_page"))
     alone = asked.filter("is_ad").select("issue_id", "start_page", "page_no")
     seeds = asked.filter("NOT is_ad").select("issue_id", "start_page", "page_no")
-    backwards = reachable(links.select("issue_id", F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
+    # negated numbers: chains to earlier pages ascend
+    back = links.select("issue_id", F.negate("dst").alias("src"), F.negate("src").alias("dst"))
+    backwards = reachable(back, seeds.withColumn("page_no", F.negate("page_no"))).withColumn("page_no", F.negate("page_no"))
     whole = reachable(links, backwards)
     return whole.unionByName(
         alone.select("issue_id", F.col("start_page").cast("int"), F.col("page_no").cast("int"))

@@ -1,71 +1,63 @@
-"""Reachability over page links, many steps per round.
+"""Reachability over page links, an island of neighbours per step.
 
-Pages of an issue are cut into blocks of consecutive numbers. One round follows all links inside each block to the end
-(a block holds at most ``block`` pages, whatever the size of the issue); only links that leave a block need another round.
-Rounds are written to the shared folder, which also cuts the lineage.
+Pages with links are placed in the order of their numbers; pages of which each links to the next one are an island. From a page
+all later pages of its island are reached, so what a start page reaches is one row per island: the first place reached there.
+A round follows all links between such rows, by joins, and keeps the least place; it ends when none gets smaller. Rounds are
+written to the shared folder, which also cuts the lineage.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.blocks import BLOCK
+from quire.plans.blocks import BLOCK, with_running_sum, with_seq
 from quire.session import materialize
 
-_SCHEMA = "issue_id string, start_page int, page_no int"
-
 
-def _inside_block(seeds: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """Pages of one block reachable from its seeds, per start page."""
-    successors: dict[int, list[int]] = defaultdict(list)
-    for src, dst in zip(links["src"].to_numpy(), links["dst"].to_numpy(), strict=True):
-        successors[src].append(dst)
-    found = []
-    for (issue, start), group in seeds.groupby(["issue_id", "start_page"], sort=False):
-        todo = group["page_no"].tolist()
-        seen = set(todo)
-        while todo:
-            for page in successors.get(todo.pop(), ()):
-                if page not in seen:
-                    seen.add(page)
-                    todo.append(page)
-        found.extend((issue, start, page) for page in seen)
-    return pd.DataFrame(found, columns=["issue_id", "start_page", "page_no"]).astype(
-        {"start_page": "int32", "page_no": "int32"}
-    )
+def _placed(links: DataFrame, seeds: DataFrame, block: int) -> DataFrame:
+    """``issue_id, page_no, pos, island`` of all pages that have links or are seeds."""
+    ends = links.select("issue_id", F.explode(F.array(F.col("src").cast("int"), F.col("dst").cast("int"))).alias("page_no"))
+    nodes = ends.unionByName(seeds.select("issue_id", "page_no")).distinct()
+    seq = materialize(with_seq(nodes, ["issue_id"], "page_no", "pos", block), "places")
+    place = lambda name: seq.select("issue_id", F.col("page_no").alias(name), F.col("pos").alias(f"{name}_pos"))
+    both = links.join(place("src"), ["issue_id", "src"]).join(place("dst"), ["issue_id", "dst"])
+    chained = both.filter("dst_pos = src_pos + 1").select("issue_id", F.col("dst").alias("page_no"), F.lit(0).alias("_head"))
+    heads = seq.join(chained.distinct(), ["issue_id", "page_no"], "left").withColumn("_head", F.coalesce("_head", F.lit(1)))
+    return with_running_sum(heads, ["issue_id"], "pos", "_head", "island", block).drop("_head")
 
 
 def reachable(links: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
     """All ``(issue_id, start_page, page_no)`` reachable from ``seeds`` of the same shape over ``links(issue_id, src, dst)``.
 
-    ``links`` should be a written table: it is read once per round.
+    ``links`` should be a written table. Chains of ascending numbers cost one step; for descending ones negate the numbers.
     """
-    blk = lambda c: F.floor(F.col(c) / block)
-    inner = links.filter(blk("src") == blk("dst")).withColumn("_blk", blk("src"))
-    outer = links.filter(blk("src") != blk("dst"))
-    frontier = seeds.select("issue_id", F.col("start_page").cast("int"), F.col("page_no").cast("int"))
-    reached: DataFrame | None = None
-    while True:
-        grown = (
-            frontier.withColumn("_blk", blk("page_no"))
-            .groupBy("issue_id", "_blk")
-            .cogroup(inner.groupBy("issue_id", "_blk"))
-            .applyInPandas(_inside_block, _SCHEMA)
-        )
-        if reached is not None:
-            grown = grown.join(reached, ["issue_id", "start_page", "page_no"], "left_anti")
-        new = materialize(grown, "closure")
-        reached = new if reached is None else reached.unionByName(new)
-        left = (
-            new.join(outer.withColumnRenamed("src", "page_no"), ["issue_id", "page_no"])
-            .select("issue_id", "start_page", F.col("dst").alias("page_no"))
-            .distinct()
-            .join(reached, ["issue_id", "start_page", "page_no"], "left_anti")
+    seeds = seeds.select("issue_id", F.col("start_page").cast("int"), F.col("page_no").cast("int"))
+    placed = materialize(_placed(links, seeds, block), "islands")
+    at = lambda name, island, pos: placed.select(
+        "issue_id", F.col("page_no").alias(name), F.col("island").alias(island), F.col("pos").alias(pos)
+    )
+    jumps = (
+        links.join(at("src", "island", "src_pos"), ["issue_id", "src"])
+        .join(at("dst", "to_island", "to_pos"), ["issue_id", "dst"])
+        .filter("island <> to_island OR to_pos < src_pos")
+        .select("issue_id", "island", "src_pos", "to_island", "to_pos")
+    )
+    jumps = materialize(jumps, "jumps")
+    key = ["issue_id", "start_page", "island"]
+    reached = seeds.join(placed, ["issue_id", "page_no"]).groupBy(*key).agg(F.min("pos").alias("lo"))
+    reached = materialize(reached.withColumn("fresh", F.lit(True)), "closure")
+    while not reached.filter("fresh").isEmpty():
+        steps = (
+            reached.filter("fresh")
+            .join(jumps, ["issue_id", "island"])
+            .filter("src_pos >= lo")
+            .select("issue_id", "start_page", F.col("to_island").alias("island"), F.col("to_pos").alias("lo"))
+            .withColumn("_old", F.lit(None).cast("long"))
         )
-        frontier = materialize(left, "frontier")
-        if frontier.isEmpty():
-            return reached
+        both = reached.select(*key, "lo", F.col("lo").cast("long").alias("_old")).unionByName(steps)
+        grown = both.groupBy(*key).agg(F.min("lo").alias("lo"), F.min("_old").alias("_old"))
+        fresh = F.col("_old").isNull() | (F.col("lo") < F.col("_old"))
+        reached = materialize(grown.select(*key, "lo", fresh.alias("fresh")), "closure")
+    whole = reached.join(placed, ["issue_id", "island"]).filter("pos >= lo")
+    return whole.select("issue_id", "start_page", "page_no")

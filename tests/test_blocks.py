@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.plans.blocks import (
@@ -100,3 +101,32 @@ def test_closure_follows_links_across_blocks_and_cycles(spark):
     got = {(r.issue_id, r.start_page, r.page_no) for r in reachable(df, seeds, block=BLOCK).collect()}
     want = {("a", 1, p) for p in [*range(1, 31), 90, 91]} | {("a", 90, 90), ("a", 90, 91), ("b", 2, 2)}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_from_every_page_without_grouped_python(spark, seed, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    def refused(*_args, **_kwargs):
+        raise AssertionError("a group of pages in Python")
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", refused)
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", refused)
+    rng = random.Random(seed)
+    sign = -1 if seed == 2 else 1
+    links = {(k, sign * i, sign * (i + 1)) for k in "ab" for i in range(1, 40) if rng.random() < 0.8}
+    links |= {(k, sign * rng.randint(1, 40), sign * rng.randint(1, 60)) for k in "ab" for _ in range(12)}
+    seeds = [(k, i, sign * i) for k in "ab" for i in range(1, 41)] + [("c", 5, 5)]
+    want = set()
+    for k, start, page in seeds:
+        todo, seen = [page], {page}
+        while todo:
+            here = todo.pop()
+            new = {d for i, s, d in links if i == k and s == here} - seen
+            seen |= new
+            todo += new
+        want |= {(k, start, p) for p in seen}
+    df = materialize(spark.createDataFrame(sorted(links), "issue_id string, src int, dst int"), "t")
+    frame = spark.createDataFrame(seeds, "issue_id string, start_page int, page_no int")
+    got = [(r.issue_id, r.start_page, r.page_no) for r in reachable(df, frame, block=BLOCK).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
