@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import balance, balltree, bpe, debruijn, html, minhash, mixing, quality, suffix, vptree
+from quire.llm import balance, balltree, bpe, debruijn, filters, html, infill, minhash, mixing, quality, suffix, vptree
 from quire.session import table_path
 
 
@@ -85,6 +85,20 @@ def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of all their orders, per source."""
+    rules = filters.conditions(F.coalesce(F.col("text"), F.lit("")))
+    masks = filters.failed(_documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels")), rules)
+    return filters.audit(masks, [*rules, "E"])
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every whole text, and the text rebuilt from it, as digests."""
+    out = infill.restore(infill.transform(_documents(spark, sf_dir).select("doc_id", "text"), seed=42, cut=50, spm=80))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 OP6_SQL = r"""
 WITH body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 windows AS (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 200)) AS k FROM (SELECT *, unnest(range(n - 99)) AS i FROM body)),
@@ -163,6 +177,47 @@ SELECT doc_id, size, source_size, target,
   (size * (sure + CASE WHEN q IS NOT NULL AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM run
 """
 
+OP11_SQL = r"""
+WITH listed AS (SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM documents d LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) l
+  ON d.doc_id = l.doc_id),
+fails AS (SELECT part, good, toxic, MAP {
+  'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+  'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+  'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS f FROM listed),
+masks AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+seen AS (SELECT filter_order, step, substr(filter_order, step::BIGINT, 1) AS x,
+  string_split(substr(filter_order, 1, step::BIGINT - 1), '') AS before FROM steps),
+counted AS (SELECT part, filter_order, step, x AS filter,
+  sum(CASE WHEN NOT f[x] AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN f[x] AND NOT hit THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN f[x] AND hit THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN f[x] AND len(list_filter(map_values(f), lambda v: v)) = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN f[x] AND NOT hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN f[x] AND NOT hit THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda b: b <> '' AND f[b])) > 0 AS hit FROM masks, seen) GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted
+"""
+
+OP12_SQL = r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+drawn AS (SELECT *, len(w) AS n, [('0x' || substr(h, 1, 8))::BIGINT % (len(w) + 1), ('0x' || substr(h, 9, 8))::BIGINT % (len(w) + 1)] AS c,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT *, array_to_string(w[1:list_min(c)], '') AS p, array_to_string(w[list_min(c) + 1:list_max(c)], '') AS m,
+  array_to_string(w[list_max(c) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -174,6 +229,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_debruijn": op9_debruijn,
     "op10_minhash": op10_minhash,
+    "op11_filters": op11_filters,
+    "op12_infill": op12_infill,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op7_balltree": OP7_SQL, "op8_mixing": OP8_SQL, "op9_debruijn": OP9_SQL, "op10_minhash": OP10_SQL}
+SQL: dict[str, str] = {
+    "op6_suffix_dedup": OP6_SQL,
+    "op7_balltree": OP7_SQL,
+    "op8_mixing": OP8_SQL,
+    "op9_debruijn": OP9_SQL,
+    "op10_minhash": OP10_SQL,
+    "op11_filters": OP11_SQL,
+    "op12_infill": OP12_SQL,
+}
