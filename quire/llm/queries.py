@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import balance, balltree, bpe, debruijn, filters, html, infill, minhash, mixing, quality, suffix, vptree
+from quire.llm import balance, balltree, bpe, debruijn, filters, html, infill, minhash, mixing, quality, suffix, urls, vptree
 from quire.session import table_path
 
 
@@ -99,6 +99,12 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every url; where no rule fits, the purity of its path template decides."""
+    out = urls.judge(spark.read.parquet(table_path(sf_dir, "pages")))
+    return out.select("page_id", "host", "path", "rule", "template", "verdict")
+
+
 OP6_SQL = r"""
 WITH body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 windows AS (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 200)) AS k FROM (SELECT *, unnest(range(n - 99)) AS i FROM body)),
@@ -218,6 +224,50 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::B
     ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
 """
 
+_OP13_LEVEL = r"""
+open{i} AS (SELECT *,
+  CASE WHEN regexp_matches(rest[1], '\A(?:[0-9]+(?:[.][A-Za-z]+)?|[0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?|[0-9a-fA-F-]{{36}}|[*~])\z')
+  OR length(rest[1]) >= 8 AND regexp_matches(rest[1], '\A[0-9a-fA-F]*[0-9][0-9a-fA-F]*\z') THEN '*' ELSE rest[1] END AS s FROM lvl{i} WHERE len(rest) > 0),
+kids{i} AS (SELECT host, node, s, count(*)::BIGINT AS k, sum(good)::BIGINT AS g, sum(bad)::BIGINT AS b, any_value(purity) AS up
+  FROM open{i} GROUP BY host, node, s),
+named{i} AS (SELECT *, CASE WHEN s <> '*' AND k >= 3 AND k * 50 >= sum(k) OVER w THEN s ELSE '*' END AS name,
+  (sum(g) OVER w)::DOUBLE AS gt, (sum(b) OVER w)::DOUBLE AS bt FROM kids{i} WINDOW w AS (PARTITION BY host, node)),
+branch{i} AS (SELECT host, node, name, any_value(up) AS up, any_value(gt) AS gt, any_value(bt) AS bt, sum(g)::DOUBLE AS g, sum(b)::DOUBLE AS b
+  FROM named{i} GROUP BY host, node, name),
+like{i} AS (SELECT *, g + b = 0 OR gt + bt - g - b = 0 OR
+  pow((g + h) / (g + b + 2 * h) - (gt - g + h) / (gt + bt - g - b + 2 * h), 2) <=
+  3.84::DOUBLE * ((gt + h) / (gt + bt + 2 * h)) * (2 * h - (gt + h) / (gt + bt + 2 * h)) *
+  (2 * h / (g + b + 2 * h) + 2 * h / (gt + bt - g - b + 2 * h)) AS alike FROM (SELECT *, 0.5::DOUBLE AS h FROM branch{i})),
+joint{i} AS (SELECT *, alike AND sum(alike::INT) OVER w > 1 AS m, sum(g) FILTER (alike) OVER w AS jg, sum(b) FILTER (alike) OVER w AS jb
+  FROM like{i} WINDOW w AS (PARTITION BY host, node)),
+lvl{j} AS (SELECT page_id, host, path, rule, verdict, good, bad, rest[2:] AS rest, node || '/' || CASE WHEN m THEN '~' ELSE name END AS node,
+  (CASE WHEN m THEN jg ELSE joint{i}.g END + 4 * joint{i}.up)
+  / (CASE WHEN m THEN jg + jb ELSE joint{i}.g + joint{i}.b END + 4) AS purity
+  FROM open{i} JOIN named{i} USING (host, node, s) JOIN joint{i} USING (host, node, name)),"""
+
+OP13_SQL = (
+    r"""
+WITH cut AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fit AS (SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+  list_filter(string_split(path, '/'), lambda x: x <> '') AS every FROM cut),
+base AS (SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' ELSE 'block' END END
+  AS verdict, coalesce(rule IN ('org/', 'com/fr/'), false)::INT AS good, coalesce(rule NOT IN ('org/', 'com/fr/'), false)::INT AS bad,
+  CASE WHEN len(every) > 6 THEN list_append(every[1:5], array_to_string(every[6:], '/')) ELSE every END AS rest FROM fit),
+whole AS (SELECT CASE WHEN sum(good + bad) > 0 THEN sum(good)::DOUBLE / sum(good + bad) ELSE 0.5::DOUBLE END AS prior FROM base),
+hosts AS (SELECT host, (sum(good) + 4 * (SELECT prior FROM whole)) / (sum(good + bad) + 4) AS purity FROM base GROUP BY host),
+lvl0 AS (SELECT base.*, '' AS node, purity FROM base JOIN hosts USING (host)),"""
+    + "".join(_OP13_LEVEL.format(i=i, j=i + 1) for i in range(urls.DEPTH))
+    + "\nlast AS ("
+    + " UNION ALL BY NAME ".join(f"SELECT * FROM lvl{i} WHERE len(rest) = 0" for i in range(urls.DEPTH + 1))
+    + ")\nSELECT page_id, host, path, rule, node AS template, "
+    "coalesce(verdict, CASE WHEN purity < 0.5::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM last"
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -231,6 +281,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op11_filters": op11_filters,
     "op12_infill": op12_infill,
+    "op13_urls": op13_urls,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -241,4 +292,5 @@ SQL: dict[str, str] = {
     "op10_minhash": OP10_SQL,
     "op11_filters": OP11_SQL,
     "op12_infill": OP12_SQL,
+    "op13_urls": OP13_SQL,
 }
