@@ -26,7 +26,6 @@ from quire.llm import textops
 
 MARKS = (b"<P>", b"<S>", b"<M>")
 WIDE = 3
-ROWS = 4096
 PLAIN, PSM, SPM = 0, 1, 2
 FORMS = np.array(["plain", "psm", "spm"], dtype=object)
 
@@ -136,7 +135,7 @@ def transform(documents: DataFrame, seed: int = 42, cut: int = 50, spm: int = 80
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in _bounded(batches):
+        for rows, data, at in textops.chunks(batches, "text"):
             h1, h2, h3, h4 = (rows.column(i).to_numpy() for i in range(1, 5))
             ends, first = token_ends(data, at)
             n = np.diff(first)
@@ -166,18 +165,12 @@ def transform(documents: DataFrame, seed: int = 42, cut: int = 50, spm: int = 80
     return given.mapInArrow(run, f"row {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple]:
-    """Chunks bounded by bytes and by rows."""
-    for batch in batches:
-        yield from textops.chunks((batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)), column)
-
-
 def restore(transformed: DataFrame) -> DataFrame:
     """All columns of ``transformed`` and ``restored``: the text, from ``output`` and ``form`` alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = {name: i for i, name in enumerate(FORMS)}
-        for rows, data, at in _bounded(batches, "output"):
+        for rows, data, at in textops.chunks(batches, "output"):
             form = np.array([codes[x] for x in rows.column(1).to_pylist()], dtype=np.int64)
             text, text_at = gather(data, at, form)
             yield pa.RecordBatch.from_arrays(

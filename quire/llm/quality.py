@@ -200,14 +200,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
 
 
 def classify(documents: DataFrame, trees: Trees, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """row (struct of all columns of ``documents``), score (0 to 1), predicted (1 if the score reaches the threshold)."""
+    """row (struct of all columns of ``documents``), score (0 to 1), predicted (1 if the score reaches the threshold).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in textops.chunks(batches, "text"):
-            score = trees.score(statistics(data, at))
-            label = (score >= threshold).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array(label)], names=["row", "score", "predicted"])
+    Only the texts go to Python, and only scores come back.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([texts], names=["text"])
+        scores = [trees.score(statistics(data, at)) for _, data, at in textops.chunks(iter([rows]), "text")]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
-    rows = documents.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, score double, predicted int")
+    # a filter on the score must not make a second pass over the texts
+    score = F.arrow_udf(run, "double").asNondeterministic()
+    scored = documents.select(F.struct("*").alias("row"), score(F.col(text)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

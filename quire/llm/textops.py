@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 18
+ROWS = 1024
 _U = np.uint64
 
 
@@ -83,7 +84,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple]:
-    """(rows as a record batch, bytes, offsets) of at most ``limit`` bytes, or of one text."""
+    """(rows as a record batch, bytes, offsets) of at most ``limit`` bytes and ``ROWS`` rows, or of one text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -91,7 +92,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
-            hi = min(hi, batch.num_rows)
+            hi = min(hi, lo + ROWS, batch.num_rows)
             yield batch.slice(lo, hi - lo), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             lo = hi
 
