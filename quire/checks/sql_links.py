@@ -91,7 +91,7 @@ LINK_VIEWS = {
         WHERE NOT a.is_ad AND NOT b.is_ad AND a.page_no <> b.page_no""",
     "v_links": "SELECT DISTINCT issue_id, src, dst FROM v_edges",
     "v_starts": """
-        SELECT issue_id, page_no AS start_page, is_ad FROM v_feat WHERE page_no IN (1, 20)""",
+        SELECT issue_id, page_no AS start_page, is_ad FROM v_feat""",
     "v_rec_back": """
         SELECT issue_id, start_page, start_page AS page_no FROM v_starts s
         WHERE NOT is_ad AND NOT EXISTS (SELECT 1 FROM v_runs r WHERE r.issue_id = s.issue_id AND r.page_no = s.start_page)
@@ -108,6 +108,16 @@ LINK_VIEWS = {
         UNION ALL
         SELECT issue_id, start_page, start_page FROM v_starts s
         WHERE is_ad OR EXISTS (SELECT 1 FROM v_runs r WHERE r.issue_id = s.issue_id AND r.page_no = s.start_page)""",
+    "v_article_of": """
+        SELECT issue_id, start_page, min(start_page) OVER (PARTITION BY issue_id, pages) AS article
+        FROM (SELECT issue_id, start_page, list_sort(list(page_no)) AS pages FROM v_articles GROUP BY ALL)""",
+    "v_article_pages": """
+        SELECT a.issue_id, o.article, a.page_no, coalesce(n.pos, 0) AS pos
+        FROM v_articles a JOIN v_article_of o ON o.issue_id = a.issue_id AND o.start_page = a.start_page AND o.article = a.start_page
+        LEFT JOIN (SELECT issue_id, page_no, row_number() OVER (PARTITION BY issue_id ORDER BY page_no) AS pos
+                   FROM v_feat f WHERE NOT is_ad AND NOT EXISTS
+                     (SELECT 1 FROM v_runs r WHERE r.issue_id = f.issue_id AND r.page_no = f.page_no)) n
+          ON n.issue_id = a.issue_id AND n.page_no = a.page_no""",
     "v_toc": """
         SELECT issue_id, page_no - (page_no - 2) % 25 AS page_no,
                'Table of Contents' || chr(10) || string_agg(CASE WHEN ((page_no - 2) % 25) % 2 = 0

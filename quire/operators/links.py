@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions.scores import cue_numbers
 from quire.operators.features import issue_month, label_number
-from quire.plans.blocks import with_leads, with_seq
-from quire.plans.closure import reachable
+from quire.plans.blocks import with_leads, with_running_sum, with_seq
+from quire.plans.closure import closure
 from quire.plans.skew import join_attributes
 from quire.session import materialize
 from quire.sources.page_dump import format_dump
@@ -274,31 +274,103 @@ def page_edges(features: DataFrame, skipped: DataFrame | None = None, offsets: D
     return neighbours.unionByName(jumps)
 
 
-def article_pages(features: DataFrame, edges: DataFrame, starts: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """Pages of the article each start page belongs to: everything before it is closed first, then everything after.
+def article_segments(features: DataFrame, edges: DataFrame, skipped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(placed, reach)`` for the pages a reader sees that are no ads.
+
+    ``placed(issue_id, page_no, seg)``: an island of pages of which each links to the next is cut where a jump lands; the pieces
+    are numbered along the issue. An article always holds an island from its first page, so all pages of a piece have one article.
 
-    ``starts(issue_id, start_page)``. A start on an ad, or on a skipped page, yields itself.
+    ``reach(issue_id, seg, reached)``: pieces of the article of each piece: all that follows from anything that leads to it. Both
+    directions are one closure, over a backward and a forward copy of the pieces.
     """
-    links = materialize(edges.select("issue_id", "src", "dst").distinct(), "links")
-    flags = features.select("issue_id", F.col("page_no").alias("start_page"), "is_ad")
-    asked = starts.select("issue_id", "start_page").distinct().join(flags, ["issue_id", "start_page"])
+    pages = features.filter(~F.col("is_ad")).select(*PAGE)
     if skipped is not None:
-        marks = skipped.select("issue_id", F.col("page_no").alias("start_page")).distinct().withColumn("_s", F.lit(True))
-        asked = asked.join(marks, ["issue_id", "start_page"], "left").withColumn(
-            "is_ad", F.col("is_ad") | F.coalesce("_s", F.lit(False))
-        )
-    asked = asked.withColumn("page_no", F.col("start_page"))
-    alone = asked.filter("is_ad").select("issue_id", "start_page", "page_no")
-    seeds = asked.filter("NOT is_ad").select("issue_id", "start_page", "page_no")
-    # negated numbers: chains to earlier pages ascend
-    back = links.select("issue_id", F.negate("dst").alias("src"), F.negate("src").alias("dst"))
-    backwards = reachable(back, seeds.withColumn("page_no", F.negate("page_no"))).withColumn("page_no", F.negate("page_no"))
-    whole = reachable(links, backwards)
-    return whole.unionByName(
-        alone.select("issue_id", F.col("start_page").cast("int"), F.col("page_no").cast("int"))
+        pages = pages.join(skipped.select(*PAGE).distinct(), PAGE, "left_anti")
+    seen = materialize(with_seq(pages, ["issue_id"], "page_no", "pos"), "places")
+    place = lambda name: seen.select("issue_id", F.col("page_no").alias(name), F.col("pos").alias(f"{name}_pos"))
+    links = edges.select("issue_id", "src", "dst").distinct().join(place("src"), ["issue_id", "src"])
+    links = materialize(links.join(place("dst"), ["issue_id", "dst"]).withColumn("next", F.expr("dst_pos = src_pos + 1")), "links")
+    entered = links.groupBy("issue_id", F.col("dst_pos").alias("pos")).agg(
+        F.max("next").alias("chained"), F.max(~F.col("next")).alias("landing")
+    )
+    cut = ~F.coalesce("chained", F.lit(False)) | F.coalesce("landing", F.lit(False))
+    flagged = seen.join(entered, ["issue_id", "pos"], "left").withColumn("cut", cut.cast("int"))
+    placed = materialize(with_running_sum(flagged, ["issue_id"], "pos", "cut", "seg").drop("landing"), "segments")
+    piece = lambda name: placed.select("issue_id", F.col("pos").alias(f"{name}_pos"), F.col("seg").alias(name))
+    onward = placed.filter("cut = 1 AND chained").select("issue_id", (F.col("seg") - 1).alias("src"), F.col("seg").alias("dst"))
+    jumps = links.filter("NOT next").select("issue_id", "src_pos", "dst_pos")
+    jumps = jumps.join(piece("src"), ["issue_id", "src_pos"]).join(piece("dst"), ["issue_id", "dst_pos"]).filter("src <> dst")
+    steps = onward.unionByName(jumps.select("issue_id", "src", "dst")).distinct()
+    # piece k as 2k looks back, as 2k + 1 ahead
+    both = steps.select(
+        "issue_id", F.inline(F.expr("array(struct(2 * dst as a, 2 * src as b), struct(2 * src + 1 as a, 2 * dst + 1 as b))"))
+    )
+    turns = placed.filter("cut = 1").select("issue_id", (2 * F.col("seg")).alias("a"), (2 * F.col("seg") + 1).alias("b"))
+    pairs = closure(both.unionByName(turns)).filter("a % 2 = 0 AND b % 2 = 1")
+    reach = pairs.select("issue_id", F.expr("a div 2").alias("seg"), F.expr("b div 2").alias("reached"))
+    return placed.select(*PAGE, "seg"), reach
+
+
+def article_starts(features: DataFrame, placed: DataFrame, reach: DataFrame) -> DataFrame:
+    """``issue_id, start_page, article`` of every page: the smallest start page whose article has the same pages.
+
+    A start on an ad, or on a page the reader does not see, is an article of its own.
+    """
+    h = F.xxhash64("reached")
+    same = ["issue_id", "_n", "_sum", "_xor"]
+    sets = reach.groupBy("issue_id", "seg").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64(h)).alias("_xor")
+    )
+    first = placed.groupBy("issue_id", "seg").agg(F.min("page_no").alias("first_page"))
+    named = sets.join(first, ["issue_id", "seg"])
+    named = named.join(named.groupBy(*same).agg(F.min("first_page").alias("article")), same).select("issue_id", "seg", "article")
+    inside = placed.join(named, ["issue_id", "seg"]).select("issue_id", F.col("page_no").alias("start_page"), "article")
+    return join_attributes(
+        features.select("issue_id", F.col("page_no").alias("start_page")), inside, ["issue_id", "start_page"]
+    ).withColumn("article", F.coalesce("article", "start_page"))
+
+
+def article_runs(placed: DataFrame, reach: DataFrame, starts: DataFrame) -> DataFrame:
+    """``issue_id, article, first_page, last_page``: the pages of each article of ``starts`` as runs.
+
+    A run holds all seen pages between its ends that are no ads; a page without an article of others is a run of its own.
+    """
+    ends = placed.groupBy("issue_id", "seg").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
+    own = starts.select("issue_id", "article").distinct()
+    lead = own.join(ends.select("issue_id", "seg", F.col("lo").alias("article")), ["issue_id", "article"], "left")
+    alone = lead.filter("seg IS NULL").select("issue_id", "article", F.col("article").alias("lo"), F.col("article").alias("hi"))
+    held = lead.filter("seg IS NOT NULL").join(reach, ["issue_id", "seg"]).select("issue_id", "article", "reached")
+    # pieces that follow each other differ from their rank by the same number
+    ranked = with_seq(held, ["issue_id", "article"], "reached", "_k").withColumn("_k", F.col("reached") - F.col("_k"))
+    whole = ranked.withColumnRenamed("reached", "seg").join(ends, ["issue_id", "seg"])
+    runs = whole.groupBy("issue_id", "article", "_k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_k")
+    return runs.unionByName(alone).select(
+        "issue_id", "article", F.col("lo").cast("int").alias("first_page"), F.col("hi").cast("int").alias("last_page")
     )
 
 
+def article_lists(placed: DataFrame, reach: DataFrame, starts: DataFrame) -> DataFrame:
+    """``issue_id, article, page_no``: the pages of each article of ``starts``, one row each."""
+    at = placed.select("issue_id", F.col("page_no").alias("article"), "seg")
+    lead = starts.select("issue_id", "article").distinct().join(at, ["issue_id", "article"], "left")
+    alone = lead.filter("seg IS NULL").select("issue_id", "article", F.col("article").alias("page_no"))
+    held = lead.join(reach, ["issue_id", "seg"]).select("issue_id", "article", F.col("reached").alias("seg"))
+    return held.join(placed, ["issue_id", "seg"]).select("issue_id", "article", "page_no").unionByName(alone)
+
+
+def article_pages(features: DataFrame, edges: DataFrame, starts: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """``issue_id, start_page, page_no``: pages of the article each of ``starts(issue_id, start_page)`` belongs to.
+
+    For all starts together see ``article_starts`` and ``article_runs``, which do not list pairs of pages.
+    """
+    placed, reach = article_segments(features, edges, skipped)
+    asked = starts.select("issue_id", "start_page").distinct()
+    known = asked.join(features.select("issue_id", F.col("page_no").alias("start_page")), ["issue_id", "start_page"])
+    # lists by their start instead of the smallest start with the same pages
+    listed = article_lists(placed, reach, known.withColumnRenamed("start_page", "article"))
+    return listed.withColumnRenamed("article", "start_page")
+
+
 def first_target_walk(features: DataFrame, starts: DataFrame) -> DataFrame:
     """Follow the first "continued on" target to the first unvisited page that has any from-cue or whose label
     contains the number; ends where a page has no cue or nothing is left to visit.

@@ -1,63 +1,35 @@
-"""Reachability over page links, an island of neighbours per step.
+"""Which nodes of a graph reach which, for all nodes at once, by joins whose number follows the logarithm of the longest path.
 
-Pages with links are placed in the order of their numbers; pages of which each links to the next one are an island. From a page
-all later pages of its island are reached, so what a start page reaches is one row per island: the first place reached there.
-A round follows all links between such rows, by joins, and keeps the least place; it ends when none gets smaller. Rounds are
-written to the shared folder, which also cuts the lineage.
+After round t all pairs up to 2**t steps apart are known with their least distance. Any pair up to twice as far has a shortest
+path through a node exactly 2**t steps from its start, so only such pairs are joined with everything known; they are few in a
+graph of long chains, and no pair is derived through each of the nodes between its ends. Rounds are written to the shared folder,
+which also cuts the lineage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.blocks import BLOCK, with_running_sum, with_seq
 from quire.session import materialize
 
 
-def _placed(links: DataFrame, seeds: DataFrame, block: int) -> DataFrame:
-    """``issue_id, page_no, pos, island`` of all pages that have links or are seeds."""
-    ends = links.select("issue_id", F.explode(F.array(F.col("src").cast("int"), F.col("dst").cast("int"))).alias("page_no"))
-    nodes = ends.unionByName(seeds.select("issue_id", "page_no")).distinct()
-    seq = materialize(with_seq(nodes, ["issue_id"], "page_no", "pos", block), "places")
-    place = lambda name: seq.select("issue_id", F.col("page_no").alias(name), F.col("pos").alias(f"{name}_pos"))
-    both = links.join(place("src"), ["issue_id", "src"]).join(place("dst"), ["issue_id", "dst"])
-    chained = both.filter("dst_pos = src_pos + 1").select("issue_id", F.col("dst").alias("page_no"), F.lit(0).alias("_head"))
-    heads = seq.join(chained.distinct(), ["issue_id", "page_no"], "left").withColumn("_head", F.coalesce("_head", F.lit(1)))
-    return with_running_sum(heads, ["issue_id"], "pos", "_head", "island", block).drop("_head")
-
-
-def reachable(links: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All ``(issue_id, start_page, page_no)`` reachable from ``seeds`` of the same shape over ``links(issue_id, src, dst)``.
+def closure(edges: DataFrame, keys: Sequence[str] = ("issue_id",)) -> DataFrame:
+    """``keys, a, b, d``: all pairs with a path from ``a`` to ``b`` of ``edges(keys, a, b)``, and its least number of steps.
 
-    ``links`` should be a written table. Chains of ascending numbers cost one step; for descending ones negate the numbers.
+    Every node that has an edge reaches itself in no steps.
     """
-    seeds = seeds.select("issue_id", F.col("start_page").cast("int"), F.col("page_no").cast("int"))
-    placed = materialize(_placed(links, seeds, block), "islands")
-    at = lambda name, island, pos: placed.select(
-        "issue_id", F.col("page_no").alias(name), F.col("island").alias(island), F.col("pos").alias(pos)
-    )
-    jumps = (
-        links.join(at("src", "island", "src_pos"), ["issue_id", "src"])
-        .join(at("dst", "to_island", "to_pos"), ["issue_id", "dst"])
-        .filter("island <> to_island OR to_pos < src_pos")
-        .select("issue_id", "island", "src_pos", "to_island", "to_pos")
-    )
-    jumps = materialize(jumps, "jumps")
-    key = ["issue_id", "start_page", "island"]
-    reached = seeds.join(placed, ["issue_id", "page_no"]).groupBy(*key).agg(F.min("pos").alias("lo"))
-    reached = materialize(reached.withColumn("fresh", F.lit(True)), "closure")
-    while not reached.filter("fresh").isEmpty():
-        steps = (
-            reached.filter("fresh")
-            .join(jumps, ["issue_id", "island"])
-            .filter("src_pos >= lo")
-            .select("issue_id", "start_page", F.col("to_island").alias("island"), F.col("to_pos").alias("lo"))
-            .withColumn("_old", F.lit(None).cast("long"))
-        )
-        both = reached.select(*key, "lo", F.col("lo").cast("long").alias("_old")).unionByName(steps)
-        grown = both.groupBy(*key).agg(F.min("lo").alias("lo"), F.min("_old").alias("_old"))
-        fresh = F.col("_old").isNull() | (F.col("lo") < F.col("_old"))
-        reached = materialize(grown.select(*key, "lo", fresh.alias("fresh")), "closure")
-    whole = reached.join(placed, ["issue_id", "island"]).filter("pos >= lo")
-    return whole.select("issue_id", "start_page", "page_no")
+    keys = list(keys)
+    pairs = edges.select(*keys, F.inline(F.expr("array(struct(a, b, 1 as d), struct(a, a as b, 0 as d), struct(b as a, b, 0 as d))")))
+    pairs = materialize(pairs.groupBy(*keys, "a", "b").agg(F.min("d").alias("d")), "closure")
+    step = 1
+    while True:
+        far = pairs.filter(F.col("d") == step).select(*keys, "a", F.col("b").alias("m"))
+        if far.isEmpty():
+            return pairs
+        onward = pairs.filter("d > 0").select(*keys, F.col("a").alias("m"), "b", (F.col("d") + step).alias("d"))
+        grown = pairs.unionByName(far.join(onward, [*keys, "m"]).select(*keys, "a", "b", "d"))
+        pairs = materialize(grown.groupBy(*keys, "a", "b").agg(F.min("d").alias("d")), "closure")
+        step *= 2

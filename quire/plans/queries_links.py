@@ -117,22 +117,31 @@ def page_edges(spark: SparkSession, sf: str) -> DataFrame:
     return L.page_edges(c.features, c.runs(), c.offsets)
 
 
-def _articles(c: Corpus) -> DataFrame:
+def _articles(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages by piece, pieces of each article, article of each start) of all pages of all issues."""
     runs = materialize(c.runs(), "runs")
-    edges = L.page_edges(c.features, runs, c.offsets)
-    starts = c.features.filter(F.col("page_no").isin(1, 20)).select("issue_id", F.col("page_no").alias("start_page"))
-    return L.article_pages(c.features, edges, starts, runs)
+    placed, reach = L.article_segments(c.features, L.page_edges(c.features, runs, c.offsets), runs)
+    return placed, reach, materialize(L.article_starts(c.features, placed, reach), "starts")
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles that hold page 1 or page 20 of each issue."""
-    return _articles(Corpus(spark, sf, keep=True))
+    """Page runs of every article of every issue."""
+    placed, reach, starts = _articles(Corpus(spark, sf, keep=True))
+    return L.article_runs(placed, reach, starts)
+
+
+def article_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """The article of every page of every issue."""
+    return _articles(Corpus(spark, sf, keep=True))[2].select("issue_id", "start_page", "article")
 
 
 def article_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Text of every article of every issue."""
     c = Corpus(spark, sf, keep=True)
+    placed, reach, starts = _articles(c)
+    pages = L.article_lists(placed, reach, starts)
     path = F.concat(F.lit("/scans/BYTE_1976-08_"), F.col("issue_id"), F.lit("/scan.pdf"))
-    out = L.export_articles(_articles(c), c.features, c.pages, path)
+    out = L.export_articles(pages.withColumnRenamed("article", "start_page"), c.features, c.pages, path)
     return out.select("issue_id", "start_page", "part", "file_name", "dump")
 
 
@@ -198,6 +207,7 @@ QUERIES = {
     "ad_queue": ad_queue,
     "page_edges": page_edges,
     "articles": articles,
+    "article_starts": article_starts,
     "article_dump": article_dump,
     "article_walk": article_walk,
     "toc_pages": toc_pages,
@@ -258,24 +268,28 @@ SQL = {
         FROM v_fo f LEFT JOIN v_runs r ON r.issue_id = f.issue_id AND r.page_no = f.page_no
         WHERE f.is_ad OR f.is_form OR r.page_no IS NOT NULL"""),
     "page_edges": q("SELECT issue_id, src, dst, kind FROM v_edges"),
-    "articles": q("SELECT issue_id, start_page, page_no FROM v_articles"),
+    "articles": q("""
+        SELECT issue_id, article, min(page_no) AS first_page, max(page_no) AS last_page
+        FROM (SELECT *, pos - row_number() OVER (PARTITION BY issue_id, article ORDER BY pos) AS g FROM v_article_pages)
+        GROUP BY issue_id, article, g"""),
+    "article_starts": q("SELECT issue_id, start_page, article FROM v_article_of"),
     "article_dump": q(f"""
-        SELECT a.issue_id, a.start_page, (a.page_no - 1) // 1000 AS part,
+        SELECT a.issue_id, a.article AS start_page, (a.page_no - 1) // 1000 AS part,
                any_value(CASE WHEN length(stem) > 80 THEN rtrim(stem[1:79], ' .') || '…' ELSE stem END
                          || ' - 1976-08.txt') AS file_name,
                {X.strip('''string_agg('=== ' || label || ' ===' || chr(10) || CASE WHEN ''' + X.strip('raw_text') +
                            ''' = '' THEN '' ELSE ''' + X.strip('raw_text') + ''' || chr(10) END, chr(10)
                            ORDER BY a.page_no)''')} || chr(10) AS dump
-        FROM v_articles a JOIN v_cue_pages USING (issue_id, page_no)
-        JOIN (SELECT m.issue_id, m.start_page, trim(regexp_replace(regexp_replace(
+        FROM v_article_pages a JOIN v_cue_pages USING (issue_id, page_no)
+        JOIN (SELECT m.issue_id, m.article, trim(regexp_replace(regexp_replace(
                  CASE WHEN is_ad AND (title IS NULL OR length(title) > 60 OR prefix(lower(title), 'continued'))
                            THEN 'Ad p.' || f.page_no
                       WHEN title IS NULL THEN 'Article p.' || f.page_no ELSE title END,
                  '[<>:"/\\\\|?*\\x00-\\x1f]+', '', 'g'), '\\s+', ' ', 'g'), ' .') AS stem
-              FROM (SELECT issue_id, start_page, min(page_no) AS lead FROM v_articles GROUP BY ALL) m
+              FROM (SELECT issue_id, article, min(page_no) AS lead FROM v_article_pages GROUP BY ALL) m
               JOIN v_feat f ON f.issue_id = m.issue_id AND f.page_no = m.lead) n
-          ON n.issue_id = a.issue_id AND n.start_page = a.start_page
-        GROUP BY a.issue_id, a.start_page, part"""),
+          ON n.issue_id = a.issue_id AND n.article = a.article
+        GROUP BY a.issue_id, a.article, part"""),
     "article_walk": q("SELECT issue_id, start_page, ord, page_no FROM v_rec_steps", {
         "v_rec_steps": """
             SELECT issue_id, page_no AS start_page, 0 AS ord, page_no, [page_no] AS visited

@@ -15,7 +15,7 @@ from quire.plans.blocks import (
     with_seq,
     with_sorted_seq,
 )
-from quire.plans.closure import reachable
+from quire.plans.closure import closure
 from quire.plans.skew import join_attributes
 from quire.session import materialize
 
@@ -92,41 +92,36 @@ def test_attribute_join_keeps_all_rows(spark):
     assert lost.filter("v IS NULL").count() == 20
 
 
-def test_closure_follows_links_across_blocks_and_cycles(spark):
-    links = [("a", i, i + 1) for i in range(1, 30)] + [("a", 30, 3), ("a", 5, 90), ("a", 90, 91), ("b", 1, 2)]
-    df = materialize(spark.createDataFrame(links, "issue_id string, src int, dst int"), "t")
-    seeds = spark.createDataFrame(
-        [("a", 1, 1), ("a", 90, 90), ("b", 2, 2)], "issue_id string, start_page int, page_no int"
-    )
-    got = {(r.issue_id, r.start_page, r.page_no) for r in reachable(df, seeds, block=BLOCK).collect()}
-    want = {("a", 1, p) for p in [*range(1, 31), 90, 91]} | {("a", 90, 90), ("a", 90, 91), ("b", 2, 2)}
-    assert got == want
+def _distances(links, start):
+    found, todo = {start: 0}, [start]
+    for here in todo:
+        for a, b in links:
+            if a == here and b not in found:
+                found[b] = found[here] + 1
+                todo.append(b)
+    return found
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_closure_from_every_page_without_grouped_python(spark, seed, monkeypatch):
-    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
-
-    def refused(*_args, **_kwargs):
-        raise AssertionError("a group of pages in Python")
-
-    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", refused)
-    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", refused)
+def test_closure_has_all_pairs_with_least_steps(spark, seed):
     rng = random.Random(seed)
-    sign = -1 if seed == 2 else 1
-    links = {(k, sign * i, sign * (i + 1)) for k in "ab" for i in range(1, 40) if rng.random() < 0.8}
-    links |= {(k, sign * rng.randint(1, 40), sign * rng.randint(1, 60)) for k in "ab" for _ in range(12)}
-    seeds = [(k, i, sign * i) for k in "ab" for i in range(1, 41)] + [("c", 5, 5)]
+    links = {(k, i, i + 1) for k in "ab" for i in range(1, 40) if rng.random() < 0.8}
+    links |= {(k, rng.randint(1, 40), rng.randint(1, 60)) for k in "ab" for _ in range(12)} | {("c", 5, 5), ("d", 7, 8)}
     want = set()
-    for k, start, page in seeds:
-        todo, seen = [page], {page}
-        while todo:
-            here = todo.pop()
-            new = {d for i, s, d in links if i == k and s == here} - seen
-            seen |= new
-            todo += new
-        want |= {(k, start, p) for p in seen}
-    df = materialize(spark.createDataFrame(sorted(links), "issue_id string, src int, dst int"), "t")
-    frame = spark.createDataFrame(seeds, "issue_id string, start_page int, page_no int")
-    got = [(r.issue_id, r.start_page, r.page_no) for r in reachable(df, frame, block=BLOCK).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for k in "abcd":
+        own = [(a, b) for i, a, b in links if i == k]
+        for start in {x for pair in own for x in pair}:
+            want |= {(k, start, b, d) for b, d in _distances(own, start).items()}
+    df = spark.createDataFrame(sorted(links), "issue_id string, a long, b long")
+    assert sorted(tuple(r) for r in closure(df.union(df)).select("issue_id", "a", "b", "d").collect()) == sorted(want)
+
+
+def test_closure_takes_few_rounds_along_a_chain(spark, monkeypatch):
+    from quire.plans import closure as module
+
+    rounds = []
+    monkeypatch.setattr(module, "materialize", lambda df, name: rounds.append(name) or materialize(df, name))
+    df = spark.range(150).select(F.lit("i").alias("issue_id"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert closure(df).count() == 151 * 152 // 2
+    assert len(rounds) <= 9
+    assert closure(df.limit(0)).count() == 0

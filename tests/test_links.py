@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import column
 from pyspark.sql import functions as F
@@ -167,3 +169,48 @@ def test_partial_issue_has_its_offset_and_gaps_keep_neighbours(spark):
     skipped = spark.createDataFrame([("b", 8), ("b", 14)], "issue_id string, page_no int")
     edges = {(r["issue_id"], r["src"], r["dst"]) for r in L.page_edges(f, skipped).collect()}
     assert edges == {("a", 124, 125), ("a", 125, 126)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_articles_of_all_starts(spark, seed):
+    """Every start against walking back until nothing is added, then forward; jumps go both ways and may land inside an island."""
+    rng = random.Random(seed)
+    ads = {k: {p for p in range(1, 41) if rng.random() < 0.15} for k in "ab"}
+    skipped = {k: {p for p in range(1, 41) if rng.random() < 0.08} for k in "ab"}
+    links = set()
+    for k in "ab":
+        seen = [p for p in range(1, 41) if p not in skipped[k]]
+        plain = [p for p in seen if p not in ads[k]]
+        links |= {(k, a, b) for a, b in zip(seen, seen[1:], strict=False) if a in plain and b in plain and rng.random() < 0.8}
+        links |= {(k, *rng.sample(plain, 2)) for _ in range(5)}
+    pages = [(k, p, p in ads[k]) for k in "ab" for p in range(1, 41)]
+    want = {}
+    for k, p, ad in pages:
+        found = {p}
+        if not ad and p not in skipped[k]:
+            for src, dst in ((2, 1), (1, 2)):
+                grown = True
+                while grown:
+                    new = {x[dst] for x in links if x[0] == k and x[src] in found} - found
+                    found |= new
+                    grown = bool(new)
+        want[k, p] = found
+    features = spark.createDataFrame(pages, "issue_id string, page_no int, is_ad boolean")
+    edges = spark.createDataFrame([(*x, "any") for x in sorted(links)], "issue_id string, src int, dst int, kind string")
+    gone = spark.createDataFrame([(k, p) for k in "ab" for p in sorted(skipped[k])], "issue_id string, page_no int")
+    placed, reach = L.article_segments(features, edges, gone)
+    starts = L.article_starts(features, placed, reach)
+    least = {(k, p): min(q for (i, q), s in want.items() if i == k and s == want[k, p]) for k, p in want}
+    assert {(r.issue_id, r.start_page): r.article for r in starts.collect()} == least
+    got = {}
+    for r in L.article_runs(placed, reach, starts).collect():
+        plain = {p for p in range(1, 41) if p not in ads[r.issue_id] | skipped[r.issue_id]} | {r.article}
+        run = plain & set(range(r.first_page, r.last_page + 1))
+        assert not got.setdefault((r.issue_id, r.article), set()) & run
+        got[r.issue_id, r.article] |= run
+    assert got == {key: want[key] for key in set((k, a) for (k, _), a in least.items())}
+    asked = starts.select("issue_id", "start_page")
+    listed = {}
+    for r in L.article_pages(features, edges, asked, gone).collect():
+        listed.setdefault((r.issue_id, r.start_page), []).append(r.page_no)
+    assert {key: sorted(v) for key, v in listed.items()} == {key: sorted(v) for key, v in want.items()}
