@@ -77,8 +77,9 @@ VIEWS: dict[str, str] = {
         SELECT issue_id, page_no, block_num, par_num, line_num, 0, 4, text, "left", top, width, height
         FROM v_word_base WHERE page_no % 4 = 0""",
     "v_requests": """
-        SELECT event_id AS request_id, 'src' || (user_id % 20) AS issue_id, event_id % 60 + 1 AS number, ts
-        FROM events""",
+        SELECT event_id AS request_id, e.issue_id, (event_id % (coalesce(n * 6 // 5, 0) + 1) + 1)::INT AS number, ts
+        FROM (SELECT *, 'src' || (user_id % 20) AS issue_id FROM events) e
+        LEFT JOIN (SELECT source AS issue_id, count(*) AS n FROM documents GROUP BY source) c USING (issue_id)""",
     "v_proof_first": """
         SELECT issue_id, page_no, CASE WHEN page_no % 6 = 0 THEN upper(label) ELSE label END AS label,
                CASE WHEN page_no % 9 = 0 THEN '[[SKIP_AS_AD]]' || chr(10) ELSE '' END

@@ -9,8 +9,10 @@ from quire.checks.sql_layout import q as layout_q
 from quire.checks.sql_links import q
 from quire.checks.sql_noise import NOISE_VIEWS
 from quire.checks.sql_views import compose
+from quire.operators import features as D
+from quire.operators import links as L
 from quire.plans import views as V
-from quire.session import fresh_path
+from quire.session import fresh_path, materialize
 from quire.streaming import pages as S
 
 KEY = ("issue_id", "page_no")
@@ -26,6 +28,13 @@ def _arrivals(pages: DataFrame) -> DataFrame:
     return pages.withColumn("arrived_at", F.timestamp_seconds(seconds))
 
 
+def _slow_arrivals(pages: DataFrame) -> DataFrame:
+    """One page an hour, every eleventh page a day late."""
+    late = F.when(F.col("page_no") % 11 == 0, 24).otherwise(0)
+    seconds = F.unix_timestamp(F.lit(EPOCH)) + 3600 * (F.col("page_no") + late)
+    return pages.withColumn("arrived_at", F.timestamp_seconds(seconds))
+
+
 def replay(
     spark: SparkSession, df: DataFrame, order: str, name: str, files: int = FILES, closing: DataFrame | None = None
 ) -> DataFrame:
@@ -40,6 +49,12 @@ def replay(
     return S.stream_pages(spark, path, df.schema, files_per_batch=2)
 
 
+def closing_row(df: DataFrame, **values: object) -> DataFrame:
+    """One row of ``df``'s columns, null but for ``values``."""
+    row = df.sparkSession.range(1)
+    return row.select(*[F.lit(values.get(c.name)).cast(c.dataType).alias(c.name) for c in df.schema])
+
+
 def stream_ads(spark: SparkSession, sf: str) -> DataFrame:
     pages = replay(spark, _arrivals(V.cue_pages(spark, sf)), "arrived_at", "pages")
     out = S.stream_features(pages).select(*KEY, "is_ad", "first_rule")
@@ -51,32 +66,46 @@ def stream_layout(spark: SparkSession, sf: str) -> DataFrame:
     return S.collect_stream(lines, "layout", job=S.layout_job).select(*KEY, "line_no", "read_no")
 
 
-def stream_goto(spark: SparkSession, sf: str) -> DataFrame:
-    """The watermark delay covers the whole replay, so the order of the files does not matter."""
-    numbered = _arrivals(V.issue_pages(spark, sf).select(*KEY, F.col("page_no").alias("number")))
-    asked = V.requests(spark, sf)
-    end_page = spark.range(1).select(
-        F.lit("").alias("issue_id"), F.lit(0).alias("page_no"), F.lit(0).alias("number"),
-        F.lit(CLOSING).cast("timestamp").alias("arrived_at"),
-    )
-    end_request = spark.range(1).select(
-        F.lit(-1).cast("long").alias("request_id"), F.lit("").alias("issue_id"), F.lit(-1).alias("number"),
-        F.lit(CLOSING).cast(asked.schema["ts"].dataType).alias("ts"),
-    )
-    seconds = lambda d: d.withColumn("ts", F.col("ts").cast("timestamp"))
+def _resolved(spark: SparkSession, sf: str, asked: DataFrame, tiers: tuple, name: str) -> DataFrame:
+    """The delay covers the whole replay, so the order of the files does not matter."""
+    features = D.page_features(V.cue_pages(spark, sf))
+    offsets = materialize(L.offset_first(features), "offsets")
+    pages = _slow_arrivals(V.cue_pages(spark, sf))
+    loaded = S.stream_features(replay(spark, pages, "arrived_at", f"{name}-pages", closing=closing_row(pages, issue_id="", arrived_at=CLOSING)))
+    loaded = L.with_offset(loaded, offsets)
     out = S.stream_resolve(
-        replay(spark, seconds(asked), "ts", "requests", closing=seconds(end_request)),
-        replay(spark, numbered, "arrived_at", "numbers", closing=end_page),
+        replay(spark, asked, "ts", f"{name}-requests", closing=closing_row(asked, request_id=-1, issue_id="", number=-1, ts=CLOSING)),
+        loaded,
+        tiers,
         delay="90 days",
     )
-    return S.collect_stream(out, "goto", out.schema).filter("request_id >= 0")
+    return S.collect_stream(out, name, out.schema).filter("request_id >= 0")
+
+
+def stream_goto(spark: SparkSession, sf: str) -> DataFrame:
+    """Page requests while pages arrive: at once, when the page comes, or never."""
+    asked = V.requests(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _resolved(spark, sf, asked, S.GOTO_TIERS, "goto")
+
+
+def stream_continue(spark: SparkSession, sf: str) -> DataFrame:
+    """Every "continued on" cue, asked for when its page arrives."""
+    cues = _slow_arrivals(D.cues(V.cue_pages(spark, sf)))
+    ident = F.xxhash64("issue_id", "page_no", "number").bitwiseAND(F.lit((1 << 62) - 1))
+    asked = cues.select("issue_id", "page_no", F.explode("continued_on").alias("number"), F.col("arrived_at").alias("ts"))
+    asked = materialize(asked.withColumn("request_id", ident), "cue-requests")
+    out = _resolved(spark, sf, asked.drop("page_no"), S.CONTINUE_TIERS, "continue")
+    out = out.select("request_id", "tier", F.col("page_no").alias("dst_page"), "status")
+    return asked.join(out, "request_id").select(
+        "issue_id", F.col("page_no").alias("src_page"), F.col("number").alias("target"), "tier", "dst_page", "status"
+    )
 
 
 def stream_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    pages = replay(spark, _arrivals(V.cue_pages(spark, sf)), "arrived_at", "pages")
-    featured = S.stream_features(pages).select(*KEY, "pdf_no", "folio", "arrived_at")
-    votes = S.collect_stream(featured, "votes", job=S.offset_votes_job())
-    return S.settle_offsets(votes).select("issue_id", "page_offset", "confirmed")
+    pages = _arrivals(V.cue_pages(spark, sf))
+    closed = replay(spark, pages, "arrived_at", "pages", closing=closing_row(pages, issue_id="", raw_text="Page 1\n1", label="Page 1", arrived_at=CLOSING))
+    out = S.stream_offset(S.stream_features(closed), delay="90 days")
+    return S.collect_stream(out, "offsets", out.schema).filter("issue_id <> ''")
 
 
 def stream_proof_updates(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,21 +125,45 @@ QUERIES = {
     "stream_ads": stream_ads,
     "stream_layout": stream_layout,
     "stream_goto": stream_goto,
+    "stream_continue": stream_continue,
     "stream_offsets": stream_offsets,
     "stream_proof_updates": stream_proof_updates,
     "stream_headers": stream_headers,
 }
 
-_ARRIVED = "TIMESTAMP '2024-01-01' + to_seconds(page_no + CASE WHEN page_no % 11 = 0 THEN 20 ELSE 0 END)"
+_SLOW = "TIMESTAMP '2024-01-01' + to_hours(page_no + CASE WHEN page_no % 11 = 0 THEN 24 ELSE 0 END)"
+_FIRST = """coalesce(t1, t2, t3) AS page_no, CASE WHEN coalesce(t1, t2, t3) IS NULL THEN 'not found' ELSE 'found' END AS status,
+               CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 END AS tier"""
+_ENTRIES = {
+    "v_entries": f"""
+        SELECT issue_id, page_no, {_SLOW} AS came, 'label' AS kind, pdf_no - off AS number FROM v_fo WHERE pdf_no IS NOT NULL
+        UNION ALL SELECT issue_id, page_no, {_SLOW}, 'edge', unnest(edges) FROM v_fo
+        UNION ALL SELECT issue_id, page_no, {_SLOW}, 'landing', unnest(edges) FROM v_fo WHERE len(cfrom) > 0
+        UNION ALL SELECT issue_id, page_no, {_SLOW}, 'index', page_no FROM v_fo WHERE off = 0"""
+}
 
 SQL = {
     "stream_ads": q("SELECT issue_id, page_no, is_ad, first_rule FROM v_feat"),
     "stream_layout": layout_q("SELECT issue_id, page_no, line_no, read_no FROM v_order"),
-    "stream_goto": compose(f"""
-        SELECT r.request_id, r.issue_id, r.number, p.page_no
-        FROM v_requests r LEFT JOIN v_issue_pages p ON p.issue_id = r.issue_id AND p.page_no = r.number
-             AND {_ARRIVED.replace('page_no', 'p.page_no')} <= r.ts + INTERVAL 10 MINUTE
-             AND {_ARRIVED.replace('page_no', 'p.page_no')} >= r.ts - INTERVAL 90 DAY"""),
+    "stream_goto": q(f"""
+        SELECT request_id, issue_id, number, {_FIRST} FROM (
+          SELECT a.request_id, issue_id, number, min(page_no) FILTER (kind = 'label' AND came <= t) AS t1,
+                 min(page_no) FILTER (kind = 'edge' AND came <= t) AS t2, min(page_no) FILTER (kind = 'index' AND came <= t) AS t3
+          FROM v_asked a JOIN (
+            SELECT request_id, CASE WHEN bool_or(came <= ts) THEN any_value(ts) ELSE min(came) FILTER (kind <> 'edge') END AS t
+            FROM v_asked GROUP BY request_id) USING (request_id) GROUP BY ALL)""", _ENTRIES | {"v_asked": """
+        SELECT request_id, r.issue_id, r.number, r.ts, e.kind, e.page_no, e.came FROM v_requests r LEFT JOIN v_entries e
+          ON e.issue_id = r.issue_id AND e.number = r.number AND e.kind IN ('label', 'edge', 'index')"""}),
+    "stream_continue": q(f"""
+        SELECT issue_id, src_page, target, {_FIRST.replace(' AS page_no', ' AS dst_page')} FROM (
+          SELECT issue_id, src_page, target, min(page_no) FILTER (kind = 'label' AND came <= t) AS t1,
+                 min(page_no) FILTER (kind = 'landing' AND came <= t) AS t2, min(page_no) FILTER (kind = 'edge' AND came <= t) AS t3
+          FROM v_asked JOIN (
+            SELECT issue_id, src_page, target, CASE WHEN bool_or(came <= ts) THEN any_value(ts) ELSE min(came) END AS t
+            FROM v_asked GROUP BY ALL) USING (issue_id, src_page, target) GROUP BY ALL)""", _ENTRIES | {"v_asked": f"""
+        SELECT r.*, e.kind, e.page_no, e.came FROM (
+          SELECT issue_id, page_no AS src_page, unnest(con) AS target, {_SLOW} AS ts FROM v_feat0) r
+        LEFT JOIN v_entries e ON e.issue_id = r.issue_id AND e.number = r.target AND e.kind IN ('label', 'landing', 'edge')"""}),
     "stream_offsets": q("""
         SELECT issue_id, coalesce(arg_min(o, v2), arg_min(o, v1)) AS page_offset, min(v2) IS NOT NULL AS confirmed
         FROM (SELECT issue_id, o, list_sort(list(a))[1] AS v1, list_sort(list(a))[2] AS v2

@@ -174,13 +174,18 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page requests taken from the event table."""
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"),
-        F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("issue_id"),
-        (F.col("event_id") % 60 + 1).cast("int").alias("number"),
-        "ts",
+    """Page requests taken from the event table: any page of the issue, and numbers up to a fifth beyond its last one."""
+    counts = (
+        table(spark, sf_dir, "documents")
+        .groupBy(F.col("source").alias("issue_id"))
+        .agg(F.count(F.lit(1)).cast("int").alias("n"))
+    )
+    asked = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("issue_id"), "ts"
     )
+    most = F.coalesce(F.floor(F.col("n") * 6 / 5), F.lit(0))
+    joined = join_attributes(asked, counts, ["issue_id"])
+    return joined.select("request_id", "issue_id", (F.col("request_id") % (most + 1) + 1).cast("int").alias("number"), "ts")
 
 
 def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
