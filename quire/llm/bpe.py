@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from quire.llm import textops
 
-CACHE = 300_000
+CACHE = 32 << 20
+ENTRY = 160
 TEXT = 1 << 19
 BLOCK = 128
 
@@ -207,6 +208,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.cache: dict[bytes, int] = {}
+        self.held = 0  # about as many bytes
         self.ids, self.first = array("i"), array("q", [0])
 
     def _rows(self, slices: list[bytes]) -> np.ndarray:
@@ -221,6 +223,7 @@ class Codec:
                         whole = ranks.get(piece)
                         ids.extend(merge(piece, ranks) if whole is None else (whole,))
                         row = cache[piece] = len(first) - 1
+                        self.held += len(piece) + ENTRY
                         first.append(len(ids))
                     rows[i] = row
         return np.array(rows, dtype=np.int64)
@@ -229,7 +232,7 @@ class Codec:
         """Ids of all texts one after another, their byte offsets in their text, and the number of ids per text."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
-        if len(self.cache) > CACHE:
+        if self.held > CACHE:
             self._forget()
         raw = data.tobytes()
         points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
@@ -282,7 +285,7 @@ def encode(documents: DataFrame, vocabulary: str, text: str = "text") -> DataFra
             )
 
     rows = documents.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"row {_row_type(documents)}, ids array<int>, offsets array<int>")
+    return rows.mapInArrow(textops.tidy(run), f"row {_row_type(documents)}, ids array<int>, offsets array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -295,7 +298,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["row", "text"])
 
     rows = encoded.select(F.struct("*").alias("row"), "ids")
-    return rows.mapInArrow(run, f"row {_row_type(encoded)}, text binary")
+    return rows.mapInArrow(textops.tidy(run), f"row {_row_type(encoded)}, text binary")
 
 
 def round_trip(documents: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
@@ -322,5 +325,5 @@ def round_trip(documents: DataFrame, vocabulary: str, text: str = "text") -> Dat
             )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        textops.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -242,12 +242,12 @@ def _cut(width: int):  # type: ignore[no-untyped-def]
 def repeated_paths(documents: DataFrame, width: int = 13, text: str = "text") -> DataFrame:
     """doc_id, s, n, f, t: the n windows from word s of a document also start from word t of document f, a smaller one or itself."""
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
-    packed = docs.mapInArrow(textops.pack, "doc_id long, packed binary")
-    found = docs.mapInArrow(_find(width), _PIECE).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
-    matched = materialize(found.mapInArrow(_match, _RUN), "path-pieces")
+    packed = docs.mapInArrow(textops.tidy(textops.pack), "doc_id long, packed binary")
+    found = docs.mapInArrow(textops.tidy(_find(width)), _PIECE).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
+    matched = materialize(found.mapInArrow(textops.tidy(_match), _RUN), "path-pieces")
     wanted = matched.where("f is null").groupBy("doc_id").agg(F.collect_set(F.struct("s", "n")).alias("r"))
-    edges = packed.join(wanted, "doc_id").mapInArrow(_open(width), "e1 long, e2 long, doc_id long, at long")
-    single = edges.repartition("e1").sortWithinPartitions("e1", "e2", "doc_id", "at").mapInArrow(_match_edges, _RUN)
+    edges = packed.join(wanted, "doc_id").mapInArrow(textops.tidy(_open(width)), "e1 long, e2 long, doc_id long, at long")
+    single = edges.repartition("e1").sortWithinPartitions("e1", "e2", "doc_id", "at").mapInArrow(textops.tidy(_match_edges), _RUN)
     runs = matched.where("f is not null").union(single)
     along = Window.partitionBy("doc_id", "f", "d").orderBy("s", "n")
     opens = F.coalesce((F.col("s") > F.lag(F.col("s") + F.col("n")).over(along)).cast("int"), F.lit(1))
@@ -263,7 +263,7 @@ def repeated_paths(documents: DataFrame, width: int = 13, text: str = "text") ->
     ends = paths.select("doc_id", "s", "n").union(paths.select("f", "t", "n"))
     asked = ends.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n")).alias("r"))
     digests = materialize(
-        packed.join(asked, "doc_id").mapInArrow(_digest(width), "doc_id long, s long, n long, digest binary"), "digests"
+        packed.join(asked, "doc_id").mapInArrow(textops.tidy(_digest(width)), "doc_id long, s long, n long, digest binary"), "digests"
     )
     there = digests.select(F.col("doc_id").alias("f"), F.col("s").alias("t"), "n", F.col("digest").alias("source"))
     return (
@@ -281,9 +281,9 @@ def remove_repeats(documents: DataFrame, width: int = 13, text: str = "text") ->
     runs = paths.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n", own)).alias("r"))
     slim, kind = textops.without(documents, text)
     rows = documents.select(slim.alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(textops.pack, f"row {kind}, _doc long, packed binary")
+    rows = rows.mapInArrow(textops.tidy(textops.pack), f"row {kind}, _doc long, packed binary")
     none = F.array().cast("array<struct<s:bigint,n:bigint,t:bigint>>")
     joined = rows.join(runs, F.col("_doc") == F.col("doc_id"), "left")
     return joined.select("row", "_doc", "packed", F.coalesce("r", none).alias("r")).mapInArrow(
-        _cut(width), f"row {kind}, kept binary, n_words long, n_removed long"
+        textops.tidy(_cut(width)), f"row {kind}, kept binary, n_words long, n_removed long"
     )

@@ -162,7 +162,7 @@ def transform(documents: DataFrame, seed: int = 42, cut: int = 50, spm: int = 80
 
     row, kind = textops.without(documents, text)
     given = documents.select(row.alias("row"), *draws(F.col("doc_id"), seed), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"row {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
+    return given.mapInArrow(textops.tidy(run), f"row {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def restore(transformed: DataFrame) -> DataFrame:
@@ -180,5 +180,5 @@ def restore(transformed: DataFrame) -> DataFrame:
     kept = [c for c in transformed.columns if c != "output"]
     row = F.struct(*kept)
     kind = transformed.select(row.alias("row")).schema["row"].dataType.simpleString()
-    back = transformed.select(row.alias("row"), "form", "output").mapInArrow(run, f"row {kind}, output string, restored string")
+    back = transformed.select(row.alias("row"), "form", "output").mapInArrow(textops.tidy(run), f"row {kind}, output string, restored string")
     return back.select(*[F.col("row")[c].alias(c) for c in kept], "output", "restored")

@@ -225,7 +225,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5, text
     least = math.ceil(percent / (100 - percent))  # a set of fewer shingles is similar to none but its equals
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = materialize(
-        docs.mapInArrow(describe(rows, bands, least, size), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "minhash"
+        docs.mapInArrow(textops.tidy(describe(rows, bands, least, size)), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "minhash"
     )
     classes = materialize(
         described.where("n > 0 and doc_id is not null")
@@ -239,7 +239,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5, text
     wanted = members.select("node").distinct()
     sets = materialize(
         docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(
-            _full_sets(size), "node long, s array<long>"
+            textops.tidy(_full_sets(size)), "node long, s array<long>"
         ),
         "sets",
     )
@@ -248,7 +248,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5, text
         full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
         )
-        return full.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+        return full.select("a", "b", "sa", "sb").mapInArrow(textops.tidy(_confirm(percent)), "a long, b long")
 
     rays = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     linked = materialize(confirmed(rays), "links")
@@ -262,7 +262,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5, text
     shared = spread.join(common, "h").groupBy("node").agg(F.collect_list(F.struct("k", "h")).alias("shared"))
     sized = shared.join(sets.select("node", F.size("s").cast("long").alias("n")), "node").select("node", "n", "shared")
     early = materialize(
-        sized.mapInArrow(_prefixes(percent), "h long, node long, n long, place long").join(rest, "node"), "prefixes"
+        sized.mapInArrow(textops.tidy(_prefixes(percent)), "h long, node long, n long, place long").join(rest, "node"), "prefixes"
     )
     mixed = early.groupBy("h").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x <> y").select("h")
     early = early.join(mixed, "h", "left_semi")

@@ -191,7 +191,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
 
     # the sample is bounded by its size, so it can be sent to all tasks
     taught = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = taught.select("y", "text").mapInArrow(run, "y int, x array<double>").toArrow()
+    rows = taught.select("y", "text").mapInArrow(textops.tidy(run), "y int, x array<double>").toArrow()
     x = rows.column("x").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     y = rows.column("y").to_numpy().astype(np.float64)
     # the order of the rows depends on the tasks; sums of floats should not

@@ -581,9 +581,9 @@ def repeated_ranges(
     ``unit`` and ``heavy`` are the bytes sorted at a time and those of one anchor among them; the result doesn't depend on them.
     """
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
-    found = docs.where(F.octet_length("text") >= width).mapInArrow(_find(width), _PIECE)
+    found = docs.where(F.octet_length("text") >= width).mapInArrow(textops.tidy(_find(width)), _PIECE)
     ordered = found.repartition("h").sortWithinPartitions("h", "c", "n", "off", "doc_id", "start")
-    matched = materialize(ordered.mapInArrow(_match(width, heavy), _PIECE).drop("c"), "suffix-pieces")
+    matched = materialize(ordered.mapInArrow(textops.tidy(_match(width, heavy)), _PIECE).drop("c"), "suffix-pieces")
     first = matched.where("off >= 0")
     total, opened = matched.agg(
         F.sum(F.when(F.col("off") >= 0, F.col("n") + (width - 1))), F.count(F.when(F.col("off") == HEAVY, 1))
@@ -593,11 +593,11 @@ def repeated_ranges(
         marks = matched.where(F.col("off") == HEAVY).select("h", F.lit(True).alias("_heavy"))
         first = first.join(marks, "h", "left").withColumn("heavy", F.coalesce("_heavy", F.lit(False)))
     reps = first.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n", "heavy")).alias("p"))
-    packed = docs.mapInArrow(textops.pack, "doc_id long, packed binary")
-    sent = packed.join(reps, "doc_id").mapInArrow(_slice(width), _SENT)
+    packed = docs.mapInArrow(textops.tidy(textops.pack), "doc_id long, packed binary")
+    sent = packed.join(reps, "doc_id").mapInArrow(textops.tidy(_slice(width)), _SENT)
     parts = min(MOST_SHARDS, max(1, -(-(total or 0) // SHARD_BYTES)))
     shards = sent.repartition(parts, "k").sortWithinPartitions(F.col("piece").isNull(), "k", "c", "doc_id", "start")
-    sorted_out = shards.mapInArrow(_sort_shard(width, unit), "doc_id long, start long, n long")
+    sorted_out = shards.mapInArrow(textops.tidy(_sort_shard(width, unit)), "doc_id long, start long, n long")
     gone = matched.where(F.col("off") == GONE)
     return gone.select("doc_id", "start", F.col("n").cast("long")).unionByName(sorted_out)
 
@@ -638,9 +638,9 @@ def remove_repeats(
     ranges = repeated_ranges(documents, width, text, unit, heavy).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("r"))
     slim, kind = textops.without(documents, text)
     rows = documents.select(slim.alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(textops.pack, f"row {kind}, _doc long, packed binary")
+    rows = rows.mapInArrow(textops.tidy(textops.pack), f"row {kind}, _doc long, packed binary")
     joined = rows.join(ranges, F.col("_doc") == F.col("doc_id"), "left")
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
     return joined.select("row", "packed", F.coalesce("r", none).alias("r")).mapInArrow(
-        _cut, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long"
+        textops.tidy(_cut), f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long"
     )
