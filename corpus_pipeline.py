@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, minhash, mixing, quality, suffix
+from quire.llm import bpe, minhash, mixing, quality, suffix, textops
 from quire.session import materialize, table_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -58,7 +58,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = suffix.remove_repeats(docs, width=PASSAGE).where("n_bytes = 0 or n_removed < n_bytes")
     kept = out.select("row", F.when(~F.col("row._none"), F.col("kept")).alias("kept"))
     kind = kept.schema["row"].dataType.simpleString()
-    text = kept.mapInArrow(_whole_characters, f"row {kind}, text string")
+    text = kept.mapInArrow(textops.tidy(_whole_characters), f"row {kind}, text string")
     return text.select(
         "row.doc_id", "text", "row.lang", "row.source", F.coalesce(F.length("text").cast("long"), F.col("row.n_chars")).alias("n_chars")
     )
