@@ -42,6 +42,22 @@ def reading_order_extent(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _web_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The layout lines with further gaps, a banner above and one below the columns of some pages."""
+    lines = V.layout_lines(spark, sf)
+    n, p = F.col("line_no"), F.col("page_no")
+    wide = F.col("n_lines") >= 6
+    lower = F.when(wide & (n > 16), 160).otherwise(0) + F.when(wide & (n > 40), 180).otherwise(0)
+    banner = wide & (((n == 1) & (p % 3 == 0)) | ((n == F.col("n_lines")) & (p % 5 == 0)))
+    return lines.withColumn("top", (F.col("top") + lower).cast("int")).withColumn(
+        "left", F.when(banner, 40).otherwise(F.col("left")).cast("int")
+    ).withColumn("width", F.when(banner, 560).otherwise(F.col("width")).cast("int"))
+
+
+def reading_order_web(spark: SparkSession, sf: str) -> DataFrame:
+    return B.reading_order_web(_web_lines(spark, sf)).select(*KEY, "line_no", "read_no", "region", "part", "col_no")
+
+
 def chunks_web(spark: SparkSession, sf: str) -> DataFrame:
     ordered = B.reading_order(V.layout_lines(spark, sf), narrow="extent")
     return B.chunk_breaks(ordered, max_chars=450, profile="web").select(*KEY, "line_no", "read_no", "chunk_no")
@@ -85,6 +101,7 @@ QUERIES = {
     "column_clusters": column_clusters,
     "reading_order": reading_order,
     "reading_order_extent": reading_order_extent,
+    "reading_order_web": reading_order_web,
     "chunks_web": chunks_web,
     "chunk_breaks": chunk_breaks,
     "chunks": chunks,
@@ -114,7 +131,60 @@ _WEB = {
     "v_rec_chunks": LAYOUT_VIEWS["v_rec_chunks"].replace("> 400", "> 450"),
 }
 
+_CUT = "PARTITION BY issue_id, page_no, region"
+_REGION = {
+    "v_web": f"""
+        SELECT {PAGE}, line_no, height, CASE WHEN banner THEN 40 ELSE "left" END AS "left", CASE WHEN banner THEN 560 ELSE width END AS width,
+               top + CASE WHEN n_lines >= 6 AND line_no > 16 THEN 160 ELSE 0 END + CASE WHEN n_lines >= 6 AND line_no > 40 THEN 180 ELSE 0 END AS top
+        FROM (SELECT *, n_lines >= 6 AND ((line_no = 1 AND page_no % 3 = 0) OR (line_no = n_lines AND page_no % 5 = 0)) AS banner FROM v_lines)""",
+    "v_rec_region": f"""
+        SELECT {PAGE}, line_no, "left", top, width, height, '' AS region, false AS whole FROM v_web
+        UNION ALL
+        SELECT {PAGE}, line_no, "left", top, width, height,
+               CASE WHEN cut AND above THEN region || '0' WHEN cut THEN region || '1' ELSE region END, NOT cut
+        FROM (SELECT *, coalesce(sum(above::INT) OVER ({_CUT}) >= 2 AND sum(below::INT) OVER ({_CUT}) >= 2, false) AS cut
+              FROM (SELECT *, top + height <= y AS above, top >= y AS below
+                    FROM (SELECT *, (max(CASE WHEN gap > greatest(70, tall) THEN [gap, -rn, top + height + gap / 2.0::DOUBLE] END) OVER ({_CUT}))[3] AS y
+                          FROM (SELECT *, row_number() OVER w AS rn, lead(top) OVER w - top - height AS gap,
+                                       (height + lead(height) OVER w) / 2.0::DOUBLE * 2.8::DOUBLE AS tall
+                                FROM v_rec_region WHERE NOT whole WINDOW w AS ({_CUT} ORDER BY top, line_no)))))
+        WHERE NOT cut OR above OR below""",
+    "v_web0": f"""
+        SELECT *, "left" + width / 2.0::DOUBLE AS mid, count(*) OVER r AS n, max("left" + width) OVER r - min("left") OVER r AS pw,
+               max("left" + width / 2.0::DOUBLE) OVER r - min("left" + width / 2.0::DOUBLE) OVER r AS span
+        FROM v_rec_region WHERE whole WINDOW r AS ({_CUT})""",
+    "v_web1": f"""
+        SELECT *, sum(opens) OVER ({_CUT} ORDER BY mid, line_no ROWS UNBOUNDED PRECEDING) AS cid
+        FROM (SELECT *, coalesce(mid - lag(mid) OVER ({_CUT} ORDER BY mid, line_no) >= greatest(45.0::DOUBLE, 0.07::DOUBLE * pw), false)::INT AS opens
+              FROM v_web0)""",
+    "v_web2": f"""
+        SELECT *, row_number() OVER ({_CUT} ORDER BY lo) - 1 AS col, count(*) OVER ({_CUT}) AS cols
+        FROM (SELECT {PAGE}, region, cid, min(mid) - 1 AS lo, max(mid) + 1 AS hi FROM v_web1
+              GROUP BY {PAGE}, region, cid, n, span
+              HAVING count(*) >= CASE WHEN n < 8 THEN 2 ELSE 3 END AND n >= CASE WHEN n < 8 THEN 4 ELSE 6 END AND span >= 120)""",
+    "v_web3": f"""
+        SELECT l.issue_id, l.page_no, l.region, l.line_no, min([CASE WHEN mid BETWEEN lo AND hi THEN -1
+               ELSE least(abs(mid - lo), abs(mid - hi)) END, col])[2] AS col
+        FROM v_web1 l JOIN v_web2 c USING (issue_id, page_no, region) WHERE cols >= 2 GROUP BY ALL""",
+    "v_web4": f"""
+        SELECT *, CASE WHEN col IS NULL THEN NULL WHEN NOT wide THEN 1 WHEN coalesce(start, 0) = 0 OR top < start THEN 0 ELSE 2 END AS part,
+               CASE WHEN NOT wide THEN col::INT END AS col_no
+        FROM (SELECT *, min(top) FILTER (col = 0 AND NOT wide) OVER ({_CUT}) AS start
+              FROM (SELECT l.*, c.col, width > 0.65::DOUBLE * pw AS wide FROM v_web1 l LEFT JOIN v_web3 c USING (issue_id, page_no, region, line_no)))""",
+    "v_rec_rows": f"""
+        SELECT {PAGE}, region, min(top) AS begins FROM v_web4 WHERE part IS NULL GROUP BY ALL
+        UNION ALL
+        SELECT {PAGE}, region, (SELECT min(top) FROM v_web4 w WHERE (w.issue_id, w.page_no, w.region) = (r.issue_id, r.page_no, r.region)
+               AND w.top >= r.begins + 12) FROM v_rec_rows r WHERE begins IS NOT NULL""",
+    "v_web_order": f"""
+        SELECT *, row_number() OVER (PARTITION BY {PAGE} ORDER BY region, part NULLS FIRST, col_no NULLS FIRST,
+               CASE WHEN part IS NULL THEN (SELECT max(begins) FROM v_rec_rows r WHERE (r.issue_id, r.page_no, r.region)
+                 = (w.issue_id, w.page_no, w.region) AND r.begins <= w.top) ELSE top END,
+               CASE WHEN part IS NULL THEN "left" END NULLS FIRST, line_no) AS read_no FROM v_web4 w""",
+}
+
 SQL = {
+    "reading_order_web": q(f"SELECT {PAGE}, line_no, read_no, region, part, col_no FROM v_web_order", _REGION),
     "reading_order_extent": q(
         f"SELECT {PAGE}, line_no, read_no, half, is_title, block, col_x IS NOT NULL AS in_column FROM v_order", _EXTENT
     ),
