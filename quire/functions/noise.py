@@ -91,9 +91,11 @@ def garbage(c: Column, profile: str = "page") -> Column:
         known = rf"(?i)(?<!\S){inner}(?:{spelled}){inner}(?!\S)"
 
     def judged(t: Column) -> Column:
-        n_tiny = _whole_tokens(t, tiny) - _whole_tokens(t, known)
+        few = F.greatest(F.lit(1), count_of(t, r"\S+")) * 0.45
+        n_tiny = _whole_tokens(t, tiny)
+        # the known words need not be looked for where there are too few tiny ones anyway
         signals = (
-            (n_tiny / F.greatest(F.lit(1), count_of(t, r"\S+")) > 0.45).cast("int")
+            F.when(n_tiny <= few, 0).otherwise((n_tiny - _whole_tokens(t, known) > few).cast("int"))
             + (count_of(t, rf"[{word}][\"'(),;:](?!\s|$)") >= 3).cast("int")
             + (chars_of(t, r"\p{L}") / F.length(t) < 0.35).cast("int")
         )

@@ -1,8 +1,9 @@
 """Table-of-contents links.
 
-"Title occurs in the contents text" is a containment, not an equality. A title of more than six characters can only occur
-where its first seven characters occur, so both sides meet in an equi-join on (issue, seven characters) and only the pairs
-found there are compared in full. No title is paired with every contents page.
+"Title occurs in the contents text" is a containment, not an equality. The seven-character substrings (grams) of the contents
+texts of an issue are counted. A title can only occur where all of its grams do, so a title with an unknown gram is out, and the
+others meet the texts in an equi-join on (issue, their rarest gram). Only the pairs found there are compared in full: an opening
+that many titles share pairs none of them with each other's pages.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions.noise import date_or_time, url_or_artifact
 from quire.plans.blocks import with_extremes
 from quire.plans.skew import join_attributes
+from quire.session import materialize
 
 GRAM = 7
 _LEADER = r"(?i)(?:\b(?:page|p\.?)\s+|\.{3,}\s*)(\d+)\b"
@@ -30,7 +32,18 @@ def _linkable(titles: DataFrame) -> DataFrame:
     low = F.lower("title")
     return titles.filter(
         (F.length("title") > GRAM - 1) & ~date_or_time(low) & ~url_or_artifact(low)
-    ).select("issue_id", "page_no", "title", low.alias("_low"), F.substring(low, 1, GRAM).alias("_gram"))
+    ).select("issue_id", "page_no", "title", low.alias("_low"))
+
+
+def with_rarest_gram(titles: DataFrame, grams: DataFrame) -> DataFrame:
+    """Distinct ``issue_id, _low`` of ``titles`` all of whose grams are among ``grams(issue_id, _gram)``, with the one in fewest rows."""
+    counts = grams.groupBy("issue_id", "_gram").agg(F.count(F.lit(1)).alias("_k"))
+    own = titles.select("issue_id", "_low").distinct().select("issue_id", "_low", F.explode(_grams(F.col("_low"))).alias("_gram"))
+    met = join_attributes(own, counts, ["issue_id", "_gram"])
+    best = met.groupBy("issue_id", "_low").agg(
+        F.min(F.struct("_k", "_gram"))["_gram"].alias("_gram"), F.bool_or(F.col("_k").isNull()).alias("_unknown")
+    )
+    return best.filter("NOT _unknown").drop("_unknown")
 
 
 def toc_index(toc_pages: DataFrame, titles: DataFrame) -> DataFrame:
@@ -41,11 +54,11 @@ def toc_index(toc_pages: DataFrame, titles: DataFrame) -> DataFrame:
     contents = toc_pages.select(
         "issue_id", F.col("page_no").alias("toc_page"), F.lower("raw_text").alias("_text")
     )
-    grams = contents.select("issue_id", "toc_page", F.explode(_grams(F.col("_text"))).alias("_gram"))
+    grams = materialize(contents.select("issue_id", "toc_page", F.explode(_grams(F.col("_text"))).alias("_gram")), "grams")
     pages = _linkable(titles.filter("NOT skip_flag"))
-    distinct = pages.select("issue_id", "_low", "_gram").distinct()
     found = (
-        distinct.join(grams, ["issue_id", "_gram"])
+        with_rarest_gram(pages, grams)
+        .join(grams, ["issue_id", "_gram"])
         .join(contents, ["issue_id", "toc_page"])
         .filter(F.contains("_text", F.col("_low")))
     )
@@ -70,13 +83,16 @@ def toc_links(chunks: DataFrame, titles: DataFrame) -> DataFrame:
         .withColumn("_text", F.lower("text"))
     )
     # copies of one title: its first two pages suffice, one of them may be the contents page itself
-    first_pages = with_extremes(_linkable(titles), ["issue_id", "_low", "_gram"], "page_no", "_pages", k=2)
+    pages = _linkable(titles)
+    first_pages = with_extremes(pages, ["issue_id", "_low"], "page_no", "_pages", k=2)
     # the text joins the pairs afterwards, so that it isn't copied for each of its parts
-    grams = usable.select(*key, F.explode(_grams(F.col("_text"))).alias("_gram"))
+    grams = materialize(usable.select(*key, F.explode(_grams(F.col("_text"))).alias("_gram")), "grams")
     by_title = (
-        grams.join(first_pages, ["issue_id", "_gram"])
+        with_rarest_gram(pages, grams)
+        .join(grams, ["issue_id", "_gram"])
         .join(usable.select(*key, "_text"), key)
         .filter(F.contains("_text", F.col("_low")))
+        .join(first_pages, ["issue_id", "_low"])
         .select(*key, F.explode("_pages").alias("page_no"), F.lit(1).alias("tier"))
         .filter("page_no <> toc_page")
     )

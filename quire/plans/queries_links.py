@@ -49,9 +49,12 @@ def repeat_headers(spark: SparkSession, sf: str) -> DataFrame:
     return N.repeats(V.layout_lines(spark, sf)).select("issue_id", "zone", "norm", "n")
 
 
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    return N.tag_noise(V.layout_lines(spark, sf), document=F.concat("issue_id", F.lit(" de la.pdf")))
+
+
 def noise_tags(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = N.tag_noise(V.layout_lines(spark, sf), document=F.concat("issue_id", F.lit(" de la.pdf")))
-    return tagged.select(*KEY, "line_no", "is_noise", "noise_type")
+    return _tagged(spark, sf).select(*KEY, "line_no", "is_noise", "noise_type")
 
 
 def offset_first(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +190,7 @@ def playlist(spark: SparkSession, sf: str) -> DataFrame:
     steps = materialize(R.next_pages(c.features, c.links(), runs), "steps")
     order = R.entry_chunks(R.page_order(steps), steps)
     spoken = sentences(c.chunks)
-    noise = c.chunks.filter(F.regexp_like("text", F.lit(r"^\s*\d{1,4}\s*$"))).select(*KEY, "chunk_no")
+    noise = _tagged(spark, sf).filter("is_noise").select(*KEY, (F.col("line_no") - 1).alias("chunk_no"))
     return R.playlist(spoken, order, noise)
 
 
@@ -315,13 +318,14 @@ SQL = {
                min(play_seq) OVER c AS chunk_start, max(play_seq) OVER c + 1 AS next_chunk_at,
                min(play_seq) OVER p AS page_start, max(play_seq) OVER p + 1 AS next_page_at
         FROM v_play WINDOW c AS (PARTITION BY issue_id, page_no, chunk_no), p AS (PARTITION BY issue_id, page_no)""",
-        {
+        NOISE_VIEWS | {
             "v_play0": """
                 SELECT issue_id, page_no, line_no - 1 AS chunk_no, list_filter(list_transform(string_split(
                    regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'),
                      '([.!?…])\\s+(["''“‘(\\[]?[A-ZÀ-ÖÅ0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
                    lambda s: trim(s)), lambda s: s <> '') AS ss
-                FROM v_page_lines0 WHERE NOT regexp_full_match(text, '\\s*\\d{1,4}\\s*')""",
+                FROM v_page_lines0 l WHERE NOT EXISTS (SELECT 1 FROM v_tagged t WHERE t.noise_type IS NOT NULL
+                  AND (t.issue_id, t.page_no, t.line_no) = (l.issue_id, l.page_no, l.line_no))""",
             "v_play1": """
                 SELECT issue_id, page_no, chunk_no, unnest(ss) AS text, generate_subscripts(ss, 1) - 1 AS sent_no
                 FROM v_play0""",

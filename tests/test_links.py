@@ -214,3 +214,40 @@ def test_articles_of_all_starts(spark, seed):
     for r in L.article_pages(features, edges, asked, gone).collect():
         listed.setdefault((r.issue_id, r.start_page), []).append(r.page_no)
     assert {key: sorted(v) for key, v in listed.items()} == {key: sorted(v) for key, v in want.items()}
+
+
+def test_titles_meet_contents_by_their_rarest_gram(spark):
+    """Sixty titles with one opening on sixty contents pages: each meets only the page that holds its own ending."""
+    toc = spark.createDataFrame([("i", 1000 + n, f"A history of computing, part {n:03d}x and more") for n in range(60)], "issue_id string, page_no int, raw_text string")
+    titles = spark.createDataFrame(
+        [("i", n, f"A history of computing, part {n:03d}x", False) for n in range(60)] + [("i", 70, "A history of computing, part 999x", False)],
+        "issue_id string, page_no int, title string, skip_flag boolean",
+    )
+    grams = toc.select("issue_id", "page_no", F.explode(T._grams(F.lower("raw_text"))).alias("_gram"))
+    rare = T.with_rarest_gram(titles.select("issue_id", F.lower("title").alias("_low")), grams)
+    assert rare.count() == 60 and rare.join(grams, ["issue_id", "_gram"]).count() == 60
+    got = {(r.page_no, r.toc_page) for r in T.toc_index(toc, titles).collect()}
+    assert got == {(n, 1000 + n) for n in range(60)}
+    chunks = toc.select("issue_id", "page_no", F.lit(0).alias("chunk_no"), F.col("raw_text").alias("text"), F.lit(False).alias("is_noise"))
+    assert {(r.toc_page, r.dst_page, r.tier) for r in T.toc_links(chunks, titles).collect()} == {(1000 + n, n, 1) for n in range(60)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_page_order_is_the_walk(spark, seed):
+    rng = random.Random(seed)
+    steps, want = [], {}
+    for issue in "abc":
+        pages = sorted(rng.sample(range(1, 120), 60))
+        onward = {p: q for p, q in zip(pages, pages[1:], strict=False)}
+        for p in pages:
+            if rng.random() < 0.3:
+                onward[p] = rng.choice([q for q in pages if q > p] or pages) if rng.random() < 0.9 else rng.choice(pages)
+        if issue == "c":
+            onward.pop(pages[40], None)
+        steps += [(issue, p, onward.get(p)) for p in pages]
+        at, here = 0, pages[0]
+        while here is not None and (issue, here) not in want:
+            want[issue, here] = at
+            at, here = at + 1, onward.get(here)
+    df = spark.createDataFrame(steps, "issue_id string, page_no int, next_page int")
+    assert {(r.issue_id, r.page_no): r.pos for r in R.page_order(df).collect()} == want
