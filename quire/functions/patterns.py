@@ -4,6 +4,8 @@
 """
 
 WHITESPACE = " \t\n\r\x0b\x0c"
+# What a browser trims beyond ASCII white space.
+WIDE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 W = r"\p{L}\p{N}_"
 WB = rf"(?<![{W}])"
 WE = rf"(?![{W}])"

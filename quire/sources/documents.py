@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
+from quire.functions.entities import decoded
 from quire.functions.pagination import page_array
-from quire.functions.text import let, matches, non_empty, paragraphs, replace_matches, strip, sub
+from quire.functions.text import let, matches, non_empty, paragraphs, strip, sub
 
 PAGE_TOP, PAGE_SPACE, PARA_GAP = 145, 890, 12
 
@@ -127,39 +128,13 @@ def ingest_markdown(docs: DataFrame, keys: Sequence[str], text: str = "text", ti
 
 # --- HTML (A05) ----------------------------------------------------------------------------------------------------------
 
-# Named entities that are decoded; "&amp;" comes last.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
-    "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&bull;": "•", "&euro;": "€", "&deg;": "°",
-}
 _BLOCK_OPEN = rf"(?i)<(?:{'|'.join(P.HTML_BLOCKS)})(?=[\s>/])[^>]*>"
 _BLOCK_CLOSE = rf"(?i)</(?:{'|'.join(P.HTML_BLOCKS)})\s*>"
 
 
 def visible_text(fragment: Column) -> Column:
-    """Text of a fragment without tags, entities decoded, ends trimmed."""
-
-    def decoded(t: Column) -> Column:
-        named = t
-        for name, char in ENTITIES.items():
-            named = F.replace(named, F.lit(name), F.lit(char))
-
-        def numeric(m: Column) -> Column:
-            digits = F.regexp_extract(m, r"(?i)&#x?0*([0-9a-f]*);", 1)
-            base16 = F.contains(F.lower(m), F.lit("x"))
-            number = F.when(
-                F.length(digits) <= 8, F.when(base16, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
-            )
-            # what is no code point becomes the replacement character
-            known = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-            code = F.lpad(F.hex(F.when(known, number).otherwise(F.lit(0xFFFD))), 8, "0")
-            return F.decode(F.unhex(code), "UTF-32")
-
-        plain = let(named, lambda x: replace_matches(x, r"&#(?:\d+|[xX][0-9A-Fa-f]+);", numeric))
-        return F.when(F.contains(t, F.lit("&")), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(t)
-
-    return strip(let(sub(fragment, r"<[^>]*>", ""), decoded))
+    """Text of a fragment without tags, character references resolved, ends trimmed."""
+    return F.trim(let(sub(fragment, r"<[^>]*>", ""), decoded), F.lit(P.WHITESPACE + P.WIDE_SPACES))
 
 
 def without_containers(html: Column) -> Column:

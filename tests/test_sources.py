@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import proofs as E
 from quire.sources import documents as A
@@ -131,3 +132,25 @@ def test_triage(spark):
     pages = spark.createDataFrame([("i", 2, 800, 1100), ("i", 3, 800, 1100)], "issue_id string, page_no int, width int, height int")
     got = {r.page_no: (r.reason, r.x0, r.y0, r.x1, r.y1) for r in E.triage(lines, pages).collect()}
     assert got == {2: ("noisy_lines", 15, 80, 385, 238), 3: ("no_lines", None, None, None, None)}
+
+
+def test_character_references_as_a_browser_reads_them(spark):
+    import html
+    import random
+
+    from quire.functions.entities import LEGACY, decoded
+
+    rng = random.Random(3)
+    names = [n for n in html.entities.html5 if n.endswith(";")]
+    given = ["caf&eacute; &amp;lt; &amp;amp;lt;", "&notit; &notin; &notin &ampx &AMP &unknown; & &; &#; &#x; a&b", "&#169;&#x2014;&#128;&#x9f;&#129;", "&#0;&#xD800;&#1114112;&#99999999999;", None, ""]
+    given += ["".join(rng.choice(["&" + rng.choice(names), "&" + rng.choice(list(LEGACY)), "&" + rng.choice(names)[:-1], f"&#{rng.randint(32, 126)};", "x", " ", "é", ";"]) for _ in range(12)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string")
+    got = [r.d for r in df.select("i", decoded(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert got == [None if t is None else html.unescape(t) for t in given]
+    assert got[0] == "café &lt; &amp;lt;"
+
+
+def test_blocks_are_trimmed_after_references_are_resolved(spark):
+    df = spark.createDataFrame([("<html><title> &nbsp;T&eacute;&nbsp;</title><body><p>&nbsp; a&nbsp;b &amp;lt; &#160;</p></body></html>",)], "html string")
+    sections = df.select(A.html_sections(F.col("html")).alias("s")).first().s
+    assert [(s.title, s.text) for s in sections] == [("Té", "a b &lt;")]
