@@ -1,14 +1,17 @@
 """Sharding by balanced label propagation. Native: DataFrame functions only.
 
-Documents that share a group (here: equal texts) are linked by a star, so a document has one link to its group and no pair is
-ever listed. All rows are first dealt round robin along a hash. In each round a group asks for the shard in which most of its
-rows lie; its other rows ask to move there. Between two shards as many rows move one way as the other: requests against
-requests, and what is left against unlinked rows, which may lie anywhere. So counts stay at most one apart in every round, a
-group larger than a shard keeps as many rows together as room allows, and no row is dropped. The request counts per pair of
-shards (shards squared rows at most) are the only thing that the driver reads.
-
-Defined results: a null text counts as empty with size 1 and the checksum of no bytes; repeated rows are rows of their own;
-an empty table gives an empty result; further columns of the input are not read, so their names cannot clash.
+Documents that share a group (equal texts) are linked by a star, so a document has one link to its group and no pair is
+ever listed; a table of further links may be given. All rows are first dealt round robin along a hash. In each round every linked
+row counts the shards of its neighbours, and asks for the one that holds most of them. Between two shards as many rows move one way as
+the other: requests against requests, and what is left against unlinked rows, which may lie anywhere. So counts stay at most one apart
+in every round, a group larger than a shard keeps as many rows together as room allows, and no row is dropped. Rounds end when
+the number of open requests no longer falls, or none can be granted. The request counts per pair of shards (shards squared
+rows at most) are the only thing that the driver reads.
+
+Defined results: a null text counts as empty with size 1 and the checksum of no bytes; null doc_ids are rows like others, without
+further links; repeated rows are rows of their own, and take each other's links; ties between shards go by a hash; very long texts are
+only hashed; links to unknown documents and of a document to itself count nothing; an empty table gives an empty result; further
+columns of the input are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -48,55 +51,71 @@ def _quotas(want: dict[tuple[int, int], int], free: dict[int, int], shards: int)
     return {k: v for k, v in allowed.items() if v}, displaced
 
 
-def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 6, text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for each row of ``documents``; counts per shard are at most one apart."""
+_STATE = ["doc_id", "size", "text_crc32", "_group", "_u", "shard"]
+
+
+def _wishes(now: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``now`` with ``_to`` (the shard with most neighbours; null without any) and ``_links`` (rows of the group).
+
+    Ties are broken by a hash of group and shard, so that equal texts wish for the same one.
+    """
+    held = now.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n"))
+    pick = F.max_by("shard", F.struct("_n", F.xxhash64("_group", "shard")))
+    best = held.groupBy("_group").agg(pick.alias("_to"), F.sum("_n").alias("_links"))
+    best = best.withColumn("_to", F.when(F.col("_links") > 1, F.col("_to")))
+    wished = now.join(best, "_group")
+    if links is None:
+        return wished
+    places = now.where("doc_id is not null").select("doc_id", "shard")
+    votes = links.join(places.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id"), "shard").agg(F.count(F.lit(1)).alias("_n"))
+    of_group = votes.select("doc_id").distinct().join(now, "doc_id").select("doc_id", "_group").distinct().join(held, "_group")
+    votes = votes.unionByName(of_group.select("doc_id", "shard", "_n")).groupBy("doc_id", "shard").agg(F.sum("_n").alias("_n"))
+    own = votes.groupBy("doc_id").agg(F.max_by("shard", F.struct("_n", F.xxhash64("doc_id", "shard"))).alias("_own"))
+    return wished.join(own, "doc_id", "left").withColumn("_to", F.coalesce("_own", "_to")).drop("_own")
+
+
+def balanced_shards(documents: DataFrame, shards: int = 8, links: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for each row of ``documents``; counts per shard are at most one apart.
+
+    ``links(a, b)`` are pairs of doc_ids beside those that equal texts make.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(whole) + F.lit(1)).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).cast("long").alias("text_crc32"),
         F.sha2(whole.cast("binary"), 256).alias("_group"),
     )
     rows = rows.withColumn("_u", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], "_u", ["doc_id", "_group"], "_at")
-    rows = rows.select("doc_id", "size", "text_crc32", "_group", "_u", F.pmod("_at", F.lit(shards)).cast("int").alias("shard"))
-    now = materialize(rows, "shards")
-    for _ in range(rounds):
-        held = now.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n"))
-        best = (
-            held.groupBy("_group")
-            .agg(
-                F.max_by("shard", F.struct("_n", F.xxhash64("_group", "shard"))).alias("_to"),
-                F.sum("_n").alias("_links"),
-                F.count(F.lit(1)).alias("_shards"),
-            )
-            .where(F.col("_links") > 1)
-        )
-        split = best.where(F.col("_shards") > 1)
-        asks = now.join(split.select("_group", "_to"), "_group").where("shard <> _to")
-        want = {(r["shard"], r["_to"]): r["n"] for r in asks.groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not want:
+    now = materialize(rows.withColumn("shard", F.pmod("_at", F.lit(shards)).cast("int")).select(_STATE), "shards")
+    total = now.count()
+    if links is not None:
+        known = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+        links = materialize(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "shard-links")
+    open_before = None
+    while True:
+        marked = materialize(_wishes(now, links), "shard-wishes")
+        asks = F.coalesce(F.col("shard") != F.col("_to"), F.lit(False))
+        want = {(r["shard"], r["_to"]): r["n"] for r in marked.where(asks).groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("n")).collect()}
+        still = sum(want.values())
+        if not want or (open_before is not None and still >= open_before):
             break
-        single = held.groupBy("_group").agg(F.sum("_n").alias("_links"), F.max("shard").alias("shard")).where("_links = 1")
-        free = {r["shard"]: r["n"] for r in single.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        open_before = still
+        free = {r["shard"]: r["n"] for r in marked.where("_to is null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         allowed, displaced = _quotas(want, free, shards)
         if not allowed:
             break
-        state = ["doc_id", "size", "text_crc32", "_group", "_u", "shard"]
-        marked = now.join(split.select("_group", "_to"), "_group", "left").withColumn(
-            "_asks", F.coalesce(F.col("shard") != F.col("_to"), F.lit(False))
-        )
-        # along the hash of the group, so that few groups are moved in part
-        ranked = numbered(
-            marked.where("_asks").withColumn("_g", unit(F.col("_group"))), ["shard", "_to"], "_g", ["_group", "doc_id"], "_k"
-        )
+        # along the hash of the group, so that few groups are moved in part; a large group is spread by its share of all rows
+        share = F.col("_links") / F.lit(float(max(total, 1)))
+        place = unit(F.col("_group")) * (1 - share) + F.col("_u") * share
+        ranked = numbered(marked.where(asks).withColumn("_g", place), ["shard", "_to"], "_g", ["_group", "doc_id"], "_k")
         ranked = ranked.withColumn(
             "shard", F.when(F.col("_k") < _pair(allowed, F.col("shard"), F.col("_to")), F.col("_to")).otherwise(F.col("shard"))
         )
-        others = marked.where("not _asks").join(single.select("_group", F.lit(True).alias("_single")), "_group", "left")
-        loose = numbered(others.where("_single"), ["shard"], "_u", ["doc_id"], "_k").withColumn("shard", _leave(displaced, shards))
-        kept = others.where("_single is null")
-        now = materialize(ranked.select(state).unionByName(loose.select(state)).unionByName(kept.select(state)), "shards")
+        loose = numbered(marked.where("_to is null"), ["shard"], "_u", ["doc_id"], "_k").withColumn("shard", _leave(displaced, shards))
+        kept = marked.where(~asks & F.col("_to").isNotNull())
+        now = materialize(ranked.select(_STATE).unionByName(loose.select(_STATE)).unionByName(kept.select(_STATE)), "shards")
     return numbered(now, ["shard"], "_u", ["doc_id", "_group"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
