@@ -23,6 +23,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -57,7 +59,7 @@ def failed(documents: DataFrame, labels: DataFrame, rules: dict[str, Column], pa
     )
     same = ["part", "key", "mask"]
     # rows that repeat doc_id and text become one row before anything meets; rows without a doc_id are dealt by their text
-    rows = slim.groupBy("doc_id", *same).agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(slim.groupBy("doc_id", *same).agg(F.count(F.lit(1)).alias("n")), "failures")
     rows = rows.withColumn("_none", F.col("doc_id").isNull()).withColumn("_at", F.coalesce("doc_id", F.xxhash64("key")))
     marks = marks.where("doc_id is not null").select(F.col("doc_id").alias("_at"), F.lit(False).alias("_none"), "good", "toxic")
     rows = rows.join(marks, ["_at", "_none"], "left")
