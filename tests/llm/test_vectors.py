@@ -15,6 +15,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, v int, key int"
 def small(monkeypatch):
     """Several shards, blocks and tree levels on a small table."""
     monkeypatch.setattr(vectors, "SHARD_ROWS", 150)
+    monkeypatch.setattr(vectors, "CELLS", 5)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
     monkeypatch.setattr(vptree, "LEAF", 8)
     monkeypatch.setattr(balltree, "LEAF", 8)
@@ -77,3 +78,29 @@ def test_few_candidates_huge_numbers_and_no_rows(spark):
     assert [len(x) for x in listed(vptree.nearest(few, F.col("vec_id") % 20 == 0)).values()] == [2, 2]
     none = frame(spark, [])
     assert vptree.nearest(none, F.col("vec_id") % 20 == 0).count() == balltree.top_k(none, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_many_equal_vectors_tie_to_the_smaller_id(spark, small):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else rng.normal(size=3).astype(np.float32).tolist()) for i in range(600)]
+    assert listed(vptree.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, 20, 1.0)) == brute(rows, 20, 20, False)
+    assert listed(balltree.top_k(frame(spark, rows), F.col("vec_id") % 100 == 0, 10)) == brute(rows, 100, 10, True)
+
+
+def test_queries_go_only_to_cells_that_may_hold_better(spark, small):
+    """Tight clusters on a sphere: nearly all queries need their own cell only, and results stay exact."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(5, 12))
+    x = centers[np.arange(500) % 5] / np.linalg.norm(centers[np.arange(500) % 5], axis=1)[:, None] + 0.01 * rng.normal(size=(500, 12))
+    rows = [(i, x[i].astype(np.float32).tolist()) for i in range(500)]
+    asked = []
+    got = listed(balltree.top_k(frame(spark, rows), F.col("vec_id") % 100 == 0, 10))
+    assert got == brute(rows, 100, 10, True)
+    cells = vectors.Cells([v for _, v in rows], 5, balltree.space)
+    points = balltree.space(np.array([v for _, v in rows], dtype=float))
+    cell, distance = cells.place(points)
+    radius = np.array([distance[cell == c].max(initial=0) for c in range(5)])
+    for q in range(0, 500, 100):
+        most = points[q] @ cells.pivots[12].T + np.linalg.norm(points[q]) * radius
+        asked.append(int(balltree.allowed(most[None], np.ones(1), np.array([float(got[q][-1][1])]), 0.0).sum()))
+    assert sum(asked) <= 2 * len(asked)
