@@ -5,13 +5,16 @@ next one. All stages but the last return the columns of ``documents``.
 
 1. ``quality``: documents that the classifier of the labelled rows rejects (score below 0.3) go.
 2. ``near_duplicates``: of each component of documents whose five-word shingles are similar to 0.8 or more, the smallest doc_id stays.
-3. ``repeated_passages``: bytes of 100-byte strings that start earlier in the corpus go from the texts (only whole characters; what
-   is left of a cut character stays with it). A document of which nothing is left goes, too.
+   Of rows that repeat doc_id and text one stays; rows that repeat a doc_id with other texts are one document: they stay or go together,
+   and stage 3 takes from each of them what any of them repeats.
+3. ``repeated_passages``: bytes of 100-byte strings that start earlier in the corpus go from the texts (and what is
+   left of a character that was cut). A document of which nothing is left goes, too.
 4. ``mixing``: a document appears as often as the mix of the sources takes it, not at all or up to three times.
 5. ``token_ids``: ids of the byte-level vocabulary, and what they decode to, as digests.
 
 Nulls: a null text counts as empty in all stages and stays null up to the last; rows with a null doc_id pass through stages 2 and
-3 unchanged; an empty table stays empty. Columns that ``documents`` has besides its own are dropped by stages 1 to 4.
+3 unchanged; an empty table stays empty; very long texts are worked on whole, one at a time per task; ties go to the smaller doc_id.
+Columns that ``documents`` has besides its own are dropped by stages 1 to 4.
 """
 
 from __future__ import annotations
@@ -39,11 +42,16 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of near duplicates."""
+    """The smallest document of each component of near duplicates, once per doc_id and text."""
     docs = docs.select(*COLUMNS)
     found = minhash.near_duplicates(docs, percent=SIMILAR, size=5)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # only doc_ids that come more than once go through a comparison of texts
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(
+        kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    )
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
