@@ -64,3 +64,11 @@ def test_stages(spark, library):  # noqa: F811
         listed = library.encode_ordinary(got[r["doc_id"]] or "")
         assert r["n_tokens"] == len(listed)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest()
+
+
+def test_rows_that_repeat_id_and_text_stay_once(spark):
+    body = "every word of this text stands here once and then it ends at last"
+    rows = [(1, body), (1, body), (2, body + " or not"), (3, "quite another text with other words in it"), (3, "third of the same id, again other words"), (3, None), (3, None), (None, body), (None, body)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in dict(cp.STAGES)["near_duplicates"](spark, docs, SF).collect())
+    assert got == Counter({(1, body): 1, (3, rows[3][1]): 1, (3, rows[4][1]): 1, (3, None): 1, (None, body): 2})
