@@ -15,7 +15,7 @@ from quire.plans.blocks import with_leads, with_running_sum, with_seq
 from quire.plans.closure import closure
 from quire.plans.skew import join_attributes
 from quire.session import materialize
-from quire.sources.page_dump import format_dump
+from quire.sources.page_dump import PART_BYTES, format_dump, with_parts
 
 PAGE = ["issue_id", "page_no"]
 
@@ -454,12 +454,13 @@ def export_articles(
     features: DataFrame,
     texts: DataFrame,
     source_path: Column,
-    pages_per_file: int = 1000,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``issue_id, start_page, part, file_name, dump`` of each article.
 
     The lead page gives title and file name; ads with a long or continued title are called ``Ad p.N``. Long articles are
-    cut into parts so that no row grows with the size of an issue.
+    cut into parts of about ``part_bytes`` so that no row grows with the size of an issue. ``texts`` hold the text to write (see
+    ``preferred_text`` for proofread pages).
     """
     key = ["issue_id", "start_page"]
     leads = articles.groupBy(*key).agg(F.min("page_no").alias("page_no"))
@@ -484,8 +485,8 @@ def export_articles(
         F.concat(stem, F.lit(".txt"))
     )
     lead = lead.select(*key, name.alias("file_name"))
-    ordinal = articles.withColumn("part", F.floor((F.col("page_no") - 1) / pages_per_file).cast("int"))
-    body = ordinal.join(texts.select(*PAGE, "label", "raw_text"), PAGE)
+    body = articles.join(texts.select(*PAGE, "label", "raw_text"), PAGE)
+    body = with_parts(body, key, "page_no", "label", "raw_text", part_bytes)
     dumps = format_dump(body, [*key, "part"], "page_no", "label", "raw_text")
     return dumps.join(lead, key)
 

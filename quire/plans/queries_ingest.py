@@ -427,6 +427,15 @@ def _quality(lines: str, prefix: str) -> dict[str, str]:
     }
 
 
+_PARTS = {
+    "v_sections": f"""
+        SELECT *, '=== ' || label || ' ===' || chr(10) || CASE WHEN {strip('raw_text')} = '' THEN '' ELSE {strip('raw_text')} || chr(10) END AS section
+        FROM v_issue_pages""",
+    "v_parts": """
+        SELECT *, ((sum(octet_length(encode(section)) + 1) OVER (PARTITION BY issue_id ORDER BY page_no)
+                    - octet_length(encode(section)) - 1) // 30000)::INT AS file_no FROM v_sections""",
+}
+
 _SIDES = {
     **_quality("v_lines", "v_qa"),
     **_quality("v_ocr_lines", "v_qb"),
@@ -494,13 +503,10 @@ SQL = {
     "subtitle_pages": _paged_sql(_SUBS, "v_subs", "conv_id"),
     "transcript_pages": _paged_sql(_TALK, "v_talk", "conv_id"),
     "delimited_rows": _paged_sql(_DELIM, "v_delim", "doc_id"),
-    "page_dump": compose(f"""
-        SELECT issue_id, (page_no - 1) // 500 AS file_no, label, {strip('raw_text')} AS body FROM v_issue_pages"""),
+    "page_dump": compose(f"SELECT issue_id, file_no, label, {strip('raw_text')} AS body FROM v_parts", _PARTS),
     "page_dump_text": compose(f"""
-        SELECT issue_id, (page_no - 1) // 500 AS file_no, {strip('''string_agg('=== ' || label || ' ===' || chr(10) ||
-               CASE WHEN ''' + strip('raw_text') + ''' = '' THEN '' ELSE ''' + strip('raw_text') + ''' || chr(10) END,
-               chr(10) ORDER BY page_no)''')} || chr(10) AS text
-        FROM v_issue_pages GROUP BY issue_id, file_no"""),
+        SELECT issue_id, file_no, {strip("string_agg(section, chr(10) ORDER BY page_no)")} || chr(10) AS text
+        FROM v_parts GROUP BY issue_id, file_no""", _PARTS),
     "word_lines": compose(f"""
         SELECT {PAGE}, row_number() OVER (PARTITION BY {PAGE} ORDER BY block_num, par_num, line_num) AS line_no,
                text, "left", top, width, height

@@ -15,6 +15,7 @@ from quire.operators import links as L
 from quire.operators import playlist as R
 from quire.operators import repeats as N
 from quire.operators import toc as T
+from quire.operators.proofs import preferred_text
 from quire.plans import views as V
 from quire.session import materialize
 
@@ -139,12 +140,13 @@ def article_starts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def article_dump(spark: SparkSession, sf: str) -> DataFrame:
-    """Text of every article of every issue."""
+    """Text of every article of every issue, proofread where it is."""
     c = Corpus(spark, sf, keep=True)
     placed, reach, starts = _articles(c)
     pages = L.article_lists(placed, reach, starts)
     path = F.concat(F.lit("/scans/BYTE_1976-08_"), F.col("issue_id"), F.lit("/scan.pdf"))
-    out = L.export_articles(pages.withColumnRenamed("article", "start_page"), c.features, c.pages, path)
+    texts = preferred_text(c.pages.select(*KEY, "label", "raw_text"), V.proofs(spark, sf))
+    out = L.export_articles(pages.withColumnRenamed("article", "start_page"), c.features, texts, path, part_bytes=20_000)
     return out.select("issue_id", "start_page", "part", "file_name", "dump")
 
 
@@ -277,13 +279,11 @@ SQL = {
         GROUP BY issue_id, article, g"""),
     "article_starts": q("SELECT issue_id, start_page, article FROM v_article_of"),
     "article_dump": q(f"""
-        SELECT a.issue_id, a.article AS start_page, (a.page_no - 1) // 1000 AS part,
+        SELECT a.issue_id, a.article AS start_page, part,
                any_value(CASE WHEN length(stem) > 80 THEN rtrim(stem[1:79], ' .') || '…' ELSE stem END
                          || ' - 1976-08.txt') AS file_name,
-               {X.strip('''string_agg('=== ' || label || ' ===' || chr(10) || CASE WHEN ''' + X.strip('raw_text') +
-                           ''' = '' THEN '' ELSE ''' + X.strip('raw_text') + ''' || chr(10) END, chr(10)
-                           ORDER BY a.page_no)''')} || chr(10) AS dump
-        FROM v_article_pages a JOIN v_cue_pages USING (issue_id, page_no)
+               {X.strip("string_agg(section, chr(10) ORDER BY a.page_no)")} || chr(10) AS dump
+        FROM v_article_parts a
         JOIN (SELECT m.issue_id, m.article, trim(regexp_replace(regexp_replace(
                  CASE WHEN is_ad AND (title IS NULL OR length(title) > 60 OR prefix(lower(title), 'continued'))
                            THEN 'Ad p.' || f.page_no
@@ -292,7 +292,18 @@ SQL = {
               FROM (SELECT issue_id, article, min(page_no) AS lead FROM v_article_pages GROUP BY ALL) m
               JOIN v_feat f ON f.issue_id = m.issue_id AND f.page_no = m.lead) n
           ON n.issue_id = a.issue_id AND n.article = a.article
-        GROUP BY a.issue_id, a.article, part"""),
+        GROUP BY a.issue_id, a.article, part""", {
+        "v_preferred": """
+            SELECT c.issue_id, c.page_no, c.label, coalesce(nullif(p.body, ''), raw_text) AS t FROM v_cue_pages c
+            LEFT JOIN (SELECT issue_id, page_no, arg_max(body, version) AS body FROM v_proofs GROUP BY ALL) p USING (issue_id, page_no)""",
+        "v_article_sections": f"""
+            SELECT a.issue_id, a.article, a.page_no, '=== ' || label || ' ===' || chr(10) ||
+                   CASE WHEN {X.strip('t')} = '' THEN '' ELSE {X.strip('t')} || chr(10) END AS section
+            FROM v_article_pages a JOIN v_preferred USING (issue_id, page_no)""",
+        "v_article_parts": """
+            SELECT *, ((sum(octet_length(encode(section)) + 1) OVER (PARTITION BY issue_id, article ORDER BY page_no)
+                        - octet_length(encode(section)) - 1) // 20000)::INT AS part FROM v_article_sections""",
+    }),
     "article_walk": q("SELECT issue_id, start_page, ord, page_no FROM v_rec_steps", {
         "v_rec_steps": """
             SELECT issue_id, page_no AS start_page, 0 AS ord, page_no, [page_no] AS visited

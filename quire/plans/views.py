@@ -245,13 +245,11 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.select("issue_id", F.inline(pairs))
 
 
-def dumps(spark: SparkSession, sf_dir: str, pages_per_file: int = 500) -> DataFrame:
-    """Page-dump files: sections of an issue in page order, a bounded number of pages in each file."""
-    from quire.sources.page_dump import format_dump
+def dumps(spark: SparkSession, sf_dir: str, part_bytes: int = 30_000) -> DataFrame:
+    """Page-dump files: sections of an issue in page order, about ``part_bytes`` in each file."""
+    from quire.sources.page_dump import format_dump, with_parts
 
-    pages = issue_pages(spark, sf_dir).withColumn(
-        "file_no", F.floor((F.col("page_no") - 1) / pages_per_file).cast("int")
-    )
+    pages = with_parts(issue_pages(spark, sf_dir), ["issue_id"], "page_no", "label", "raw_text", part_bytes, "file_no")
     return format_dump(pages, ["issue_id", "file_no"], "page_no", "label", "raw_text").withColumnRenamed(
         "dump", "text"
     )

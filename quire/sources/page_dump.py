@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.blocks import with_running_sum
+
+PART_BYTES = 8 << 20
 # Fixed format of a section header line.
 HEADER = r"(?m)^===[^\S\n]*(\S.*?)[^\S\n]*===[^\S\n]*$"
 PAGE_HEADER = r"(?m)^===[^\S\n]*(Page \d+)[^\S\n]*===[^\S\n]*$"
@@ -38,10 +41,22 @@ def section(label: str, body: str) -> F.Column:  # type: ignore[name-defined]
     return F.when(trimmed == "", head).otherwise(F.concat(head, trimmed, F.lit("\n")))
 
 
+def with_parts(
+    pages: DataFrame, keys: Sequence[str], order: str, label: str, body: str, part_bytes: int = PART_BYTES, out: str = "part"
+) -> DataFrame:
+    """Add ``out``: which part of the dump of ``keys`` a section goes to, if a part begins after every ``part_bytes`` bytes.
+
+    ``order`` is an integer that is unique inside a key. A part is longer than that by less than one section.
+    """
+    size = F.octet_length(section(label, body)).cast("long") + 1
+    run = with_running_sum(pages.withColumn("_size", size), keys, order, "_size", "_end")
+    return run.withColumn(out, F.floor((F.col("_end") - F.col("_size")) / part_bytes).cast("int")).drop("_size", "_end")
+
+
 def format_dump(pages: DataFrame, keys: Sequence[str], order: str, label: str, body: str) -> DataFrame:
     """``keys, dump``: the sections of each key in order, separated by a blank line.
 
-    A key is one output file. Where an issue has no size bound, add a file number (see ``write_dump``).
+    A key is one row. Where an issue has no size bound, add parts (``with_parts``), or write it (``write_dump``).
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), section(label, body).alias("s"))))
     joined = F.array_join(F.transform(ordered, lambda e: e["s"]), "\n")
@@ -59,19 +74,24 @@ def write_dump(
     order: str = "page_no",
     label: str = "label",
     body: str = "raw_text",
-    pages_per_file: int = 1000,
+    tasks: int | None = None,
 ) -> None:
-    """Write dumps as text below ``path/issue_id=.../part=...``; long issues are cut into several files."""
-    parts = pages.withColumn("part", F.floor((F.col(order) - 1) / pages_per_file))
-    dumps = format_dump(parts, [issue, "part"], order, label, body)
-    dumps.select(issue, "part", F.col("dump").alias("value")).write.partitionBy(issue, "part").mode(
-        "overwrite"
-    ).text(path)
+    """Write the dump of each issue as one folder ``path/issue_id=...``, whose files in the order of their names are one text.
+
+    Sections are range-partitioned and sorted, and stream to their file one by one: no row or task holds an issue, however long.
+    """
+    columns = [F.col(issue), F.col(order)]
+    dealt = pages.repartitionByRange(tasks, *columns) if tasks else pages.repartitionByRange(*columns)
+    rows = dealt.sortWithinPartitions(issue, order).select(issue, section(label, body).alias("value"))
+    # a section ends with its own line break; the separator makes the blank line
+    rows.write.partitionBy(issue).option("lineSep", "\n").mode("overwrite").text(path)
 
 
-def read_dump_files(spark, path: str) -> DataFrame:  # type: ignore[no-untyped-def]
-    """Sections of dump files written by ``write_dump`` or by hand, keyed by file path."""
+def read_dump_files(spark, path: str, folders: bool = False) -> DataFrame:  # type: ignore[no-untyped-def]
+    """Sections of dump files, keyed by file path, or by folder where all files of a folder are one dump (see ``write_dump``)."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
+    if folders:
+        files = files.withColumn("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     return read_dump(files, ["path"])

@@ -19,11 +19,29 @@ def test_dump_round_trip(spark, tmp_path):
         [("i", 1, "Page 1", "hello\n\nworld"), ("i", 2, "cover", ""), ("i", 3, "Page 3", " x ")],
         "issue_id string, page_no int, label string, raw_text string",
     )
-    D.write_dump(pages, str(tmp_path / "out"), pages_per_file=2)
+    D.write_dump(pages, str(tmp_path / "out"), tasks=2)
     got = {r.label: r.body for r in D.read_dump_files(spark, str(tmp_path / "out")).collect()}
     assert got == {"Page 1": "hello\n\nworld", "cover": "", "Page 3": "x"}
 
 
+def test_long_dump_is_one_text_in_files_of_ascending_name(spark, tmp_path):
+    pages = spark.range(1, 301).select(
+        F.when(F.col("id") <= 280, "long").otherwise("short").alias("issue_id"), F.col("id").cast("int").alias("page_no"),
+        F.concat(F.lit("Page "), F.col("id")).alias("label"), F.repeat(F.lit("é"), F.col("id").cast("int")).alias("raw_text"),
+    )
+    D.write_dump(pages.repartition(7), str(tmp_path / "out"), tasks=5)
+    files = sorted((tmp_path / "out" / "issue_id=long").glob("part-*"))
+    assert len(files) > 1
+    whole = "".join(f.read_text() for f in files)
+    assert whole == "".join(f"=== Page {n} ===\n{'é' * n}\n\n" for n in range(1, 281))
+    read = D.read_dump_files(spark, str(tmp_path / "out"), folders=True)
+    assert read.count() == 300 and read.select("path").distinct().count() == 2
+    # the same as rows of bounded size: a part begins after every 10,000 bytes
+    parts = D.with_parts(pages, ["issue_id"], "page_no", "label", "raw_text", 10_000)
+    rows = D.format_dump(parts, ["issue_id", "part"], "page_no", "label", "raw_text").filter("issue_id = 'long'").orderBy("part").collect()
+    assert "\n".join(r.dump for r in rows) == whole[:-1] and max(len(r.dump.encode()) for r in rows) < 10_000 + 600
+
+
 def test_repeated_label_keeps_the_last_body(spark):
     docs = spark.createDataFrame([(1, "=== a ===\none\n=== a ===\ntwo\n"), (2, "no header")], "id int, text string")
     assert [(r.label, r.body) for r in D.read_dump(docs, ["id"]).collect()] == [("a", "two")]
