@@ -62,7 +62,8 @@ def stream_ads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_layout(spark: SparkSession, sf: str) -> DataFrame:
-    lines = replay(spark, V.layout_lines(spark, sf), "page_no", "lines")
+    """Lines arrive by their number, so long pages are split over all micro-batches."""
+    lines = S.whole_pages(replay(spark, V.layout_lines(spark, sf), "line_no", "lines"))
     return S.collect_stream(lines, "layout", job=S.layout_job).select(*KEY, "line_no", "read_no")
 
 
