@@ -334,3 +334,43 @@ def speech_lines(c: Column) -> Column:
         F.split(t, "\n", -1), lambda s: strip(sub(sub(sub(s, bullet, ""), r"\*+", " "), r"[ \t]{2,}", " "))
     )
     return F.array_join(non_empty(lines), "\n")
+
+
+# --- rules as data, with their hits (audit of C07-C11, C17) ---------------------------------------------------------------
+
+#: (rule, pattern, replacement) in the order in which they are applied
+Rule = tuple[str, str, str]
+
+
+def form_rules(generic: str = " ") -> list[Rule]:
+    """The rules behind ``form_blanks``; the rest of an underscore run comes last."""
+    rules = [(phrase.strip(), f"(?i){'' if p.startswith(chr(92) + '$') else P.WB}{p}", phrase) for p, phrase in P.FORM_BLANKS]
+    return [*rules, ("rest of a blank", "_{2,}", generic)]
+
+
+def boilerplate_rules() -> list[Rule]:
+    """The rules behind ``boilerplate``."""
+    phrases = [(p, f"(?i){_ASCII_START}" + p.replace(r"\b", _ASCII_END), "") for p in P.JUNK_PHRASES]
+    return [*phrases, ("underscores", "_{2,}", " ")]
+
+
+def quote_rules() -> list[Rule]:
+    """The rules behind ``quotes`` of the page profile."""
+    return [("quote", '"', ""), ("apostrophe", "'", "")]
+
+
+def word_hits(c: Column, pattern: str, table: dict[str, str]) -> Column:
+    """``array<struct<rule, n>>`` of a rule pack that is a table of words, all matched by one pattern."""
+    known = F.array(*[F.lit(w) for w in table])
+    found = F.filter(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: F.lower(F.rtrim(m, F.lit(".")))), lambda m: F.array_contains(known, m))
+    return F.transform(
+        F.array_distinct(found), lambda w: F.struct(w.alias("rule"), F.size(F.filter(found, lambda x: x == w)).alias("n"))
+    )
+
+
+def contraction_hits(c: Column) -> Column:
+    return word_hits(F.translate(c, "’‘", "''"), rf"{P.WB}[A-Za-z]+'[a-z]+{P.WE}", P.CONTRACTIONS)
+
+
+def abbreviation_hits(c: Column) -> Column:
+    return word_hits(c, rf"(?i){P.WB}(?:{'|'.join(P.ABBREVIATIONS)}){P.WE}\.?", P.ABBREVIATIONS)

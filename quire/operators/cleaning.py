@@ -7,6 +7,7 @@ stage, and a step that reads its input twice does not copy the steps before it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,6 +169,35 @@ def clean_audit(df: DataFrame, col: str, jobs: dict[str, Callable[[DataFrame, st
     return out.agg(*sums).select(F.inline(entries))
 
 
+def counted_rules(df: DataFrame, rules: Sequence[C.Rule], col: str = "text", hits: str = "hits") -> DataFrame:
+    """Apply ordered ``rules`` to ``col``; ``hits`` is an ``array<struct<rule, n>>`` of what each replaced.
+
+    Two columns a rule, one reading what the rule before wrote; rows in which a pattern does not occur keep their text object.
+    """
+    kept = [c for c in df.columns if c != col]
+    for i, (_, pattern, replacement) in enumerate(rules):
+        n = F.regexp_count(col, F.lit(pattern)).alias(f"_n{i}")
+        df = df.select(*[c for c in df.columns if c != col], col, n)
+        text = F.when(F.col(f"_n{i}") > 0, F.regexp_replace(col, F.lit(pattern), F.lit(replacement))).otherwise(F.col(col))
+        df = df.withColumn(col, text)
+    listed = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_n{i}").alias("n")) for i, (name, _, _) in enumerate(rules)])
+    return df.select(*kept, col, listed.alias(hits))
+
+
+def rule_hits(df: DataFrame, col: str = "text") -> DataFrame:
+    """``pack, rule, pages_hit, replacements`` of every rule of the packs that are lists of rules or tables of words."""
+    packs = {"form_blanks": C.form_rules(), "boilerplate": C.boilerplate_rules(), "quotes": C.quote_rules()}
+    tables = {"contractions": C.contraction_hits, "abbreviations": C.abbreviation_hits}
+    kind = "array<struct<rule:string,n:int>>"
+    text = df.select(F.col(col).alias("text"))
+    parts = [counted_rules(text, rules).select(F.lit(name).alias("pack"), F.inline(F.col("hits").cast(kind))) for name, rules in packs.items()]
+    parts += [text.select(F.lit(name).alias("pack"), F.inline(hits(F.col("text")).cast(kind))) for name, hits in tables.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.filter("n > 0").groupBy("pack", "rule").agg(
+        F.count(F.lit(1)).alias("pages_hit"), F.sum("n").alias("replacements")
+    )
+
+
 def apply_corrections(df: DataFrame, corrections: DataFrame, col: str = "text") -> DataFrame:
     """Ordered literal replacements of each issue. Rows of an issue without corrections pass unchanged."""
     pairs = corrections.groupBy("issue_id").agg(

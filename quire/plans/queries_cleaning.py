@@ -97,6 +97,7 @@ QUERIES = {
     "corrections": corrections,
     "sentences": sentences,
     "clean_audit": clean_audit,
+    "rule_hits": _job(C.rule_hits),
 }
 
 
@@ -255,3 +256,55 @@ SQL = {
               UNION ALL SELECT 'quotes', text, {Q.quotes('text')} FROM v_forms
               UNION ALL SELECT 'signs', text, {Q.signs('text')} FROM v_forms) GROUP BY rule"""),
 }
+
+
+def _rule_views(name: str, first: str, rules: list[tuple[str, str, str]]) -> dict[str, str]:
+    """One view per rule that counts and replaces, and ``v_<name>_hits`` over all of them."""
+    views = {f"v_{name}_0": f"SELECT doc_id, {first} AS t, 0 AS n FROM v_forms"}
+    for i, (_, pattern, replacement) in enumerate(rules, 1):
+        views[f"v_{name}_{i}"] = (
+            f"SELECT doc_id, {Q.sub('t', pattern, replacement)} AS t, len(regexp_extract_all(t, {lit(pattern)})) AS n FROM v_{name}_{i - 1}"
+        )
+    views[f"v_{name}_hits"] = " UNION ALL ".join(
+        f"SELECT {lit(name)} AS pack, {lit(rule)} AS rule, n FROM v_{name}_{i}" for i, (rule, _, _) in enumerate(rules, 1)
+    )
+    return views
+
+
+def _form_rules() -> list[tuple[str, str, str]]:
+    """Word starts are marked beforehand; a mark inside a match goes with it."""
+    out = []
+    for pattern, phrase in P.FORM_BLANKS:
+        start = "" if pattern.startswith(r"\$") else Q.A
+        out.append((phrase.strip(), f"(?i){start}" + pattern.replace(r"\s*", rf"[\s{Q.A}]*").replace("-?", f"-?{Q.A}?"), phrase))
+    return [*out, ("rest of a blank", f"{Q.A}?_{{2,}}", " ")]
+
+
+_STRAIGHT = "translate(text, '’‘', " + lit("''") + ")"
+_WORDS = {
+    "v_contraction_words": f"""
+        SELECT doc_id, unnest(list_transform(regexp_extract_all({Q.mark(_STRAIGHT)}, '{Q.A}([A-Za-z]+{Q.Z}''{Q.A}[a-z]+){Q.Z}', 1),
+               lambda m: lower(regexp_replace(m, '[{Q.A}{Q.Z}]', '', 'g')))) AS w FROM v_forms""",
+    "v_abbreviation_words": f"""
+        SELECT doc_id, unnest(list_transform(regexp_extract_all({Q.mark('text')}, '(?i){Q.A}({"|".join(P.ABBREVIATIONS)}){Q.Z}', 1),
+               lambda m: lower(m))) AS w FROM v_forms""",
+    "v_word_hits": " ".join(
+        f"""{union} SELECT {lit(pack)} AS pack, w AS rule, count(*) AS n FROM {view}
+            WHERE w IN ({", ".join(lit(w) for w in table)}) GROUP BY doc_id, w"""
+        for union, pack, view, table in (
+            ("", "contractions", "v_contraction_words", P.CONTRACTIONS),
+            ("UNION ALL", "abbreviations", "v_abbreviation_words", P.ABBREVIATIONS),
+        )
+    ),
+}
+SQL["rule_hits"] = compose(
+    """SELECT pack, rule, count(*) AS pages_hit, sum(n)::BIGINT AS replacements FROM (
+         SELECT * FROM v_form_blanks_hits UNION ALL SELECT * FROM v_boilerplate_hits UNION ALL SELECT * FROM v_quotes_hits
+         UNION ALL SELECT * FROM v_word_hits) WHERE n > 0 GROUP BY pack, rule""",
+    {
+        **_rule_views("form_blanks", Q.sub("text", r"(^|[^\p{L}\p{N}_])([\p{L}\p{N}_])", r"\1" + Q.A + r"\2"), _form_rules()),
+        **_rule_views("boilerplate", "text", [*[(p, rf"(?i)\b{p}", "") for p in P.JUNK_PHRASES], ("underscores", "_{2,}", " ")]),
+        **_rule_views("quotes", "text", [("quote", '"', ""), ("apostrophe", "'", "")]),
+        **_WORDS,
+    },
+)

@@ -427,6 +427,38 @@ def _quality(lines: str, prefix: str) -> dict[str, str]:
     }
 
 
+def _page_words(lines: str) -> str:
+    """SQL list of the repaired words of each page of a view."""
+    joined = f"replace({strip('string_agg(text, chr(10) ORDER BY line_no)')}, chr(173), '-')"
+    return f"SELECT {PAGE}, {Q.sub(joined, chr(92) + 's*[-–—]' + chr(92) + 's*', '-')} AS t FROM {lines} GROUP BY {PAGE}"
+
+
+_AUDIT = {
+    "v_ma_a0": _page_words("v_lines"),
+    "v_ma_b0": _page_words("v_ocr_lines"),
+    "v_ma_a1": f"SELECT {PAGE}, {Q.dehyphenate('t')} AS t FROM v_ma_a0",
+    "v_ma_b1": f"SELECT {PAGE}, {Q.dehyphenate('t')} AS t FROM v_ma_b0",
+    "v_ma_a": f"SELECT {PAGE}, list_filter(regexp_split_to_array({strip(Q.repair_core('t'))}, '\\s+'), lambda w: w <> '') AS a FROM v_ma_a1",
+    "v_ma_b": f"SELECT {PAGE}, list_filter(regexp_split_to_array({strip(Q.repair_core('t'))}, '\\s+'), lambda w: w <> '') AS b FROM v_ma_b1",
+    "v_ma_both": f"SELECT {PAGE}, coalesce(a, []) AS a, coalesce(b, []) AS b FROM v_ma_a FULL JOIN v_ma_b USING ({PAGE})",
+    "v_ma_words": f"""
+        SELECT {PAGE}, i, side, w, {_RUN3} AS run3 FROM (
+          SELECT {PAGE}, 'a' AS side, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM v_ma_both
+          UNION ALL SELECT {PAGE}, 'b', unnest(b), generate_subscripts(b, 1) FROM v_ma_both)""",
+    "v_ma_scored": f"SELECT *, {_SCORE} AS score FROM v_ma_words",
+    "v_ma_pairs": f"""
+        SELECT {PAGE}, i, coalesce(max(w) FILTER (side = 'a'), '') AS a, coalesce(max(w) FILTER (side = 'b'), '') AS b,
+               max(score) FILTER (side = 'a') AS sa, max(score) FILTER (side = 'b') AS sb FROM v_ma_scored GROUP BY {PAGE}, i""",
+    "v_ma_tags": f"""
+        SELECT {PAGE}, i, a, b, CASE WHEN a = '' THEN 'OCR' WHEN b = '' THEN 'PDF' WHEN a = b THEN 'same'
+               WHEN abs(sa - sb) < 1 THEN CASE WHEN length(a) >= length(b) THEN 'PDF' ELSE 'OCR' END
+               WHEN sa >= sb THEN 'PDF' ELSE 'OCR' END AS tag FROM v_ma_pairs""",
+    "v_ma_sums": f"""
+        SELECT {PAGE}, string_agg(CASE tag WHEN 'same' THEN a WHEN 'PDF' THEN 'PDF:' || a ELSE 'OCR:' || b END, ' ' ORDER BY i) AS tokens,
+               count(*) FILTER (tag = 'PDF') AS from_pdf, count(*) FILTER (tag = 'OCR') AS from_ocr, count(*) FILTER (tag = 'same') AS same
+        FROM v_ma_tags GROUP BY {PAGE}""",
+}
+
 _PARTS = {
     "v_sections": f"""
         SELECT *, '=== ' || label || ' ===' || chr(10) || CASE WHEN {strip('raw_text')} = '' THEN '' ELSE {strip('raw_text')} || chr(10) END AS section
@@ -503,6 +535,9 @@ SQL = {
     "subtitle_pages": _paged_sql(_SUBS, "v_subs", "conv_id"),
     "transcript_pages": _paged_sql(_TALK, "v_talk", "conv_id"),
     "delimited_rows": _paged_sql(_DELIM, "v_delim", "doc_id"),
+    "merge_audit": compose(f"""
+        SELECT {PAGE}, coalesce(tokens, '') AS tokens, coalesce(from_pdf, 0)::INT AS from_pdf, coalesce(from_ocr, 0)::INT AS from_ocr,
+               coalesce(same, 0)::INT AS same FROM v_ma_both LEFT JOIN v_ma_sums USING ({PAGE})""", _AUDIT),
     "page_dump": compose(f"SELECT issue_id, file_no, label, {strip('raw_text')} AS body FROM v_parts", _PARTS),
     "page_dump_text": compose(f"""
         SELECT issue_id, file_no, {strip("string_agg(section, chr(10) ORDER BY page_no)")} || chr(10) AS text

@@ -92,3 +92,21 @@ def test_corrections_in_order(spark):
     )
     out = {r.issue_id: r.text for r in C.apply_corrections(pages, pairs).collect()}
     assert out == {"i": "THE cat", "j": "teh cat"}
+
+
+def test_rules_with_hits_write_what_the_plain_jobs_write(texts):
+    from quire.functions import cleaning as R
+
+    df = texts(
+        "NAME ____ and NAME __ x ____", "Circle 12 on reader card. Copyright 1976 BYTE\nAll rights reserved", 'say "it\'s" \'now\'', "plain", "", "a ___ b"
+    )
+    for rules, job in ((R.form_rules(), None), (R.boilerplate_rules(), C.strip_boilerplate), (R.quote_rules(), C.strip_quotes)):
+        got = C.counted_rules(df, rules)
+        if job:
+            assert column(got) == column(job(df))
+        assert all({h.rule for h in r.hits} == {name for name, _, _ in rules} for r in got.collect())
+    forms = {r.id: {h.rule: h.n for h in r.hits if h.n} for r in C.counted_rules(df, R.form_rules()).collect()}
+    assert forms == {0: {"your name here": 2, "rest of a blank": 1}, 1: {}, 2: {}, 3: {}, 4: {}, 5: {"rest of a blank": 1}}
+    hits = {(r.pack, r.rule): (r.pages_hit, r.replacements) for r in C.rule_hits(df).collect()}
+    assert hits["quotes", "apostrophe"] == (1, 3) and hits["form_blanks", "your name here"] == (1, 2)
+    assert hits["contractions", "it's"] == (1, 1)
