@@ -110,9 +110,13 @@ def stream_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_proof_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """Newer versions arrive in other micro-batches, partly before the older ones."""
+    """Newer versions arrive in other micro-batches, partly before the older ones; the log is compacted after its first two."""
     results = V.proofs(spark, sf).withColumn("arrival", F.pmod(F.hash("label", "version"), F.lit(1000)))
-    log = S.collect_stream(replay(spark, results, "arrival", "proofs"), "log", job=S.proof_log_job)
+    stream, path = replay(spark, results, "arrival", "proofs"), fresh_path(spark, "log")
+    S.batch_sink(stream, path, f"{path}-checkpoint", S.proof_log_job).awaitTermination()
+    S.compact_proof_log(spark, path, stream.schema, up_to=0)
+    S.compact_proof_log(spark, path, stream.schema, up_to=1)
+    log = S.read_proof_log(spark, path, stream.schema)
     return S.current_proofs(log).select("issue_id", "label", "version", "body")
 
 
