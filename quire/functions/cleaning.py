@@ -85,7 +85,8 @@ def core_repair_steps(profile: str = "page") -> list:
 def _fixed_typos(c: Column) -> Column:
     t = sub(c, rf"(?i){_ASCII_START}lin\s*e\s*of{_ASCII_END}", "line of")
     t = sub(t, rf"(?i){_ASCII_START}lin\s+e{_ASCII_END}", "line")
-    return sub(t, rf"(?i){_ASCII_START}({'|'.join(P.FINAL_C)})c{_ASCII_END}", "$1e")
+    ends_in_c = rf"(?i){_ASCII_START}(?:{'|'.join(P.FINAL_C)}){_ASCII_END}"
+    return replace_matches(t, ends_in_c, lambda m: F.concat(F.substr(m, F.lit(1), F.length(m) - 1), F.lit("e")))
 
 
 def _syllables(c: Column) -> Column:
@@ -295,8 +296,8 @@ def boilerplate(c: Column) -> Column:
     t = c
     for rule in rules:
         t = sub(t, f"(?i){_ASCII_START}{rule}", "")
-    # most texts hold none of the opening words; they skip the chain
-    touched = matches(c, f"(?i){_ASCII_START}(?:{P.JUNK_OPENERS})")
+    # where no rule matches the text as it is, none will
+    touched = matches(c, f"(?i){_ASCII_START}(?:{'|'.join(rules)})")
     return sub(F.when(touched, t).otherwise(c), "_{2,}", " ")
 
 

@@ -28,7 +28,12 @@ AD_WORDS = (
     r"buy|order|offer|price|free|shipping|money\s+order|cashier'?s\s+check|enclosed\s+is\s+my|"
     r"ship\s+me\s+to|reader\s+service"
 )
-AD_WORDS_WEB = AD_WORDS.replace("price|free|shipping", "price|shipping")
+AD_WORDS_WEB = (
+    r"advertisement|advertising|advertorial|sponsored|circle\s+(?:the\s+)?number|coupon|%\s*off|percent\s+off|"
+    r"discount|call\s+(?:now|today)|order\s+now|buy\s+now|limited\s+time|special\s+offer|subscribe\s+now|"
+    r"toll[\s-]*free|1[\s\-]*800|save\s+\$|free\s+shipping|while\s+supplies\s+last|act\s+now|buy|order|offer|"
+    r"price|shipping|money\s+order|cashier'?s\s+check|enclosed\s+is\s+my|ship\s+me\s+to|reader\s+service"
+)
 SHOUT = r"(?i)(?:\bunbelievable\b|\bincredible\b|\bamazing\b|\bintroducing\b|new!|only\s*\$)"
 # The web rule closes with a word boundary, so "new!" and "only $" need a word character right after them.
 SHOUT_WEB = r"(?i)\b(?:unbelievable|incredible|amazing|introducing|new!|only\s*\$)\b"
@@ -131,16 +136,19 @@ BROKEN_LETTERS = [
     ("compute|printe|characte|generato|buffe|use|membe|autho|develope", "r"),
     ("circui|outpu|inpu|uni|digi|forma|curren", "t"),
 ]
-FINAL_C = "hom tim som nam sam mak tak com hav giv pag lin wid lif wif driv sid".split()
+FINAL_C = (
+    "homc", "timc", "somc", "namc", "samc", "makc", "takc", "comc", "havc", "givc", "pagc", "linc", "widc", "lifc",
+    "wifc", "drivc", "sidc",
+)
 # Syllable splits whose repair is the lower-case text without the blanks.
 SYLLABLES = (
-    "co m p ut er|com put er|co mpu ter|c o m p u t e r|com put ers|ex per i ment|"
-    "th e|wh o|wh at|wh ere|wh ich|wh en|th at|th is|th ese|th ose|th eir|th ere|sh e|"
-    "des ign|des igns|des igned|des igning|per son|per sons|start ed|writ es|writ ing|an d|"
-    "mi cro pro ces sor|mi cro pro ces sors|micro pro cessor|micro pro cessors|elec tron ic|elec tron ics|"
-    "pro gram ming|pro gram mer|pro gram mers|syn the si zer|syn the si zers|in ter fa ce|in ter fa ces|"
-    "key board|key boards|dis play|dis plays|sys tem|sys tems"
-).split("|")
+    "co m p ut er", "com put er", "co mpu ter", "c o m p u t e r", "com put ers", "ex per i ment", "th e", "wh o",
+    "wh at", "wh ere", "wh ich", "wh en", "th at", "th is", "th ese", "th ose", "th eir", "th ere", "sh e", "des ign",
+    "des igns", "des igned", "des igning", "per son", "per sons", "start ed", "writ es", "writ ing", "an d",
+    "mi cro pro ces sor", "mi cro pro ces sors", "micro pro cessor", "micro pro cessors", "elec tron ic",
+    "elec tron ics", "pro gram ming", "pro gram mer", "pro gram mers", "syn the si zer", "syn the si zers",
+    "in ter fa ce", "in ter fa ces", "key board", "key boards", "dis play", "dis plays", "sys tem", "sys tems",
+)
 EXPERIMENTATION = [
     r"ex\s+pc?\s*rimc?\s*nt\s*a?\s*ti\s*on",
     r"ex\s+per\s+i\s+men\s+ta\s+tion",
@@ -206,12 +214,6 @@ JUNK_PHRASES = [
     r"(?:continued\s+on\s+page|continued\s+from\s+page|see\s+page)\s+\d{1,4}\b",
     r"(?:NAME|ADDRESS|CITY|STATE|ZIP|PHONE|EMAIL)\s*_{2,}",
 ]
-# First words of the phrases above; a text without any of them cannot match.
-JUNK_OPENERS = (
-    r"circle\s|send\s|mail\s|postage\s|write\s|call\s|order\s|get\s|satisfaction\s|money[\s-]|dealer\s|distributor\s|"
-    r"california\s|new\s|massachusetts\s|illinois\s|allow\s|dept|p\.?o\.?\s*box|continued\s|see\s|"
-    r"(?:name|address|city|state|zip|phone|email)\s*__"
-)
 JUNK_LINES = [
     r"(?i)\b(?:copyright|©|\(c\))\s+(?:\d{4}|19\d\d|20\d\d)",
     r"(?i)\ball\s+rights\s+reserved\b",
