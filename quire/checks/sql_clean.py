@@ -144,3 +144,121 @@ def speech_lines(t: str) -> str:
     )
 
 
+
+
+def replace_matches(t: str, pattern: str, change: str) -> str:
+    """``change`` is an expression over ``m``, one match."""
+    p = lit(pattern)
+    return (
+        f"array_to_string(list_transform(list_zip(regexp_split_to_array({t}, {p}), list_append(regexp_extract_all({t}, {p}), '')), "
+        f"lambda e: e[1] || list_transform([e[2]], lambda m: CASE WHEN m = '' THEN '' ELSE {change} END)[1]), '')"
+    )
+
+
+def typos(t: str) -> str:
+    t = sub(t, r"(?i)\blin\s*e\s*of\b", "line of")
+    t = sub(t, r"(?i)\blin\s+e\b", "line")
+    return sub(t, rf"(?i)\b({'|'.join(x[:-1] for x in P.FINAL_C)})c\b", r"\1e")
+
+
+def known_syllables(t: str) -> str:
+    experiment, broken = "|".join(P.EXPERIMENTATION), r"ex\s+pc\s+rimc\s+nt"
+    known = "|".join(x.replace(" ", r"\s+") for x in sorted(P.SYLLABLES, key=len, reverse=True))
+    change = (
+        f"CASE WHEN regexp_full_match(m, {lit(f'(?i)(?:{experiment})')}) THEN 'experimentation' "
+        f"WHEN regexp_full_match(m, {lit(f'(?i){broken}')}) THEN 'experiment' ELSE lower({sub('m', chr(92) + 's+', '')}) END"
+    )
+    return replace_matches(t, rf"(?i)\b(?:{experiment}|{broken}|{known})\b", change)
+
+
+def line_hyphens(t: str) -> str:
+    a, b = "regexp_extract(m, '^([\\p{L}0-9]+)', 1)", "regexp_extract(m, '([\\p{L}0-9]+)$', 1)"
+    lower = f"(regexp_matches({b}, '^[^\\p{{Lu}}]') AND NOT regexp_full_match({b}, {lit('(?i:' + '|'.join(P.CONNECTORS) + ')')}))"
+    capital = f"({a} = upper({a}) AND {b} = upper({b}) AND length({a}) > 1 AND length({b}) > 1)"
+    change = f"CASE WHEN {lower} OR {capital} THEN {a} || {b} ELSE {a} || '-' || {b} END"
+    return replace_matches(t, r"[\p{L}0-9]+[\-‐–]\s*[\r\n]+\s*[\p{L}0-9]+", change)
+
+
+def dehyphenate_web(t: str) -> str:
+    t = sub(f"replace({t}, chr(173), '')", r"([\p{L}0-9]+)", A + r"\1" + Z)
+    for _ in range(3):
+        t = sub(t, rf"{Z}-\s+{A}({_connectors()}){Z}", Z + "-" + A + r"\1" + Z)
+    return unmark(sub(t, rf"{Z}-\s+{A}({LOWER})", r"\1"))
+
+
+def spaced_hyphens_web(t: str) -> str:
+    word, hyphen = r"\p{L}0-9", r"\s*[\-‐–]\s+"
+    connects = f"regexp_matches(m, {lit('[' + chr(92) + '-‐–]' + chr(92) + 's+(?i:' + '|'.join(P.CONNECTORS) + ')$')})"
+    change = f"CASE WHEN {connects} THEN {sub('m', hyphen, '-')} ELSE {sub('m', hyphen, '')} END"
+    return replace_matches(t, rf"[{word}]{{2,}}\s+[\-‐–]\s+{LOWER}[{word}]*", change)
+
+
+def families_web(t: str) -> list[str]:
+    """The steps one after another, each over ``t``."""
+    domain = "|".join(rf"(?:{a})\s+(?:{b})" for a, b in P.SPLIT_WORDS)
+    first, *others = P.BROKEN_LETTERS
+    tails = "|".join(rf"(?:{a})\s+(?:{b})" for a, b in others)
+    close = sub("m", r"\s+", "")
+    return [
+        sub(t, rf"(?i)\b({'|'.join(P.PREFIXES)})\s+({LOWER}[\p{{L}}0-9]*)\b", r"\1\2"),
+        sub(t, rf"(?i)(^|[^A-Za-z0-9_])({LOWER}{{3,}})\s+({'|'.join(P.SUFFIXES)})\b", r"\1\2\3"),
+        replace_matches(t, rf"(?i)\b(?:{domain})\b", close),
+        sub(t, rf"(?i)\b({first[0]})\s+({first[1]})\b", r"\1\2"),
+        replace_matches(t, rf"(?i)\b(?:{tails})\b", close),
+    ]
+
+
+def run_views(name: str, source: str, letters: str, glue: str) -> dict[str, str]:
+    """``v_<name>``: doc_id, t of ``source`` with runs of three or more tokens of ``letters`` glued where ``glue`` holds.
+
+    A run takes the white-space character before it, of which only a blank is kept; its last token may have a mark behind it.
+    """
+    return {
+        f"v_{name}_0": f"SELECT doc_id, regexp_extract_all(t, '\\S+') AS ws, regexp_split_to_array(t, '\\S+') AS seps FROM {source}",
+        f"v_{name}_1": f"""
+            SELECT doc_id, i, w, seps[i] AS sep, regexp_full_match(w, '{letters}') AS pure,
+                   regexp_matches(w, '^{letters}[.,;:!?]') AS closing
+            FROM (SELECT doc_id, seps, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM v_{name}_0)""",
+        f"v_{name}_2": f"""
+            SELECT *, sum(CASE WHEN (pure OR closing) AND coalesce(p, false) THEN 0 ELSE 1 END)
+                     OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+            FROM (SELECT *, lag(pure) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM v_{name}_1)""",
+        f"v_{name}_3": f"""
+            SELECT doc_id, run, min(i) AS i, bool_and(pure OR closing) AND count(*) >= 3 AND {glue} AS glue,
+                   string_agg(w, '' ORDER BY i) AS glued, arg_min(sep, i) AS lead, string_agg(sep || w, '' ORDER BY i) AS plain
+            FROM v_{name}_2 GROUP BY doc_id, run""",
+        f"v_{name}_4": f"""
+            SELECT doc_id, string_agg(CASE WHEN glue THEN CASE WHEN suffix(lead, ' ') THEN lead ELSE lead[1:-2] END || glued
+                                           ELSE plain END, '' ORDER BY i) AS t FROM v_{name}_3 GROUP BY doc_id""",
+        f"v_{name}": f"SELECT z.doc_id, coalesce(s.t, '') || coalesce(z.seps[-1], '') AS t FROM v_{name}_0 z LEFT JOIN v_{name}_4 s USING (doc_id)",
+    }
+
+
+def extended_repair(name: str, source: str) -> dict[str, str]:
+    """Views of the web repair over ``source(doc_id, t)``; the last one is ``v_<name>``."""
+    core = "regexp_extract(w, '^[a-zA-Z]{1,3}')"
+    known = ", ".join(lit(w) for w in P.STANDALONE_SHORT)
+    syllable = f"NOT bool_or(lower({core}) IN ({known})) AND sum(length({core})) >= 4"
+    views: dict[str, str] = {}
+    at = source
+
+    def add(*expressions: str) -> None:
+        nonlocal at
+        for expression in expressions:
+            views[f"v_{name}_s{len(views)}"] = f"SELECT doc_id, {expression} AS t FROM {at}"
+            at = f"v_{name}_s{len(views) - 1}"
+
+    def runs(letters: str, glue: str) -> None:
+        nonlocal at
+        own = f"{name}_r{len(views)}"
+        views.update(run_views(own, at, letters, glue))
+        at = f"v_{own}"
+
+    add(sub("t", "[\u00ad\u200b]", ""), typos("t"), known_syllables("t"))
+    runs("[a-zA-Z]{1,3}", syllable)
+    add(line_hyphens("t"), dehyphenate_web("t"), spaced_hyphens_web("t"), *families_web("t"))
+    runs("[a-zA-Z]", "true")
+    add(typos("t"), known_syllables("t"))
+    runs("[a-zA-Z]{1,3}", syllable)
+    views[f"v_{name}"] = f"SELECT doc_id, t FROM {at}"
+    return views

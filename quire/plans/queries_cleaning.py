@@ -308,3 +308,93 @@ SQL["rule_hits"] = compose(
         **_WORDS,
     },
 )
+
+
+SQL["repair_extended"] = compose(
+    "SELECT doc_id, t AS text FROM v_ext", {"v_ext0": "SELECT doc_id, text AS t FROM v_forms", **Q.extended_repair("ext", "v_ext0")}
+)
+
+
+def _chain(name: str, source: str, expressions: list[str]) -> dict[str, str]:
+    """One view per expression over ``t``; the last one is ``v_<name>``."""
+    views, at = {}, source
+    for i, expression in enumerate(expressions):
+        own = f"v_{name}" if i == len(expressions) - 1 else f"v_{name}_c{i}"
+        views[own] = f"SELECT doc_id, {expression} AS t FROM {at}"
+        at = own
+    return views
+
+
+_SCAN = [
+    Q.sub("t", pattern, new)
+    for pattern, new in (
+        (f"[{P.BOX}]", " "), (r"(?m)^\s*\|\s*", ""), (r"(?m)\s*\|\s*$", ""), (r"\s*\|\s*", " "),
+        (r"[{}\[\]\\~`^@£$§°%+=_<>#*]", " "), (r"(?:^|\s)[|+\-=_~#*•·—–^\\/]{2,}(?:\s|\z)", " "),
+    )
+]
+_JUNK = "(length(t) >= 3 AND (" + " OR ".join(rx("t", p) for p in P.JUNK_LINES) + "))"
+
+
+def _edgeless(w: str) -> str:
+    return f"regexp_replace(regexp_replace({w}, '^[^\\p{{L}}0-9]+', ''), '[^\\p{{L}}0-9]+$', '')"
+
+
+_OCR = {
+    "v_oc_in": "SELECT doc_id, text AS t FROM v_forms",
+    **_chain("oc_scan", "v_oc_in", [*_SCAN, Q.boilerplate("t")]),
+    **Q.run_views("oc_letters", "v_oc_scan", "[a-zA-Z]", "true"),
+    **Q.extended_repair("oc_ext", "v_oc_letters"),
+    "v_oc_lines": f"""
+        SELECT doc_id, line_no, {strip('l')} AS t FROM (
+          SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS line_no
+          FROM (SELECT doc_id, regexp_split_to_array(t, '\\r?\\n') AS ls FROM v_oc_ext)) WHERE {strip('l')} <> ''""",
+    "v_oc_tokens": """
+        SELECT doc_id, line_no, t, unnest(ws) AS raw, generate_subscripts(ws, 1) AS i
+        FROM (SELECT *, regexp_split_to_array(t, '\\s+') AS ws FROM v_oc_lines)""",
+    "v_oc_bad": f"""
+        SELECT doc_id, line_no, sum({_BAD})::DOUBLE / count(*) >= 0.28 OR (count(*) >= 5 AND sum({_BAD}) >= 3) AS bad
+        FROM (SELECT *, {_edgeless('raw')} AS w FROM v_oc_tokens) GROUP BY doc_id, line_no""",
+    "v_oc_kept": f"""
+        SELECT doc_id, line_no FROM v_oc_lines JOIN v_oc_bad USING (doc_id, line_no) WHERE NOT bad AND NOT {table_sql('t')} AND NOT {_JUNK}""",
+    "v_oc_clean": f"""
+        SELECT doc_id, line_no, i,
+               CASE WHEN regexp_matches(c, '[\\p{{L}}0-9]') THEN {strip('c')} WHEN regexp_full_match(c, '[.,;:!?…]') THEN c ELSE '' END AS c
+        FROM (SELECT *, {Q.clean_token('raw')} AS c FROM v_oc_tokens JOIN v_oc_kept USING (doc_id, line_no))""",
+    "v_oc_words": f"""
+        SELECT doc_id, line_no, i, c FROM (SELECT *, {_edgeless('c')} AS w FROM v_oc_clean WHERE c <> '')
+        WHERE NOT regexp_full_match(c, '[~`^|\\\\/{{}}\\[\\]_+=$%*#@<>]') AND {_BAD} = 0""",
+    "v_oc_texts": f"""
+        SELECT doc_id, line_no, {strip("regexp_replace(string_agg(c, ' ' ORDER BY i), '\\s{2,}', ' ', 'g')")} AS l
+        FROM v_oc_words GROUP BY doc_id, line_no""",
+}
+SQL["clean_ocr"] = compose(
+    """SELECT f.doc_id, coalesce(x.text, '') AS text FROM v_forms f LEFT JOIN (
+         SELECT doc_id, string_agg(l, chr(10) || chr(10) ORDER BY line_no) AS text FROM v_oc_texts
+         WHERE regexp_matches(l, '[\\p{L}0-9]') GROUP BY doc_id) x USING (doc_id)""",
+    _OCR,
+)
+
+_SPEAKABLE = "CASE WHEN regexp_matches(t, '[\\p{L}0-9]') THEN t ELSE '' END"
+_STRAIGHT_T = "replace(replace(t, '\"', ''), '’', " + lit("'") + ")"
+_WEB_QUOTES = Q.sub(Q.sub(_STRAIGHT_T, r"\b([A-Za-z]+)'s\b", r"\1s"), "([A-Za-z0-9_])'([A-Za-z0-9_])", r"\1\2")
+_TABLE_MARKS = Q.sub(Q.sub(Q.sub("l0", r"^\s*\|\s*", " "), r"\s*\|\s*$", " "), r"\s*\|\s*", " | ")
+SQL["clean_for_speech"] = compose(
+    "SELECT doc_id, t AS text FROM v_sp_out",
+    {
+        "v_sp_in": f"""
+            SELECT doc_id, CASE WHEN {table_sql('s')} THEN '' ELSE text END AS t FROM (SELECT *, {strip('text')} AS s FROM v_forms)""",
+        "v_sp_lines": f"""
+            SELECT doc_id, i, CASE WHEN {table_sql('s')} THEN '' ELSE {Q.clean_tokens('l')} END AS c
+            FROM (SELECT doc_id, i, {strip('l0')} AS s, {Q.sub(Q.sub(_TABLE_MARKS, f'[{P.BOX}]', ' '), P.DOT_LEADERS, ' ')} AS l
+                  FROM (SELECT doc_id, unnest(ls) AS l0, generate_subscripts(ls, 1) AS i
+                        FROM (SELECT doc_id, regexp_split_to_array(t, '[\\r\\n]+') AS ls FROM v_sp_in)))""",
+        "v_sp_plain": """
+            SELECT doc_id, coalesce(string_agg(c, chr(10) ORDER BY i) FILTER (WHERE c <> ''), '') AS t FROM v_sp_lines GROUP BY doc_id""",
+        "v_sp_say": f"SELECT doc_id, {_SPEAKABLE} AS t FROM v_sp_plain",
+        **Q.extended_repair("sp_ext", "v_sp_say"),
+        **_chain("sp_out", "v_sp_ext", [
+            Q.form_blanks("t"), Q.signs("t"), Q.contractions("t"), Q.abbreviation_words("t"), Q.number_abbreviations("t"), _WEB_QUOTES,
+            Q.clean_tokens("t"), strip(Q.sub("t", r"[ \t]{2,}", " ")), _SPEAKABLE,
+        ]),
+    },
+)
