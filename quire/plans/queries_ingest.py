@@ -14,6 +14,7 @@ from quire.functions import patterns as P
 from quire.functions import scores as S
 from quire.functions.entities import decoded
 from quire.functions.pagination import PAGE_MARKER
+from quire.functions.rtf import rtf_pages
 from quire.plans import views as V
 from quire.sources import documents as A
 from quire.sources import images as I
@@ -65,6 +66,18 @@ def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
     return A.ingest_markdown(_markdown(spark, sf), ["doc_id"])
 
 
+def rtf_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as rich text and read back; every second one has a page break at its first line break."""
+    text = F.col("text")
+    for char, written in (("\\", "\\\\"), ("{", "\\{"), ("}", "\\}"), ("é", "\\'e9"), ("ü", "\\u252?"), ("ß", "\\u223 ?"), ("•", "\\bullet ")):
+        text = F.replace(text, F.lit(char), F.lit(written))
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(text, r"\A([^\n]*)\n", r"$1\\page ")).otherwise(text)
+    head = r"{\rtf1\ansi{\fonttbl{\f0 Times;}{\f1 {\*\falt x}Arial;}}{\*\generator g;}{\info{\title T}}\f0\fs24 {\b "
+    rich = F.concat(F.lit(head), F.replace(text, F.lit("\n"), F.lit("\\par\r ")), F.lit("}\\par }"))
+    docs = V.table(spark, sf, "documents").select("doc_id", rtf_pages(rich).alias("p"))
+    return docs.select("doc_id", F.posexplode("p").alias("page", "text")).select("doc_id", (F.col("page") + 1).alias("page_no"), "text")
+
+
 def entity_text(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written with character references of all kinds, read back; text that looks like a reference is kept."""
     text = F.replace(F.replace(F.concat(F.lit("&lt; "), "text"), F.lit("&"), F.lit("\x01")), F.lit(";"), F.lit("\x02"))
@@ -226,6 +239,7 @@ QUERIES = {
     "markdown_sections": markdown_sections,
     "html_sections": html_sections,
     "entity_text": entity_text,
+    "rtf_text": rtf_text,
     "subtitle_pages": subtitle_pages,
     "transcript_pages": transcript_pages,
     "delimited_rows": delimited_rows,
@@ -626,3 +640,10 @@ SQL["ingest_all"] = " UNION ALL ".join(
         _as_files("html_sections", "page_id", "html", None),
     ]
 )
+
+SQL["rtf_text"] = f"""
+    WITH cut AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND contains(text, chr(10)) THEN
+           [text[1:instr(text, chr(10)) - 1], text[instr(text, chr(10)) + 1:]] ELSE [text] END AS ps FROM documents),
+    kept AS (SELECT doc_id, list_filter(list_transform(ps, lambda p: {strip('replace(p, chr(10), chr(10) || chr(32))')}), lambda p: p <> '') AS ps FROM cut)
+    SELECT doc_id, unnest(CASE WHEN len(ps) = 0 THEN [''] ELSE ps END) AS text,
+           generate_subscripts(CASE WHEN len(ps) = 0 THEN [''] ELSE ps END, 1)::INT AS page_no FROM kept"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions.entities import decoded
 from quire.functions.pagination import page_array
+from quire.functions.rtf import rtf_pages
 from quire.functions.text import let, matches, non_empty, paragraphs, strip, sub
 
 PAGE_TOP, PAGE_SPACE, PARA_GAP = 145, 890, 12
@@ -328,6 +329,20 @@ def ingest_delimited(
     return _exploded(docs, keys, _whole(delimited_text(F.col(text), F.lit(sep)), F.col(title)))
 
 
+# --- rich text (A01) ---------------------------------------------------------------------------------------------------
+
+
+def rtf_sections(pages: Column, title: Column) -> Column:
+    """Sections from ``rtf_pages``: page breaks of the source where it has any, else one text to be paginated."""
+    titled = F.transform(
+        pages,
+        lambda p, i: F.struct(
+            F.concat(title, F.lit(" · Page "), (i + 1).cast("string")).alias("title"), p.alias("text"), F.lit(False).alias("cut")
+        ),
+    )
+    return F.when(F.size(pages) > 1, titled.cast(_SECTIONS)).otherwise(_whole(pages[0], title))
+
+
 # --- routing (A01) -----------------------------------------------------------------------------------------------------
 
 
@@ -345,6 +360,8 @@ def route_documents(files: DataFrame, path: str = "path", content: str = "conten
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     t = F.col(content)
     docs = files.withColumn("_ext", ext).withColumn("_title", file_title(F.col(path)))
+    # other files send a null to the rich text reader
+    docs = docs.withColumn("_rtf", rtf_pages(F.when(F.col("_ext") == "rtf", t)))
     title = F.col("_title")
     plain = (
         F.when(F.col("_ext").isin("srt", "vtt"), subtitle_text(t))
@@ -356,6 +373,7 @@ def route_documents(files: DataFrame, path: str = "path", content: str = "conten
     sections = (
         F.when(F.col("_ext").isin("md", "markdown"), markdown_sections(t, title))
         .when(F.col("_ext").isin("html", "htm"), html_sections(t))
+        .when(F.col("_ext") == "rtf", rtf_sections(F.col("_rtf"), title))
         .otherwise(_whole(plain, title))
     )
     whole = F.when(strip(t) == "", "Empty document").otherwise(strip(t))

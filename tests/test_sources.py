@@ -172,3 +172,20 @@ def test_blocks_are_trimmed_after_references_are_resolved(spark):
     df = spark.createDataFrame([("<html><title> &nbsp;T&eacute;&nbsp;</title><body><p>&nbsp; a&nbsp;b &amp;lt; &#160;</p></body></html>",)], "html string")
     sections = df.select(A.html_sections(F.col("html")).alias("s")).first().s
     assert [(s.title, s.text) for s in sections] == [("Té", "a b &lt;")]
+
+
+def test_rich_text(spark, tmp_path):
+    from quire.functions.rtf import pages_of
+
+    assert pages_of(" plain {text} ") == ["plain {text}"]
+    assert pages_of(r"{\rtf1{\fonttbl{\f0 A;}{\f1 B;}}{\*\x{\y z}}one\par two\line\tab three}") == ["one\ntwo\n three"]
+    assert pages_of(r"{\rtf1 a\page b\sect\page c}") == ["a", "b", "c"] and pages_of(r"{\rtf1 }") == [""]
+    assert pages_of(r"{\rtf1 caf\'e9 \u8212? \u-10179?\u-8704? \\\{\}\'zz \emdash\b0 x\~y}") == ["café — 😀 \\{}zz —x~y"]
+    assert pages_of("{\\rtf1{\\info{\\title T}} a\r\nb} tail") == ["a\nb tail"]
+    (tmp_path / "some_doc.rtf").write_text(r"{\rtf1 first\page second}")
+    (tmp_path / "one.rtf").write_text(r"{\rtf1{\b only} page}")
+    got = {(r.path.rsplit("/", 1)[1], r.page_no): (r.title, r.text) for r in A.scan_documents(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("some_doc.rtf", 1): ("some doc · Page 1", "first"), ("some_doc.rtf", 2): ("some doc · Page 2", "second"),
+        ("one.rtf", 1): (got["one.rtf", 1][0], "only page"),
+    }
