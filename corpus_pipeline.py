@@ -47,8 +47,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = minhash.near_duplicates(docs, percent=SIMILAR, size=5)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    # only doc_ids that come more than once go through a comparison of texts
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # only doc_ids that come more than once go through a comparison of texts; mostly there are none
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
     return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(
         kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
     )
